@@ -165,7 +165,8 @@ def secret_of(rules: Sequence[Rule], line: str, idx: str, regex: str) -> str:
     """The text taken as the secret: the most random capture group, else the match.
 
     Among trimmed, non-empty groups the higher entropy wins; within 0.01 the one
-    with more bytes does.
+    with more bytes does.  Entropies are compared rounded, so that the order in
+    which their terms were added cannot decide between equals.
     """
     match = matched_group(line, regex)
     most = max((r.groups for r in rules), default=0)
@@ -176,7 +177,7 @@ def secret_of(rules: Sequence[Rule], line: str, idx: str, regex: str) -> str:
         f"if(n >= {g}, {trim_space(matched_group(line, regex, g))}, '')"
         for g in range(1, most + 1)
     )
-    scored = f"transform(array({groups}), g -> struct(g as text, {entropy('g')} as ent))"
+    scored = f"transform(array({groups}), g -> struct(g as text, round({entropy('g')}, 9) as ent))"
     better = (
         "g.ent > best.ent or"
         " (abs(g.ent - best.ent) < 0.01D and octet_length(g.text) > octet_length(best.text))"
