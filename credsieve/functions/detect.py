@@ -34,6 +34,10 @@ _LABEL_VALUE = (
 # Rules whose literal ends in _ or - carry at least 20 more token characters.
 _DELIMITED_RUN = r"[_-][A-Za-z0-9_-]{20}"
 
+# Short texts shared by several literals of the literal arm: one search for each
+# replaces one for every literal that contains it.
+_SHARED_PARTS = ("IA", "AC", "AI", "AAA", "eyJ")
+
 
 def fold(line: str) -> str:
     """The line without case, as case-insensitive rules see it."""
@@ -76,18 +80,28 @@ def _delimited_arm(rules: Sequence[Rule], line: str, folded: str) -> str:
 
 
 def _literal_arm(rules: Sequence[Rule], line: str, folded: str) -> str:
-    assigned = [r for r in rules if all(lit.endswith("=") for lit in r.literals)]
     # A one-character literal says too little; there the regex itself is the arm.
     single = [r for r in rules if min(map(len, r.literals)) == 1]
-    others = [r for r in rules if r not in assigned and r not in single]
-    cased = dict.fromkeys(lit for r in others if not r.ci for lit in r.literals)
-    uncased = dict.fromkeys(lit for r in others if r.ci for lit in r.literals)
-    arms = [contains_any(line, cased)] if cased else []
-    arms += [contains_any(folded, uncased)] if uncased else []
-    if assigned:
-        named = any_of(_has_literal(r, line, folded) for r in assigned)
-        arms.append(f"(contains({line}, '=') and {named})")
-    arms += [f"({_has_literal(r, line, folded)} and {matches(line, r.java)})" for r in single]
+    arms = [f"({_has_literal(r, line, folded)} and {matches(line, r.java)})" for r in single]
+    cased: dict[str, None] = {}
+    behind: dict[str, list[Rule]] = {"=": [], "/": [], "": []}
+    for rule in rules:
+        if rule in single:
+            continue
+        if not rule.ci:
+            for lit in rule.literals:
+                cased[next((part for part in _SHARED_PARTS if part in lit), lit)] = None
+            continue
+        # Prose seldom holds these characters, so most lines stop at the first search.
+        needs = [ch for ch in ("=", "/") if all(ch in lit for lit in rule.literals)]
+        needs += ["="] if r"\s*=" in rule.regex else []
+        behind[needs[0] if needs else ""].append(rule)
+    if cased:
+        arms.append(contains_any(line, cased))
+    for ch, hidden in behind.items():
+        if hidden:
+            named = contains_any(folded, dict.fromkeys(lit for r in hidden for lit in r.literals))
+            arms.append(f"(contains({line}, '{ch}') and {named})" if ch else named)
     return any_of(arms)
 
 

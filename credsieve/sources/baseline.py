@@ -22,6 +22,8 @@ def read_baseline(spark: SparkSession, path: str, *, format: str = "document") -
     ``document`` is one pretty JSON text with an ``entries`` list, ``json`` one
     entry per line, ``parquet`` a table; the last two are read in parallel.
     """
+    if path.rstrip("/").rsplit("/", 1)[-1].startswith((".", "_")):
+        raise ValueError(f"Spark does not read hidden files, and would find nothing: {path}")
     try:
         if format == "document":
             schema = f"version string, entries array<struct<{_struct_fields()}>>"

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from credsieve.functions.rules import Rule, rule_set
 from credsieve.sources.files import MAX_FILE_SIZE
@@ -52,20 +52,33 @@ class Config:
         return rule_set(self.rules)
 
 
+def _read_text(spark: SparkSession, path: str) -> str | None:
+    """A small file's text; None if there is none.  Spark's readers skip dot files,
+    so this asks the file system."""
+    jvm = spark.sparkContext._jvm
+    file = jvm.org.apache.hadoop.fs.Path(path)
+    fs = file.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(file):
+        return None
+    stream = fs.open(file)
+    try:
+        return jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
 def load_config(spark: SparkSession, path: str | None = None, root: str | None = None) -> Config:
     """The config at ``path``; else the default file below ``root``; else defaults.
 
     A missing explicit file and malformed JSON are errors.
     """
-    try:
-        reader = spark.read.schema(_SCHEMA).option("multiLine", True).option("mode", "FAILFAST")
-        row = reader.json(path or f"{root or '.'}/{DEFAULT_FILE}").first()
-    except AnalysisException:
+    text = _read_text(spark, path or f"{root or '.'}/{DEFAULT_FILE}")
+    if text is None:
         if path:
-            raise
-        return Config()
-    if row is None:
+            raise FileNotFoundError(path)
         return Config()
+    parsed = F.from_json("text", _SCHEMA, {"mode": "FAILFAST"})
+    row = spark.createDataFrame([(text,)], "text string").select(parsed.alias("c")).first()["c"]
     general, allow = row["general"], row["allowlist"]
 
     def setting(name: str, default):
