@@ -130,32 +130,37 @@ def gate_arms(rules: Sequence[Rule], line: str, folded: str) -> dict[str, str]:
     }
 
 
+def _bound(line: str, body: str) -> str:
+    """``body`` over ``l``, the line, and ``f``, the line without case."""
+    return let("l", line, let("f", fold("l"), body))
+
+
 def line_gate(rules: Sequence[Rule], line: str) -> str:
     """False only for lines that no rule matches."""
-    return let("f", fold(line), any_of(gate_arms(rules, line, "f").values()))
+    return _bound(line, any_of(gate_arms(rules, "l", "f").values()))
 
 
-def _rule_test(rule: Rule, line: str) -> str:
-    test = matches(line, rule.java)
+def _rule_test(rule: Rule) -> str:
+    test = matches("l", rule.java)
     if rule.literals:
-        test = f"(a.{arm_of(rule)} and {_has_literal(rule, line, 'f')} and {test})"
+        test = f"(a.{arm_of(rule)} and {_has_literal(rule, 'l', 'f')} and {test})"
     return test
 
 
 def _with_arms(rules: Sequence[Rule], line: str, body: str) -> str:
-    arms = ", ".join(f"{quote(n)}, {cond}" for n, cond in gate_arms(rules, line, "f").items())
-    return let("f", fold(line), let("a", f"named_struct({arms})", body))
+    arms = ", ".join(f"{quote(n)}, {cond}" for n, cond in gate_arms(rules, "l", "f").items())
+    return _bound(line, let("a", f"named_struct({arms})", body))
 
 
 def first_rule(rules: Sequence[Rule], line: str) -> str:
     """Index of the first rule, in order, that matches the line; null if none does."""
-    branches = " ".join(f"when {_rule_test(r, line)} then {r.rule_idx}" for r in rules)
+    branches = " ".join(f"when {_rule_test(r)} then {r.rule_idx}" for r in rules)
     return _with_arms(rules, line, f"case {branches} end")
 
 
 def all_rules(rules: Sequence[Rule], line: str) -> str:
     """Indexes of every rule that matches, in rule order."""
-    hits = ", ".join(f"if({_rule_test(r, line)}, {r.rule_idx}, null)" for r in rules)
+    hits = ", ".join(f"if({_rule_test(r)}, {r.rule_idx}, null)" for r in rules)
     return _with_arms(rules, line, f"array_compact(array({hits}))")
 
 

@@ -36,13 +36,12 @@ SEVERITY = {"critical": 4, "high": 3, "medium": 2, "low": 1}
 
 def entropy(text: str) -> str:
     """Shannon entropy: frequencies per character, over the length in bytes."""
-    count = "(char_length(t) - char_length(replace(t, c, '')))"
-    share = f"({count} / cast(octet_length(t) as double))"
-    total = (
-        "aggregate(array_distinct(split(t, '')), 0D, (sum, c) -> "
-        + let("p", share, "sum - p * log2(p)")
-        + ")"
+    counts = (
+        "transform(array_distinct(split(t, '')),"
+        " c -> char_length(t) - char_length(replace(t, c, '')))"
     )
+    share = "n / cast(octet_length(t) as double)"
+    total = f"aggregate({counts}, 0D, (sum, n) -> sum - {share} * log2({share}))"
     return let("t", text, f"case when t = '' then 0D else {total} end")
 
 

@@ -57,7 +57,7 @@ def lines_with_code(
         f"transform({raw_lines('content')},"
         f" (raw, i) -> struct(i + 1 as line_no, raw, {strip_return('raw')} as line))"
     )
-    texts = files.where("content <> ''").selectExpr(
+    texts = files.selectExpr(
         "path", f"{numbered} as numbered", "split(content, '\\n') as every"
     )
     cut = texts.selectExpr(

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from credsieve.functions.rules import Rule, custom_rule, rule_set
 from credsieve.functions.text import let, quote
+from credsieve.sources.lines import spread
 
 # A rule for the tokens that do occur in the documents table.
 CORPUS_TOKEN = custom_rule(
@@ -186,18 +187,18 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def planted_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = load(spark, sf_dir, "orders").select("o_orderkey")
+    orders = spread(load(spark, sf_dir, "orders").select("o_orderkey"))
     orders.createOrReplaceTempView("credsieve_orders")
     return spark.sql(files_sql(SPARK, "credsieve_orders"))
 
 
 def commit_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    load(spark, sf_dir, "conversations").createOrReplaceTempView("credsieve_conversations")
+    spread(load(spark, sf_dir, "conversations")).createOrReplaceTempView("credsieve_conversations")
     return spark.sql(commits_sql(SPARK, "credsieve_conversations"))
 
 
 def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(``path``, ``content``) of the documents table."""
-    return load(spark, sf_dir, "documents").selectExpr(
+    return spread(load(spark, sf_dir, "documents")).selectExpr(
         "concat(source, '/', doc_id) as path", "text as content"
     )

@@ -19,7 +19,7 @@ from credsieve.operators import filters, history, reports, scan, similarity, ver
 from credsieve.plans.corpora import (
     CORPUS_TOKEN, commit_rows, corpus_rules, document_files, load, planted_files,
 )
-from credsieve.session import fresh_path
+from credsieve.session import fresh_path, settled
 from credsieve.sources import files as S
 from credsieve.sources import store as ST
 from credsieve.sources.baseline import ordered_entries
@@ -53,11 +53,7 @@ CORPUS_RULE_VARIANTS = (
 
 
 def _planted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(planted_files(spark, sf_dir).select("path", "content"))
-
-
-def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(document_files(spark, sf_dir))
+    return planted_files(spark, sf_dir).select("path", "content")
 
 
 def _planted_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,13 +82,13 @@ def _flat(findings: DataFrame, *columns: str) -> DataFrame:
 
 def findings_by_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagship: all rules over documents and planted files, counted."""
-    files = _documents(spark, sf_dir).unionByName(_planted(spark, sf_dir))
+    files = document_files(spark, sf_dir).unionByName(_planted(spark, sf_dir))
     found = scan.scan_files(files, corpus_rules())
     return found.groupBy("rule_id", "confidence").agg(F.count("*").alias("n"))
 
 
 def document_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _flat(scan.scan_files(_documents(spark, sf_dir), corpus_rules()))
+    return _flat(scan.scan_files(document_files(spark, sf_dir), corpus_rules()))
 
 
 def planted_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,14 +111,14 @@ def text_table_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     }
     parts = []
     for table, (key, text) in tables.items():
-        texts = load(spark, sf_dir, table).selectExpr(
+        texts = spread(load(spark, sf_dir, table).select(key, text)).selectExpr(
             f"'{table}' as source", f"cast({key} as string) as path", f"{text} as content"
         )
         parts.append(texts)
     texts = parts[0]
     for part in parts[1:]:
         texts = texts.unionByName(part)
-    rows = lines(spread(texts))
+    rows = lines(texts)
     counted = rows.groupBy("source").agg(F.count("*").alias("n_lines"))
     owned = scan.detect(rows, corpus_rules()).groupBy("source").agg(F.count("*").alias("n_hits"))
     return counted.join(owned, "source", "left").select(
@@ -179,7 +175,7 @@ def most_random_group(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def text_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(spark, sf_dir, "conversations").selectExpr(
+    return spread(load(spark, sf_dir, "conversations")).selectExpr(
         "conv_id", "turn", f"round({entropy('text')}, 6) as entropy"
     )
 
@@ -202,11 +198,9 @@ def character_entropy_per_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def contexts_of_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = lines(_documents(spark, sf_dir))
-    pages = lines(
-        load(spark, sf_dir, "pages").selectExpr("url as path", "html as content")
-    )
-    rows = docs.unionByName(pages).unionByName(_planted_lines(spark, sf_dir))
+    docs = lines(document_files(spark, sf_dir))
+    pages = spread(load(spark, sf_dir, "pages").selectExpr("url as path", "html as content"))
+    rows = docs.unionByName(lines(pages)).unionByName(_planted_lines(spark, sf_dir))
     return rows.groupBy(F.expr(context("path", "line")).alias("context")).agg(
         F.count("*").alias("n")
     )
@@ -354,7 +348,7 @@ def history_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat(
         history.scan_history(
             rows.select("hash", "author", "date"),
-            spread(rows.selectExpr("hash as commit_hash", "diff")),
+            rows.selectExpr("hash as commit_hash", "diff"),
             corpus_rules(),
         )
     )
@@ -404,6 +398,12 @@ def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _settled_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings a query uses more than once, or sorts (a sort samples its input
+    before it reads it): computed once."""
+    return settled(_planted_findings(spark, sf_dir))
+
+
 def _accepted(findings: DataFrame) -> DataFrame:
     kept = findings.where(F.col("rule_id").isin(*BASELINED_RULES))
     return B.updated_baseline(
@@ -412,18 +412,18 @@ def _accepted(findings: DataFrame) -> DataFrame:
 
 
 def baseline_suppressed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _planted_findings(spark, sf_dir)
+    found = _settled_findings(spark, sf_dir)
     return _flat(B.suppress(found, _accepted(found)), "file_path", "line_no", "rule_id", "match")
 
 
 def baseline_updated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _planted_findings(spark, sf_dir)
+    found = _settled_findings(spark, sf_dir)
     entries = ordered_entries(B.updated_baseline(_accepted(found), found))
     return entries.withColumn("line", F.col("line").cast("bigint"))
 
 
 def baseline_size(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _planted_findings(spark, sf_dir)
+    found = _settled_findings(spark, sf_dir)
     entries = B.updated_baseline(_accepted(found), found)
     return entries.agg(F.count("*").alias("n"), F.count("reason").alias("n_with_reason"))
 
@@ -451,7 +451,7 @@ def redacted_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def findings_as_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    document = reports.findings_document(_planted_findings(spark, sf_dir), masked=False)
+    document = reports.findings_document(_settled_findings(spark, sf_dir), masked=False)
     item = (
         "from_json(substring(value, 2), 'file string, line bigint, line_text string, match string,"
         " rule_id string, pattern string, confidence string, context string, verified boolean')"
@@ -469,7 +469,7 @@ def sarif_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sarif_as_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The SARIF lines, read back."""
-    document = reports.sarif_document(_planted_findings(spark, sf_dir))
+    document = reports.sarif_document(_settled_findings(spark, sf_dir))
     at = "$.locations[0].physicalLocation"
     return document.selectExpr(
         "if(seq > 4000000000, -1L, seq) as seq",
@@ -490,26 +490,26 @@ def severity_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def severity_ordered_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    report = reports.severity_report(_planted_findings(spark, sf_dir))
+    report = reports.severity_report(_settled_findings(spark, sf_dir))
     return _flat(report, "severity", "file_path", "line_no", "rule_id", "match", "line")
 
 
 def report_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    report = reports.report_lines(_planted_findings(spark, sf_dir), masked=False)
+    report = reports.report_lines(_settled_findings(spark, sf_dir), masked=False)
     return report.groupBy("section", "part").agg(
         F.count("*").alias("n"), F.min("value").alias("first"), F.max("value").alias("last")
     )
 
 
 def ci_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.ci_summary(_planted_findings(spark, sf_dir), masked=False).selectExpr(
+    return reports.ci_summary(_settled_findings(spark, sf_dir), masked=False).selectExpr(
         "number", "file_path", "cast(line_no as bigint) as line_no", "confidence", "match"
     )
 
 
 def gate_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The gate at each threshold and mode, and the status outputs of a CI step."""
-    found = _planted_findings(spark, sf_dir).where("rule_id <> 'pattern-136'")
+    found = _settled_findings(spark, sf_dir).where("rule_id <> 'pattern-136'")
     out = None
     for fail_on, mode in (("critical", "detect"), ("HIGH", "protect"), ("odd", "other"), ("low", "report")):
         row = reports.gate(found, fail_on=fail_on, mode=mode).withColumn("run", F.lit(f"{fail_on}/{mode}"))
@@ -550,14 +550,14 @@ def code_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return verify.code_structure(_documents(spark, sf_dir)).selectExpr(
+    return verify.code_structure(document_files(spark, sf_dir)).selectExpr(
         "path", "cast(size(functions) as bigint) as n_functions",
         "cast(size(imports) as bigint) as n_imports",
     )
 
 
 def neighbour_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = verify.scan_with_code(_documents(spark, sf_dir), corpus_rules())
+    docs = verify.scan_with_code(document_files(spark, sf_dir), corpus_rules())
     found = docs.unionByName(_planted_with_code(spark, sf_dir))
     return _flat(found, "file_path", "line_no", "function", "language", "code", "finding_key")
 
@@ -603,7 +603,7 @@ def decoded_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def merged_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _planted_with_code(spark, sf_dir)
+    found = settled(_planted_with_code(spark, sf_dir))
     given = verify.decode_responses(_responses(found))
     return _flat(
         verify.verify(found, verifier=verify.given_verdicts(given)),
@@ -638,7 +638,7 @@ def embedding_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pseudo_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = load(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    names = spread(load(spark, sf_dir, "customer")).select("c_custkey", "c_name")
     vectors = names.selectExpr("c_custkey", f"{raw_embedding('c_name')} as v")
     return vectors.selectExpr("c_custkey", "posexplode(v) as (i, x)").selectExpr(
         "c_custkey", "cast(i as bigint) as i", "round(cast(x as double), 4) as x"
@@ -647,7 +647,7 @@ def pseudo_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def unit_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cosine of each name's vector with that of the next customer's."""
-    names = load(spark, sf_dir, "customer").selectExpr(
+    names = spread(load(spark, sf_dir, "customer")).selectExpr(
         "c_custkey", "c_name as a", "concat('Customer#', lpad(c_custkey + 1, 9, '0')) as b"
     )
     both = names.selectExpr("c_custkey", f"{embedding('a')} as va", f"{embedding('b')} as vb")
@@ -680,7 +680,7 @@ def similar_verified(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def reused_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings judged with a store that knows some of them already."""
-    found = _planted_with_code(spark, sf_dir)
+    found = settled(_planted_with_code(spark, sf_dir))
     known = ST.store_rows(
         verify.merge_verdicts(verify.heuristic_verdicts(found)).where("line_no = 4"),
         embedding("line"), timestamp="conv(substring(md5(file_path), 1, 7), 16, 10)",
@@ -692,7 +692,7 @@ def reused_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def store_upserted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _planted_findings(spark, sf_dir)
+    found = _settled_findings(spark, sf_dir)
     first = ST.store_rows(found, "array(cast(line_no as float))", timestamp="1")
     second = ST.store_rows(
         found.where("line_no = 4").selectExpr("* except (verified)", "true as verified"),
@@ -721,6 +721,7 @@ def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
         spark.readStream.schema(schema)
         .option("pathGlobFilter", "events.parquet")
         .parquet(sf_dir)
+        .repartition(spark.sparkContext.defaultParallelism)
     )
     secret = "substr(md5(cast(user_id as string)), 1, 10 + cast(event_id % 3 as int))"
     return events.selectExpr(

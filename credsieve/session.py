@@ -43,10 +43,11 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the shared folder, so a lost executor cannot
-    make a later read see different rows or row ids."""
-    spark = df.sparkSession
-    folder = shared_dir(spark)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    """``df`` computed once and read back from a table in the shared folder.
+
+    A lost executor then cannot make a later read see different rows or row ids, and
+    several uses do not compute it again.
+    """
+    path = fresh_path(df.sparkSession, "settled")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -13,20 +13,22 @@ LONG_LINES = ("skip", "file", "keep")
 def spread(df: DataFrame) -> DataFrame:
     """Give every core work when the input is a few small files.
 
-    Only an input with fewer partitions than the cluster has cores, that is a
-    small one, is shuffled; a large scan already has more and stays as it is.
+    A small file is often one row group, so its splits are one full task and some
+    empty ones.  Only an input with fewer than two splits per core, that is a small
+    one, is shuffled; a large scan has more and stays as it is.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < 2 * cores else df
 
 
 def raw_lines(content: str) -> str:
-    """All lines as an array; a final newline does not start another line."""
+    """All lines as an array, none for an empty text; a final newline does not start
+    another line."""
     body = (
         f"if(endswith({content}, '\\n'),"
         f" substring({content}, 1, char_length({content}) - 1), {content})"
     )
-    return f"split({body}, '\\n')"
+    return f"if({content} = '', cast(array() as array<string>), split({body}, '\\n'))"
 
 
 def strip_return(raw: str) -> str:
@@ -54,9 +56,7 @@ def lines(files: DataFrame, *, content: str = "content", long_lines: str = "skip
     if long_lines == "file":
         files = without_long_texts(files, content)
     keys = [c for c in files.columns if c != content]
-    out = files.where(f"{content} <> ''").selectExpr(
-        *keys, f"posexplode({raw_lines(content)}) as (pos, raw)"
-    )
+    out = files.selectExpr(*keys, f"posexplode({raw_lines(content)}) as (pos, raw)")
     if long_lines == "skip":
         out = out.where(f"not {is_long('raw')}")
     return out.selectExpr(*keys, "pos + 1 as line_no", f"{strip_return('raw')} as line")

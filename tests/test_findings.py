@@ -238,7 +238,7 @@ def test_prompt(with_code):
     _, found = with_code
     text = verify.requests(found.where("language = 'yaml'")).first()["prompt"]
     assert "- File: b.yml\n- Language: yaml\n- Function: unknown\n- Line: 1\n" in text
-    assert "\nEntropy: 4.18\nContext type: code\nInitial confidence: critical\n" in text
+    assert "\nEntropy: 4.25\nContext type: code\nInitial confidence: critical\n" in text
     assert text.endswith('"recommendation": "what to do"\n}') and "{{" not in text
 
 
