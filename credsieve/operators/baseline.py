@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 from credsieve.functions.identity import fingerprint, secret_hash
 from credsieve.operators.joins import salted_join
+from credsieve.session import settled
+from credsieve.sources.baseline import ordered_entries, read_baseline
+
+DEFAULT_PATH = "credsieve-baseline"
 
 _FINGERPRINT = fingerprint("file_path", "rule_id", "match")
 
@@ -56,3 +60,13 @@ def updated_baseline(baseline: DataFrame, findings: DataFrame, reason: str = "")
         .agg(F.min(F.struct("_new", *rest)).alias("_first"))
         .select("fingerprint", *[f"_first.{c}" for c in ("file", "line", "rule_id", "secret_hash", "reason")])
     )
+
+
+def update_stored_baseline(
+    findings: DataFrame, path: str = DEFAULT_PATH, *, reason: str = "", format: str = "json"
+) -> DataFrame:
+    """Add findings to the baseline stored at ``path``, keeping what is already there."""
+    current = read_baseline(findings.sparkSession, path, format=format)
+    grown = settled(updated_baseline(current, findings, reason))
+    ordered_entries(grown).write.mode("overwrite").format(format).save(path)
+    return grown

@@ -97,6 +97,16 @@ def heuristic_verdicts(findings: DataFrame) -> DataFrame:
     return pin(findings, verdict=V.heuristic())
 
 
+def batch_verdicts(findings: DataFrame, contexts: DataFrame) -> DataFrame:
+    """Verdicts for findings and their contexts, paired by ``finding_key``; both sides
+    must pair up completely."""
+    paired = findings.join(contexts, "finding_key")
+    sizes = {df.count() for df in (findings, contexts, paired)}
+    if len(sizes) > 1:
+        raise ValueError("findings and contexts must have same length")
+    return heuristic_verdicts(paired)
+
+
 def disabled_verdicts(findings: DataFrame) -> DataFrame:
     return findings.withColumn("verdict", F.expr(V.disabled()))
 

@@ -16,6 +16,7 @@ from credsieve.functions.score import context, entropy, severity
 from credsieve.functions.vectors import cosine, embedding, raw_embedding
 from credsieve.operators import baseline as B
 from credsieve.operators import filters, history, reports, scan, similarity, verify
+from credsieve.operators.run import complete_scan as complete
 from credsieve.plans.corpora import (
     CORPUS_TOKEN, commit_rows, corpus_rules, document_files, load, planted_files,
 )
@@ -535,6 +536,31 @@ def totals_by_origin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.totals_by_origin(history.all_findings(_planted_findings(spark, sf_dir), past))
 
 
+def complete_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files and history through config and baseline, as one scan."""
+    files = planted_files(spark, sf_dir).selectExpr(
+        "path", "octet_length(content) as size", "content"
+    )
+    rows = commit_rows(spark, sf_dir)
+    accepted = load(spark, sf_dir, "customer").selectExpr(
+        "concat('src/app_', c_custkey, '.py') as path",
+        "concat('password = \"', substr(md5(cast(c_custkey as string)), 1, 12)) as secret",
+    )
+    found = complete(
+        files,
+        config=FILTERS,
+        commits=rows.select("hash", "author", "date"),
+        diffs=rows.selectExpr("hash as commit_hash", "diff"),
+        since="2024-02-01",
+        baseline=accepted.selectExpr(
+            f"{fingerprint('path', repr('pattern-136'), 'secret')} as fingerprint"
+        ),
+    )
+    return found.selectExpr(
+        "origin", "file_path", "cast(line_no as bigint) as line_no", "rule_id", "match", "confidence"
+    )
+
+
 # --- verification ----------------------------------------------------------
 
 
@@ -800,7 +826,7 @@ QUERIES: dict[str, Query] = {
         baseline_size, baseline_as_document,
         redacted_findings, redacted_documents, findings_as_json, sarif_results, sarif_as_document,
         severity_totals, severity_ordered_report, report_text, ci_summary, gate_results, ci_outputs,
-        counts_per_confidence, totals_by_origin,
+        counts_per_confidence, totals_by_origin, complete_scan,
         code_structure, document_structure, neighbour_lines, heuristic_verdicts, reserved_addresses,
         verification_requests, decoded_responses, merged_verdicts, disabled_verification,
         pseudo_embeddings, unit_embeddings, cosine_to_first, latest_verified, similar_verified,

@@ -10,8 +10,10 @@ from credsieve.functions import verdict as V
 from credsieve.functions.vectors import cosine, embedding, raw_embedding, unit
 from credsieve.operators import baseline as B
 from credsieve.operators import reports, scan, similarity, verify
+from credsieve.operators.run import complete_scan
 from credsieve.sources import baseline as SB
 from credsieve.sources import store as ST
+from credsieve.sources.config import Config
 
 SCHEMA = (
     "file string, file_path string, line_no int, line string, match string, rule_id string,"
@@ -75,6 +77,14 @@ def test_baseline_storage(spark, frame, fresh_dir):
         SB.read_baseline(spark, f"{fresh_dir}/.hidden.json")
 
 
+def test_update_of_a_stored_baseline(frame, fresh_dir):
+    path = f"{fresh_dir}/accepted"
+    assert B.update_stored_baseline(frame(finding()), path, reason="first").count() == 1
+    B.update_stored_baseline(frame(finding(line_no=5), finding(path="b.py")), path, reason="second")
+    kept = SB.read_baseline(frame(finding()).sparkSession, path, format="json").collect()
+    assert sorted((r["file"], r["reason"]) for r in kept) == [("b.py", "second"), ("src/a.py", "first")]
+
+
 # --- reports ------------------------------------------------------------------
 
 
@@ -238,10 +248,28 @@ def test_prompt(with_code):
     _, found = with_code
     text = verify.requests(found.where("language = 'yaml'")).first()["prompt"]
     assert "- File: b.yml\n- Language: yaml\n- Function: unknown\n- Line: 1\n" in text
-    assert "\nEntropy: 4.25\nContext type: code\nInitial confidence: critical\n" in text
+    assert "\nEntropy: 4.33\nContext type: code\nInitial confidence: critical\n" in text
     assert text.endswith('"recommendation": "what to do"\n}') and "{{" not in text
 
 
+def test_batches_must_pair_up(with_code):
+    _, found = with_code
+    contexts = found.select("finding_key")
+    assert verify.batch_verdicts(found, contexts).count() == 2
+    with pytest.raises(ValueError):
+        verify.batch_verdicts(found, contexts.where("false"))
+
+
+def test_complete_scan(spark, with_code):
+    files, _ = with_code
+    sized = files.selectExpr("path", "octet_length(content) as size", "content")
+    found = complete_scan(sized, include_globs=["*.yml"], verifier=verify.heuristic_verdicts)
+    [row] = found.collect()
+    assert (row["origin"], row["file_path"], row["verified"]) == ("files", "b.yml", True)
+    assert complete_scan(sized, baseline=B.entries_of(found)).count() == 1
+    assert complete_scan(sized, config=Config(max_file_size=40)).count() == 1
+
+
 def test_merge_and_fallback(spark, with_code):
     _, found = with_code
     key = found.where("language = 'yaml'").first()["finding_key"]
