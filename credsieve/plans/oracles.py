@@ -131,7 +131,7 @@ _RANK = "(case confidence when 'critical' then 4 when 'high' then 3 when 'medium
 _FINGERPRINT = "substr(sha256(concat(file_path, ':', rule_id, ':', match)), 1, 32)"
 
 # A diff decoded with windows over its lines.
-_ADDED = f"""commits as materialized ({commits_sql(DUCKDB)}),
+_ADDED = f"""commits as ({commits_sql(DUCKDB)}),
     raw as (select hash, author, unnest(string_split(diff, chr(10))) as raw,
         generate_subscripts(string_split(diff, chr(10)), 1) as seq from commits),
     marked as (select *, starts_with(raw, '+++ b/') as is_file,
@@ -496,11 +496,13 @@ def oracle_sql() -> dict[str, str]:
         "totals_by_origin": f"""with {_HISTORY}, {_FOUND}, origins as (select 'files' as origin, count(*) as n
                 from found union all select 'history', count(*) from past)
             select origin, n from origins union all select 'all', sum(n)::bigint from origins""",
-        "complete_scan": f"""with {_HISTORY}, {_FOUND}, both_phases as (
+        "complete_scan": f"""with {_HISTORY}, {_FOUND}, both_phases as materialized (
                 select 'files' as origin, file_path, line_no, rule_id, match, confidence, entropy from found
                 where not starts_with(file_path, 'web/vendor/') and not ends_with(file_path, '.min.js')
                 union all select 'history', file_path, line_no, rule_id, match, confidence, entropy from past
-                where hash in (select hash from commits where date >= '2024-02-01'))
+                where hash in (select hash from commits where date >= '2024-02-01')),
+            accepted as (select concat('src/app_', c_custkey, '.py') as path, 'pattern-136' as rule,
+                concat('password = "', substr(md5(cast(c_custkey as varchar)), 1, 12)) as secret from customer)
             select origin, file_path, line_no, rule_id, match, confidence from both_phases
             where split_part(file_path, '/', -1) <> 'app_7.py'
                 and not regexp_matches(file_path, '^conf/docs/[^/]*$')
@@ -509,9 +511,8 @@ def oracle_sql() -> dict[str, str]:
                 and match <> 'password = "c4ca4238a0b9' and not regexp_matches(match, '(?i)^glpat-[0-9a]')
                 and rule_id not in ('pattern-0', 'pattern-21')
                 and (entropy >= 3.4 or confidence in ('critical', 'high'))
-                and not (rule_id = 'pattern-136' and (file_path, match) in (select
-                    (concat('src/app_', c_custkey, '.py'),
-                     concat('password = "', substr(md5(cast(c_custkey as varchar)), 1, 12))) from customer))""",
+                and not exists (select 1 from accepted a where a.path = file_path and a.secret = match
+                    and a.rule = rule_id)""",
         "code_structure": f"""with {_FILES}, rows as (select path, unnest(string_split(content, chr(10))) as raw,
                 generate_subscripts(string_split(content, chr(10)), 1) as no from planted)
             select path, case lower(regexp_extract(path, '(\\.[^./]*)$', 1)) when '.go' then 'go' when '.py' then 'python'
