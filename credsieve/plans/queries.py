@@ -753,7 +753,7 @@ def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.selectExpr(
         "concat('app/', event_type, '_', user_id % 50, '.py') as path",
         f"concat(props, ' password = \"', {secret}, '\"') as content",
-        "cast(ts as timestamp) as ts",
+        "to_timestamp(concat(cast(ts as string), 'Z')) as ts",
     )
 
 
