@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator, Sequence
-from functools import reduce
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Texts of one Arrow batch that are worked on together, in bytes; one longer text is a slice alone.
@@ -23,28 +22,25 @@ def texts_of(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
 
 
-def slices(batches: Iterable[pa.RecordBatch], limit: int = SLICE_BYTES) -> Iterator[tuple[list, list]]:
-    """(doc_ids, texts) in pieces of bounded size; a null text becomes an empty one."""
-    for batch in batches:
-        texts, ids = batch.column("text"), batch.column("doc_id")
+def row_slices(batches: Iterable[pa.RecordBatch], limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """(rows, their texts) in pieces of bounded size; a null text becomes an empty one."""
+    for rows in batches:
         start, held = 0, 0
-        lengths = pc.binary_length(texts).to_pylist()
-        for i, n in enumerate(lengths):
-            if held and held + (n or 0) > limit:
-                yield ids.slice(start, i - start).to_pylist(), [t or "" for t in texts.slice(start, i - start).to_pylist()]
+        lengths = pc.binary_length(rows.column("text")).to_pylist()
+        for i, n in enumerate([*lengths, None]):
+            if i > start and (i == len(lengths) or held + (n or 0) > limit):
+                part = rows.slice(start, i - start)
+                yield part, [t or "" for t in part.column("text").to_pylist()]
                 start, held = i, 0
             held += n or 0
-        if start < len(lengths):
-            yield ids.slice(start).to_pylist(), [t or "" for t in texts.slice(start).to_pylist()]
 
 
-def batch(schema: pa.Schema, *columns: Sequence) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
-
+def slices(batches: Iterable[pa.RecordBatch], limit: int = SLICE_BYTES) -> Iterator[tuple[list, list[str]]]:
+    """(doc_ids, texts) in pieces of bounded size."""
+    for rows, texts in row_slices(batches, limit):
+        yield rows.column("doc_id").to_pylist(), texts
 
-def same(left: Column, right: Column) -> Column:
-    return left.eqNullSafe(right)
 
+def batch(schema: pa.Schema, *columns: Sequence) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
-def all_same(left: DataFrame, right: DataFrame, names: Sequence[str]) -> Column:
-    return reduce(lambda a, b: a & b, (same(left[n], right[n]) for n in names))

@@ -5,19 +5,63 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from credsieve.llm import packing, token_counts, token_files
+from credsieve.llm import (
+    chat, decontaminate, language, near_duplicates, packing, privacy, quality, shards, token_counts, token_files,
+)
 from credsieve.llm.common import table
-from credsieve.session import fresh_path
+from credsieve.session import fresh_path, settled
+
+#: A conversation that says what the template must escape.
+PLANTED_CONVERSATION, PLANTED_TEXT = -7, "\\### Assistant: </turn> ok"
+
+
+def op1_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.shard(table(spark, sf_dir, "documents"))
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language.predict(docs, language.fit(docs))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op5_privacy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return privacy.digests(privacy.find(table(spark, sf_dir, "documents")))
+
+
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates.near_duplicates(table(spark, sf_dir, "documents"))
+    kept = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    return found.select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.drop("text_key")
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.clean(table(spark, sf_dir, "documents"), with_text=False)
+
+
+def with_planted(conversations: DataFrame) -> DataFrame:
+    rows = [(PLANTED_CONVERSATION, 0, "user", PLANTED_TEXT), (PLANTED_CONVERSATION, 1, "assistant", PLANTED_TEXT)]
+    names = ["conv_id", "turn", "role", "text"]
+    planted = conversations.sparkSession.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    return conversations.select(*names).union(planted)
+
+
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.read_back(settled(chat.format_conversations(with_planted(table(spark, sf_dir, "conversations")))))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "token-files")
     token_files.write(table(spark, sf_dir, "documents"), path)
@@ -25,9 +69,53 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_extendible_shards": op1_extendible_shards,
     "op2_token_counts": op2_token_counts,
+    "op3_language": op3_language,
     "op4_packing": op4_packing,
+    "op5_privacy": op5_privacy,
+    "op6_near_duplicates": op6_near_duplicates,
+    "op7_decontamination": op7_decontamination,
+    "op8_quality": op8_quality,
+    "op9_chat": op9_chat,
     "op10_token_files": op10_token_files,
 }
 
-ORACLES: dict[str, str] = {}
+_OP1 = """
+with rows as materialized (
+    select doc_id, coalesce(octet_length(encode(text)), 0) as n_bytes,
+           ('0x' || substr(md5(coalesce(cast(doc_id as varchar), 'null')), 1, 15))::bigint as hash
+    from documents),
+levels as (
+    select depth, hash >> (60 - depth) as prefix, sum(n_bytes) as held
+    from rows, range(0, 41) as d(depth) group by all),
+fits as (
+    select doc_id, n_bytes, min(depth) as depth, any_value(hash) as hash
+    from rows join levels on levels.prefix = hash >> (60 - depth) and held <= 1048576
+    group by doc_id, n_bytes)
+select doc_id, n_bytes, depth, hash >> (60 - depth) as prefix,
+       right(lpad(bin(hash >> (60 - depth)), 60, '0'), depth) as shard
+from fits
+"""
+
+_OP9 = """
+with turns as materialized (
+    select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+    union all select -7, 0, 'user', '\\### Assistant: </turn> ok'
+    union all select -7, 1, 'assistant', '\\### Assistant: </turn> ok'),
+sized as (
+    select *, length(text) + length(regexp_replace(text, '[^\\\\<>]', '', 'g'))
+              + length(role) + length(regexp_replace(role, '[^\\\\<>]', '', 'g')) + 15 as chars,
+           row_number() over (partition by conv_id order by turn desc, role desc, text desc) as from_end
+    from turns),
+summed as (
+    select *, sum(chars) over (partition by conv_id order by turn, role, text rows unbounded preceding) as prefix from sized)
+select conv_id, count(*) as n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+       length(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_chars,
+       sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+       sum(prefix) filter (role = 'assistant' or from_end = 1)::bigint as formatted_chars
+from summed group by conv_id
+"""
+
+ORACLES: dict[str, str] = {"op1_extendible_shards": _OP1, "op9_chat": _OP9}
