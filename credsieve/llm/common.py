@@ -44,3 +44,26 @@ def slices(batches: Iterable[pa.RecordBatch], limit: int = SLICE_BYTES) -> Itera
 def batch(schema: pa.Schema, *columns: Sequence) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
+
+
+#: Rows up to which a table of keys is sent to every executor instead of joined by shuffle.
+BROADCAST_KEYS = 1_000_000
+
+
+def sized(keys: DataFrame) -> DataFrame:
+    """``keys`` with a hint to broadcast it if its counted size is small."""
+    return F.broadcast(keys) if keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else keys
+
+
+def row_join(docs: DataFrame, found: DataFrame, how: str, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, str]:
+    """``docs`` joined with ``found`` on its ``doc_id`` (nulls equal) and ``text_key``, xxhash64 of the text.
+
+    The other columns of ``found`` get a prefix, returned with the join, that no column of ``docs`` has.
+    """
+    prefix = "_"
+    while any(name.lower().startswith(prefix) for name in docs.columns):
+        prefix += "_"
+    named = found.select(*[F.col(c).alias(prefix + c) for c in found.columns])
+    marked = docs.withColumn(prefix + "own", F.xxhash64(F.col(text).cast("string")))
+    met = F.col(key).cast("long").eqNullSafe(F.col(prefix + "doc_id")) & (F.col(prefix + "own") == F.col(prefix + "text_key"))
+    return marked.join(sized(named), met, how), prefix

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from credsieve.llm.common import batch, row_slices, texts_of
+from credsieve.llm.common import batch, row_join, row_slices, sized, texts_of
 from credsieve.session import settled
 
 # ---------------------------------------------------------------------------
@@ -46,8 +46,6 @@ _NEAR_CHARS = 80
 LEAST_TERM = 3
 LEAST_CONTEXTS = 3
 DISCLOSURE = 0.8
-#: Rows up to which a table of keys is sent to every executor instead of shuffled.
-BROADCAST_KEYS = 1_000_000
 
 _TERM = re.compile(r"[^\W_]+")
 _DIGIT = re.compile("[0-9]")
@@ -148,10 +146,6 @@ def _scan(batches):
         row += len(texts)
 
 
-def _sized(keys: DataFrame) -> DataFrame:
-    return F.broadcast(keys) if keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else keys
-
-
 def disclosing(rows: DataFrame, found: DataFrame) -> DataFrame:
     """(``value``, ``term``, ``disclosure``) of the pairs over the threshold.
 
@@ -165,7 +159,7 @@ def disclosing(rows: DataFrame, found: DataFrame) -> DataFrame:
     total = found.count()
     together = near.select("row", "value", "term").distinct().groupBy("value", "term").agg(F.count("*").alias("both"))
     values = near.select("row", "value").distinct().groupBy("value").agg(F.count("*").alias("of_value"))
-    terms = _sized(settled(enough.select("term").distinct()))
+    terms = sized(settled(enough.select("term").distinct()))
     words = rows.select(F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))).alias("term"))
     of_term = words.join(terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("of_term"))
     met = enough.join(together, ["value", "term"]).join(values, "value").join(of_term, "term", "left")
@@ -243,11 +237,9 @@ def sanitise(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> Dat
     found = find(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")))
     kind = KINDS.index("term")
     terms = found.where(F.exists("spans", lambda s: s["kind"] == kind)).select(
-        F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.filter("spans", lambda s: s["kind"] == kind).alias("_terms")
+        "doc_id", "text_key", F.filter("spans", lambda s: s["kind"] == kind).alias("terms")
     )
-    terms = settled(terms.dropDuplicates(["_id", "_key"]))
-    marked = docs.withColumn("_text_key", F.xxhash64(F.col(text).cast("string")))
-    met = marked.join(_sized(terms), F.col(key).cast("long").eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key")), "left")
+    met, prefix = row_join(docs, settled(terms.dropDuplicates(["doc_id", "text_key"])), "left", key, text)
     names = docs.columns
     at = names.index(text)
 
@@ -263,4 +255,4 @@ def sanitise(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> Dat
             columns[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return met.select(*names, "_terms").mapInArrow(work, docs.schema)
+    return met.select(*names, prefix + "terms").mapInArrow(work, docs.schema)
