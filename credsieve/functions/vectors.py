@@ -56,3 +56,18 @@ def cosine(a: str, b: str) -> str:
     """Cosine similarity; 0 for unequal lengths, empty or zero vectors."""
     scaled = let("n", f"{norm(a)} * {norm(b)}", f"if(n = 0, 0D, {dot(a, b)} / n)")
     return f"cast(if(size({a}) <> size({b}) or size({a}) = 0, 0D, {scaled}) as float)"
+
+
+def strict_cosine(a: str, b: str) -> str:
+    """Cosine with every sum in single precision; vectors of unequal length are an error."""
+
+    def summed(x: str, y: str) -> str:
+        return (
+            f"aggregate(zip_with({x}, {y}, (x, y) -> cast(cast(x as float) * cast(y as float) as float)),"
+            " cast(0 as float), (sum, p) -> cast(sum + p as float))"
+        )
+
+    length = f"(sqrt(cast({summed(a, a)} as double)) * sqrt(cast({summed(b, b)} as double)))"
+    scaled = let("n", length, f"if(n = 0, 0D, cast({summed(a, b)} as double) / n)")
+    unequal = "raise_error('vectors must have same length')"
+    return f"cast(if(size({a}) <> size({b}), cast({unequal} as double), {scaled}) as float)"

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from credsieve.functions.identity import fingerprint, secret_hash
-from credsieve.operators.joins import salted_join
+from credsieve.operators.joins import skewed_join
 from credsieve.session import settled
-from credsieve.sources.baseline import ordered_entries, read_baseline
+from credsieve.sources.baseline import empty_baseline, read_baseline, write_baseline
+from credsieve.sources.store import remove_snapshots, snapshots
 
 DEFAULT_PATH = "credsieve-baseline"
 
@@ -22,13 +23,7 @@ def with_fingerprint(findings: DataFrame) -> DataFrame:
 def suppress(findings: DataFrame, baseline: DataFrame) -> DataFrame:
     """Findings whose fingerprint is not in the baseline."""
     known = baseline.select("fingerprint").distinct()
-    fresh = salted_join(
-        with_fingerprint(findings),
-        known,
-        ["fingerprint"],
-        "left_anti",
-        spread_by=("line_no", "line"),
-    )
+    fresh = skewed_join(with_fingerprint(findings), known, ["fingerprint"], "left_anti")
     return fresh.select(*findings.columns)
 
 
@@ -62,11 +57,25 @@ def updated_baseline(baseline: DataFrame, findings: DataFrame, reason: str = "")
     )
 
 
+def stored_baseline(spark: SparkSession, path: str = DEFAULT_PATH, *, format: str = "json") -> DataFrame:
+    """The entries of the newest complete version below ``path``; none if there is no version."""
+    versions = snapshots(spark, path)
+    if not versions:
+        return empty_baseline(spark)
+    return read_baseline(spark, f"{path}/snapshot={versions[-1]}", format=format)
+
+
 def update_stored_baseline(
     findings: DataFrame, path: str = DEFAULT_PATH, *, reason: str = "", format: str = "json"
 ) -> DataFrame:
-    """Add findings to the baseline stored at ``path``, keeping what is already there."""
-    current = read_baseline(findings.sparkSession, path, format=format)
-    grown = settled(updated_baseline(current, findings, reason))
-    ordered_entries(grown).write.mode("overwrite").format(format).save(path)
+    """Add findings to the baseline stored at ``path``, keeping what is already there.
+
+    The grown baseline is a new numbered version beside the old one, which stays whole if
+    the job fails; versions before the last two are removed.
+    """
+    spark = findings.sparkSession
+    versions = snapshots(spark, path)
+    grown = settled(updated_baseline(stored_baseline(spark, path, format=format), findings, reason))
+    write_baseline(grown, f"{path}/snapshot={versions[-1] + 1 if versions else 0}", format=format)
+    remove_snapshots(spark, path, keep=2)
     return grown

@@ -11,7 +11,7 @@ from credsieve.functions.dialect import to_java
 from credsieve.functions.globs import full_match
 from credsieve.functions.rules import Rule
 from credsieve.functions.text import base_name, matches, quote
-from credsieve.operators.joins import salted_join
+from credsieve.operators.joins import skewed_join
 from credsieve.sources.config import Config
 
 
@@ -71,9 +71,7 @@ def without_listed(findings: DataFrame, listed: DataFrame, column: str) -> DataF
     """Anti join for allowlists kept as tables: drops findings whose ``column``
     (``match``, ``rule_id`` or ``file_path``) appears in ``listed``."""
     known = listed.select(F.col(column)).distinct()
-    return salted_join(
-        findings, known, [column], "left_anti", spread_by=("file_path", "line_no", "line")
-    )
+    return skewed_join(findings, known, [column], "left_anti")
 
 
 def at_least(threshold: str, level: str = "confidence") -> str:

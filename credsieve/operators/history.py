@@ -10,17 +10,12 @@ from pyspark.sql import functions as F
 from credsieve.functions import detect as D
 from credsieve.functions.rules import Rule
 from credsieve.functions.text import pin
-from credsieve.operators.joins import salted_join
+from credsieve.operators.joins import skewed_join
 from credsieve.operators.scan import detect, score, with_rule
 from credsieve.sources.history import added_lines, select_commits
 
-# A commit selection up to this size is cut out of the diffs before they are read:
-# its hashes, about 100 bytes each, are safe to broadcast.
-BROADCAST_COMMITS = 200_000
-
-
 def history_hits(
-    diffs: DataFrame, rules: Sequence[Rule], *, long_lines: str = "skip"
+    diffs: DataFrame, rules: Sequence[Rule], *, long_lines: str = "keep"
 ) -> DataFrame:
     """Scored hits on added lines.  Unlike file scans: whole matches, regex lines
     included, low hits kept."""
@@ -37,27 +32,20 @@ def scan_history(
     max_commits: int = 0,
     since: str | None = None,
     reachable: str | None = None,
-    long_lines: str = "skip",
+    long_lines: str = "keep",
 ) -> DataFrame:
     """Findings of ``diffs`` (``commit_hash``, ``diff``) in the selected ``commits``.
 
-    Diffs are scanned where they lie; only hits, a small fraction, are shuffled to
-    meet their commit.
+    Diffs of other commits are dropped before they are decoded, where anything is
+    selected; the rest are scanned, and hits, a small fraction, meet their commit.
     """
     chosen = select_commits(
         commits, max_commits=max_commits, since=since, reachable=reachable
     ).select(F.col("hash").alias("commit_hash"), "author")
     diffs = diffs.select("commit_hash", "diff")
-    if 0 < max_commits <= BROADCAST_COMMITS:
-        wanted = F.broadcast(chosen.select("commit_hash"))
-        diffs = diffs.join(wanted, "commit_hash", "left_semi")
-    hits = salted_join(
-        history_hits(diffs, rules, long_lines=long_lines),
-        chosen,
-        ["commit_hash"],
-        "inner",
-        spread_by=("path", "line_no", "line"),
-    )
+    if max_commits > 0 or since or reachable:
+        diffs = diffs.join(chosen.select("commit_hash"), "commit_hash", "left_semi")
+    hits = skewed_join(history_hits(diffs, rules, long_lines=long_lines), chosen, ["commit_hash"], "inner")
     short = "substring(commit_hash, 1, 8)"
     return hits.selectExpr(
         "path as file",

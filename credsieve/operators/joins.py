@@ -5,30 +5,18 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
+#: Parts a key's rows are dealt to where they must first be reduced within each part.
 SALTS = 16
 
 
-def salted_join(
-    left: DataFrame,
-    right: DataFrame,
-    on: Sequence[str],
-    how: str,
-    *,
-    spread_by: Sequence[str],
-    salts: int = SALTS,
-) -> DataFrame:
-    """Equi join of a possibly skewed ``left`` with a narrow ``right``.
+def skewed_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str) -> DataFrame:
+    """Equi join of a possibly skewed ``left`` with a ``right`` that has each key once.
 
-    Rows of one key are spread over ``salts`` tasks by a hash of ``spread_by``,
-    columns that differ within a key, and ``right`` is repeated once per salt.
-    Neither side is broadcast by hint; adaptive execution still turns the join
-    into a broadcast when it measures a small side.
+    A plain join: adaptive execution makes it a broadcast when it measures a small right
+    side, and otherwise splits the tasks of heavy keys of the left, reading the matching
+    part of the right again for those alone.  Nothing is copied for keys that are not heavy.
     """
     if how not in ("inner", "left", "left_anti", "left_semi"):
         raise ValueError(f"{how} would return repeated rows of the right side")
-    salt = F.expr(f"pmod(xxhash64({', '.join(spread_by)}), {salts})")
-    repeated = right.withColumn("_salt", F.expr(f"explode(sequence(0L, {salts - 1}L))"))
-    joined = left.withColumn("_salt", salt).join(repeated, [*on, "_salt"], how)
-    return joined.drop("_salt")
+    return left.join(right, list(on), how)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from credsieve.functions import detect as D
 from credsieve.functions.rules import Rule
 from credsieve.functions.score import SEVERITY, severity
-from credsieve.functions.text import quote
+from credsieve.functions.text import let, quote
 from credsieve.operators.filters import at_least
 from credsieve.operators.order import numbered
 from credsieve.sources.baseline import VERSION
@@ -30,6 +30,11 @@ SARIF_LEVELS = {"critical": "error", "high": "error", "medium": "warning", "low"
 SARIF_OTHER_LEVEL = "warning"
 SARIF_MESSAGE = ("Potential secret detected (", ")")
 
+# Section titles of the readable report.
+TITLES = {
+    "critical": "=== CRITICAL FINDINGS ===", "high": "=== HIGH CONFIDENCE ===", "medium": "=== MEDIUM CONFIDENCE ===",
+}
+
 # Fixed value: findings are reported in this order.
 REPORT_ORDER = ("file_path", "line_no", "rule_id", "match")
 
@@ -47,12 +52,45 @@ def redact(findings: DataFrame, enabled: bool = True) -> DataFrame:
     )
 
 
+def _match_spans(line: str, regex: str) -> str:
+    """(s, e) of every match of a regex, from the pieces between matches."""
+    found, pieces = f"regexp_extract_all({line}, {regex}, 0)", f"split({line}, {regex})"
+    begun = "b.at + char_length(get(p, i))"
+    step = (
+        f"named_struct('at', {begun} + char_length(get(m, i)),"
+        f" 'spans', concat(b.spans, array(named_struct('s', {begun}, 'e', {begun} + char_length(get(m, i))))))"
+    )
+    none = "cast(array() as array<struct<s: int, e: int>>)"
+    walked = (
+        f"if(size(m) = 0, {none}, aggregate(sequence(0, size(m) - 1),"
+        f" named_struct('at', 0, 'spans', {none}), (b, i) -> {step}, b -> b.spans))"
+    )
+    return let("m", found, let("p", pieces, walked))
+
+
 def redacted_line(rules: Sequence[Rule], line: str) -> str:
-    """The line with the matches of every rule masked, in rule order."""
-    regex = D.rule_text(rules, "i", lambda r: r.java)
+    """The line with everything masked that any rule matches on it.
+
+    All matches are found on the line as it is; where they overlap or touch, one mask
+    stands for all of them, so a wider match leaves no rest behind a narrower one.
+    """
+    regex = D.rule_text(rules, "r", lambda r: r.java)
+    spans = f"array_sort(flatten(transform({D.all_rules(rules, line)}, r -> {_match_spans(line, regex)})))"
+    last = "element_at(u, -1)"
+    joined = (
+        f"concat(slice(u, 1, size(u) - 1), array(named_struct('s', {last}.s, 'e', greatest({last}.e, x.e))))"
+    )
+    # ``get`` of an empty list is null where ``element_at`` would fail.
+    meets = "size(u) > 0 and x.s <= get(u, size(u) - 1).e"
+    union = (
+        f"aggregate({spans}, cast(array() as array<struct<s: int, e: int>>),"
+        f" (u, x) -> if({meets}, {joined}, concat(u, array(x))))"
+    )
     masked = (
-        f"aggregate({D.all_rules(rules, line)}, {line},"
-        f" (text, i) -> regexp_replace(text, {regex}, {quote(MASK)}))"
+        f"aggregate({union}, named_struct('at', 0, 'text', ''),"
+        f" (b, x) -> named_struct('at', x.e, 'text',"
+        f" concat(b.text, substring({line}, b.at + 1, x.s - b.at), {quote(MASK)})),"
+        f" b -> concat(b.text, substring({line}, b.at + 1)))"
     )
     return f"if({D.line_gate(rules, line)}, {masked}, {line})"
 
@@ -230,6 +268,7 @@ def report_lines(findings: DataFrame, *, masked: bool = True) -> DataFrame:
     body = shown.selectExpr(
         f"{section} as section", "_key", f"posexplode(array({', '.join(texts)})) as (part, value)"
     ).where("value is not null")
+    named = " ".join(f"when {quote(c)} then {quote(t)}" for c, t in TITLES.items())
     titles = (
         shown.groupBy("confidence")
         .agg(F.min("_key").alias("_key"))
@@ -237,9 +276,7 @@ def report_lines(findings: DataFrame, *, masked: bool = True) -> DataFrame:
             f"{section} as section",
             "cast(null as struct<file_path: string, line_no: int, rule_id: string, match: string>) as _key",
             "-1 as part",
-            "case confidence when 'critical' then '=== CRITICAL FINDINGS ==='"
-            " when 'high' then '=== HIGH CONFIDENCE ==='"
-            " else '=== MEDIUM CONFIDENCE ===' end as value",
+            f"case confidence {named} end as value",
         )
     )
     total = severity_summary(findings).selectExpr(

@@ -43,6 +43,12 @@ def detect(rows: DataFrame, rules: Sequence[Rule], line: str = "line") -> DataFr
     return gated(rows, rules, line).selectExpr(*rows.columns, owner)
 
 
+def owners(rows: DataFrame, rules: Sequence[Rule], line: str = "line") -> DataFrame:
+    """All rows, with the index of the first rule that matches the line or null."""
+    owner = f"if({D.line_gate(rules, line)}, {D.first_rule(rules, line)}, null)"
+    return pin(rows, rule_idx=owner)
+
+
 def detect_all(rows: DataFrame, rules: Sequence[Rule], line: str = "line") -> DataFrame:
     """One row per (line, matching rule): detection without the first-match choice."""
     every = f"explode({D.all_rules(rules, line)}) as rule_idx"
@@ -105,7 +111,7 @@ def scan_lines(rows: DataFrame, rules: Sequence[Rule], *, path: str = "path") ->
 
 
 def scan_files(
-    files: DataFrame, rules: Sequence[Rule], *, long_lines: str = "skip"
+    files: DataFrame, rules: Sequence[Rule], *, long_lines: str = "keep"
 ) -> DataFrame:
     """Findings of a table of texts (``path``, ``content``)."""
     return scan_lines(lines(files.select("path", "content"), long_lines=long_lines), rules)

@@ -15,7 +15,7 @@ from credsieve.functions.text import extension, pin, quote, trim_space
 from credsieve.functions.vectors import embedding
 from credsieve.operators.scan import as_findings, file_hits, is_regex_line
 from credsieve.operators.similarity import THRESHOLD, TOP_K, with_neighbours
-from credsieve.sources.lines import is_long, raw_lines, strip_return
+from credsieve.sources.lines import LONG_LINES, is_long, raw_lines, strip_return, without_long_texts
 from credsieve.sources.store import store_rows, upsert
 
 CONTEXT_LINES = 5
@@ -39,7 +39,11 @@ def code_structure(files: DataFrame) -> DataFrame:
 
 
 def lines_with_code(
-    files: DataFrame, rules: Sequence[Rule], *, context_lines: int = CONTEXT_LINES
+    files: DataFrame,
+    rules: Sequence[Rule],
+    *,
+    context_lines: int = CONTEXT_LINES,
+    long_lines: str = "keep",
 ) -> DataFrame:
     """Lines some rule may match, with their neighbours (``code``), the first
     function-like line of the file (``function``) and its ``language``.
@@ -49,9 +53,13 @@ def lines_with_code(
     n = context_lines
     first = "greatest(s.line_no - {0}, 1)".format(n)
     around = f"array_join(slice(every, {first}, s.line_no + {n} - {first} + 1), '\\n')"
-    candidate = (
-        f"not {is_long('s.raw')} and {D.line_gate(rules, 's.line')} and not {is_regex_line('s.line')}"
-    )
+    candidate = f"{D.line_gate(rules, 's.line')} and not {is_regex_line('s.line')}"
+    if long_lines not in LONG_LINES:
+        raise ValueError(f"long_lines must be one of {LONG_LINES}")
+    if long_lines == "file":
+        files = without_long_texts(files, "content")
+    if long_lines == "skip":
+        candidate = f"not {is_long('s.raw')} and {candidate}"
     functions = f"filter(transform(every, raw -> {trim_space('raw')}), t -> {V.is_function_line('t')})"
     numbered = (
         f"transform({raw_lines('content')},"
@@ -69,9 +77,11 @@ def lines_with_code(
     return cut.withColumn("language", F.expr(V.language(extension("path"))))
 
 
-def scan_with_code(files: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+def scan_with_code(
+    files: DataFrame, rules: Sequence[Rule], *, long_lines: str = "keep"
+) -> DataFrame:
     """File findings with ``code``, ``function``, ``language`` and their ``finding_key``."""
-    hits = file_hits(lines_with_code(files, rules), rules)
+    hits = file_hits(lines_with_code(files, rules, long_lines=long_lines), rules)
     found = as_findings(hits, rules, extra=("code", "function", "language"))
     return found.withColumn("finding_key", F.expr(_KEY))
 
@@ -113,11 +123,9 @@ def disabled_verdicts(findings: DataFrame) -> DataFrame:
 
 def given_verdicts(verdicts: DataFrame) -> Callable[[DataFrame], DataFrame]:
     """A verifier that takes decoded verdicts by ``finding_key`` and falls back to the
-    heuristic where there is none.  Keys are unique on both sides."""
+    heuristic where there is none.  Of several verdicts on one key the least counts."""
     fields = ("is_real_secret", "confidence", "reasoning", "recommendation")
-    given = verdicts.select("finding_key", F.struct(*fields).alias("_given")).dropDuplicates(
-        ["finding_key"]
-    )
+    given = verdicts.groupBy("finding_key").agg(F.min(F.struct(*fields)).alias("_given"))
 
     def verify(findings: DataFrame) -> DataFrame:
         judged = heuristic_verdicts(findings.join(given, "finding_key", "left"))

@@ -83,7 +83,7 @@ def _files_to_lines(name: str, files: str, keys: str = "path") -> str:
             from (select {keys}, string_split(case when ends_with(content, chr(10))
                     then left(content, length(content) - 1) else content end, chr(10)) as parts
                 from {files} where content <> '') a) b
-        where strlen(raw) < 1048576)"""
+        )"""
 
 
 def _hits(lines: str, rules: Sequence[Rule], keys: str = "path") -> str:
@@ -233,7 +233,7 @@ _JUDGED = f"""{_CODED},
     steps as (select *,
         not (c1 or c2 or c3 or c4 or c5) as r5,
         case when c1 or c2 or c4 or c5 then 'low' else confidence end as l5 from flags),
-    judged as (select * exclude (confidence), confidence as detected,
+    judged as materialized (select * exclude (confidence), confidence as detected,
         case when c7 then false when c6 then true else r5 end as real,
         case when c7 then 'low' when c6 then 'critical' else l5 end as confidence,
         array_to_string(list_filter([
@@ -295,7 +295,7 @@ def _gate(run: str, threshold: int, failed: str) -> str:
     failing = f"count(*) filter ({_RANK} >= {threshold})"
     return f"""select '{run}' as run, count(*) as total, {failing} as failing,
         case when {failed.format(failing)} then 'failed' else 'success' end as status
-        from found where rule_id <> 'pattern-136'"""
+        from found"""
 
 
 def _report_sections() -> str:
@@ -333,6 +333,60 @@ def _text_tables() -> str:
         from all_lines group by source"""
 
 
+# Lines on which several rules meet.
+_OVERLAPPING = """select o_orderkey as id, 1 as no, case o_orderkey % 4
+    when 0 then concat('google_api_key = "AIza', substr(md5(cast(o_orderkey as varchar)), 1, 32), 'abcTAILSECRETTAIL', o_orderkey, '"')
+    when 1 then concat('auth0_secret = "ghp_', substr(md5(cast(o_orderkey as varchar)), 1, 32), 'abcdTAILTAILTAIL', o_orderkey, '"')
+    when 2 then concat('password = "', md5(cast(o_orderkey as varchar)), '" and token = "', sha1(cast(o_orderkey as varchar)), '"')
+    else concat('nothing on line ', o_orderkey) end as line from orders"""
+
+
+def _masked_lines(lines: str) -> str:
+    """CTE ``masked_lines`` (id, no, masked): every character some rule matches belongs to a
+    run, and each run is one mask."""
+    spans = " union all ".join(
+        f"select id, no, regexp_extract_all(line, {S(r.regex)}) as m, regexp_split_to_array(line, {S(r.regex)}) as p"
+        f" from all_lines where regexp_matches(line, {S(r.regex)})"
+        for r in _RULES
+    )
+    return f"""all_lines as materialized ({lines}), found_spans as ({spans}),
+        numbered_spans as (select id, no, m, p, unnest(range(1, len(m) + 1)) as i from found_spans),
+        placed as (select id, no, list_sum(list_transform(p[1:i], lambda x: length(x)))
+                + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) as s, length(m[i]) as n
+            from numbered_spans),
+        covered as (select distinct id, no, unnest(range(s::bigint + 1, s::bigint + n + 1)) as pos from placed),
+        letters as (select id, no, unnest(range(1, length(line) + 1)) as pos, line from all_lines
+            where (id, no) in (select (id, no) from covered)),
+        flagged as (select l.id, l.no, l.pos, substr(line, l.pos::int, 1) as ch, c.pos is not null as hidden,
+            coalesce(lag(c.pos is not null) over (partition by l.id, l.no order by l.pos), false) as before
+            from letters l left join covered c on c.id = l.id and c.no = l.no and c.pos = l.pos),
+        rebuilt as (select id, no, string_agg(case when not hidden then ch when before then '' else {_MASK} end, ''
+            order by pos) as masked from flagged group by id, no),
+        masked_lines as (select a.id, a.no, coalesce(r.masked, a.line) as masked
+            from all_lines a left join rebuilt r on r.id = a.id and r.no = a.no)"""
+
+
+_NAMED = """named as (select concat('d', doc_id, '/', (['.env', '_settings.py', '.aws/credentials', '_private/a.py',
+        '.github/ci.yml', 'x/.npmrc', 'src/a.py', 'my dir/b c.py', 'node_modules/m.js',
+        'deep/er/.hid den/%41+.cfg'])[doc_id % 10 + 1]) as path, text as content from documents)"""
+
+
+def _dialect_rules() -> str:
+    from credsieve.plans.queries import DIALECT_RULES
+
+    rules = rule_set(DIALECT_RULES)
+    ids = f"([{', '.join(S(r.rule_id) for r in rules)}])[rule_idx + 1]"
+    return f"""with rows as (select concat('src/p', p_partkey, case when p_partkey % 5 = 0 then '.T3ST' else '.py' end) as path,
+            1 as line_no, case p_partkey % 6 when 0 then concat('id', p_partkey + 1000, 'x9QrTyLmWz')
+                when 1 then concat('zq~zq-', p_partkey) when 2 then concat('a', chr(11), 'bKqWzXvTyU')
+                when 3 then concat('(x)[y]$ ', p_partkey) when 4 then concat('mid', p_partkey, 'qqword')
+                else concat('plain ', p_partkey) end as line from part),
+        owned as (select *, {_first_rule(rules)} as rule_idx from rows),
+        matched as (select *, {_whole(rules)} as match, {ids} as rule_id from owned where rule_idx is not null)
+        select path as file_path, match, rule_id from matched
+        where not regexp_matches(path, '[.][[:upper:]][[:digit:]]') and not regexp_matches(match, '^[[:alpha:]]+1[[:digit:]]*x')"""
+
+
 def _every_rule() -> str:
     tests = ", ".join(
         f"case when regexp_matches(line, {S(r.regex)}) then {r.rule_idx} end" for r in _RULES
@@ -414,8 +468,7 @@ def oracle_sql() -> dict[str, str]:
         "pruned_files": f"""with {_TREE} select path, size from kept where size <= 900000
             and not regexp_matches(path, '(^|/)tmp/') and not ends_with(path, '.log')
             and not regexp_matches(path, '^src/gen[^/](/|$)')""",
-        "included_files": f"""with {_TREE} select path, size from kept where size <= 5242880
-            and (starts_with(path, 'src/') or ends_with(path, '.py')
+        "included_files": f"""with {_TREE} select path, size from kept where (starts_with(path, 'src/') or ends_with(path, '.py')
                 or regexp_matches(path, '^lib/[a-m][^/]*/[^/]*\\.js$'))
             and regexp_matches(lower(path), '\\.(go|py|js)$')""",
         "glob_matches": f"""with {_TREE} select
@@ -466,8 +519,11 @@ def oracle_sql() -> dict[str, str]:
             file, line, secret_hash from accepted""",
         "redacted_findings": f"""with {_FOUND} select file_path, line_no, replace(line, match, {_MASK}) as line,
             {_MASK} as match, rule_id from found""",
-        "redacted_documents": f"""select doc_id, md5(regexp_replace(text, 'token["''\\s:=]+[0-9a-f]{{40}}',
-            {_MASK}, 'g')) as digest from documents""",
+        "redacted_documents": f"""with {_masked_lines("select doc_id as id, unnest(string_split(text, chr(10))) as line,"
+            " generate_subscripts(string_split(text, chr(10)), 1) as no from documents")}
+            select id as doc_id, md5(string_agg(masked, chr(10) order by no)) as digest from masked_lines group by id""",
+        "redacted_lines": f"""with {_masked_lines(_OVERLAPPING)}
+            select id as o_orderkey, masked as line from masked_lines""",
         "findings_as_json": f"""with {_FOUND} select row_number() over (order by {_REPORT_ORDER}) as seq,
             file_path as file, line_no as line, line as line_text, match, rule_id, pattern, confidence, context,
             false as verified from found""",
@@ -576,6 +632,33 @@ def oracle_sql() -> dict[str, str]:
             case when line_no = 4 then 0.0 else line_no end::double as x from found""",
         "store_marked": f"""with {_STORE} select id, coalesce(l.quality = 1, s.verified) as verified
             from store s left join labels l on l.doc_id = s.id""",
+        "hidden_files_scan": f"""with {_NAMED} select path, strlen(content) as size, md5(content) as digest
+            from named where not contains(path, 'node_modules/')""",
+        "skipped_inputs": """with texts as (select concat('doc/', doc_id, '.cfg') as path, case when doc_id % 83 = 5
+                then repeat(replace(text, chr(10), ' '), (ceil(1200000 / strlen(text)) * (1 + doc_id % 2))::bigint)
+                else text end as content from documents)
+            select path, strlen(content) as size, case when strlen(content) > 2000000 then 'size' else 'long lines' end
+                as reason from texts where strlen(content) > 2000000
+                or list_max(list_transform(string_split(content, chr(10)), lambda x: strlen(x))) >= 1048576""",
+        "dialect_rules": _dialect_rules(),
+        "batch_verdicts": f"""with {_JUDGED}, once as (select distinct on (finding_key) * from judged)
+            select real as is_real_secret, confidence, count(*) as n from once group by all""",
+        "scanned_and_stored": f"""with {_JUDGED}, scanned as materialized (select * from judged
+                where not starts_with(path, 'web/vendor/') and not ends_with(path, '.min.js')
+                    ),
+            kept as (select * from scanned where entropy >= 3.0 or confidence in ('critical', 'high')),
+            stored as (select distinct path, line_no, pattern, confidence, real from scanned)
+            select 'store' as what, confidence, real as verified, count(*) as n, count(*) as n_vectors from stored group by all
+            union all select 'findings', confidence, real, count(*), 0::bigint from kept group by all""",
+        "stored_baseline_update": f"""with {_ACCEPTED}, entries as (select rule_id, reason from accepted union all
+                select min(rule_id), null from marked where fingerprint not in (select fingerprint from accepted)
+                group by fingerprint)
+            select rule_id, reason, count(*) as n from entries group by all""",
+        "loaded_config": f"""with {_FOUND} select file_path, line_no, match, rule_id from found
+            where split_part(file_path, '/', -1) <> 'app_7.py' and not regexp_matches(file_path, '^conf/docs/[^/]*$')
+                and rule_id <> 'pattern-0' and (entropy >= 3.4 or confidence in ('critical', 'high'))""",
+        "strict_cosines": """select a.vec_id, round(list_cosine_similarity(a.embedding, b.embedding)::double, 3)
+            as similarity from embeddings a join embeddings b on b.vec_id = a.vec_id + 1""",
         "streamed_findings": f"""with {_STREAMED} select file_path, rule_id, confidence, count(*) as n
             from found group by all""",
         "streamed_suppressed": f"""with {_STREAMED}, accepted as (select distinct concat('app/', kind, '_',
@@ -588,8 +671,7 @@ def oracle_sql() -> dict[str, str]:
             {_FINGERPRINT} as fingerprint from found""",
         "streamed_counts": f"""with {_STREAMED}, days as (select date_trunc('day', ts) as day, confidence,
                 count(*) as n from found group by all)
-            select confidence, count(*) as n_windows, sum(n)::bigint as n from days
-            where day + interval 1 day <= (select max(ts) from arrived) group by confidence""",
+            select confidence, count(*) as n_windows, sum(n)::bigint as n from days group by confidence""",
         "streamed_store": f"""with {_STREAMED} select file_path, 1::bigint as line_number, pattern as pattern_type,
             max(floor(epoch(ts))::bigint) as timestamp from found group by all""",
     }

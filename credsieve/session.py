@@ -26,12 +26,18 @@ def local_session(cores: int = 8, name: str = "credsieve") -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a local one only where none is configured."""
+    """The shared folder of the cluster; on a single machine one of its own if none is set.
+
+    With executors elsewhere a local folder would lose their files, so that is an error.
+    """
     configured = spark.conf.get(CHECKPOINT_CONF, None)
     if configured:
         return configured
     current = spark.sparkContext.getCheckpointDir()
     if current is None:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder that all executors share")
         current = tempfile.mkdtemp(prefix="run-", dir="/tmp")
         spark.sparkContext.setCheckpointDir(current)
     return current

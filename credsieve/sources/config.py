@@ -8,7 +8,6 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from credsieve.functions.rules import Rule, rule_set
-from credsieve.sources.files import MAX_FILE_SIZE
 
 DEFAULT_FILE = ".credsieve.json"
 DEFAULT_MIN_ENTROPY = 3.0
@@ -35,7 +34,7 @@ class Allowlist:
 @dataclass(frozen=True)
 class Config:
     min_entropy: float = DEFAULT_MIN_ENTROPY
-    max_file_size: int = MAX_FILE_SIZE
+    max_file_size: int | None = None
     rules: tuple[dict, ...] = ()
     allowlist: Allowlist = field(default_factory=Allowlist)
 
@@ -44,8 +43,9 @@ class Config:
         return self.min_entropy if self.min_entropy > 0 else DEFAULT_MIN_ENTROPY
 
     @property
-    def size_cap(self) -> int:
-        return self.max_file_size if self.max_file_size > 0 else MAX_FILE_SIZE
+    def size_cap(self) -> int | None:
+        """Largest file that is scanned, if the config sets one."""
+        return self.max_file_size if self.max_file_size and self.max_file_size > 0 else None
 
     def rule_set(self) -> list[Rule]:
         """Built-in rules plus this config's enabled ones; a bad regex is an error."""
@@ -91,7 +91,7 @@ def load_config(spark: SparkSession, path: str | None = None, root: str | None =
     }
     return Config(
         min_entropy=setting("min_entropy", DEFAULT_MIN_ENTROPY),
-        max_file_size=setting("max_file_size", MAX_FILE_SIZE),
+        max_file_size=setting("max_file_size", None),
         rules=tuple(r.asDict() for r in row["rules"] or ()),
         allowlist=Allowlist(**lists),
     )

@@ -46,7 +46,7 @@ def select_commits(
 
 
 def added_lines(
-    diffs: DataFrame, *, diff: str = "diff", long_lines: str = "skip"
+    diffs: DataFrame, *, diff: str = "diff", long_lines: str = "keep"
 ) -> DataFrame:
     """Lines a diff adds: the other columns, ``path``, ``line_no``, ``line``.
 

@@ -15,7 +15,8 @@ def spread(df: DataFrame) -> DataFrame:
 
     A small file is often one row group, so its splits are one full task and some
     empty ones.  Only an input with fewer than two splits per core, that is a small
-    one, is shuffled; a large scan has more and stays as it is.
+    one, is shuffled; a large scan has more and stays as it is.  Rows are the same
+    either way.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(2 * cores) if df.rdd.getNumPartitions() < 2 * cores else df
@@ -44,11 +45,12 @@ def without_long_texts(df: DataFrame, content: str) -> DataFrame:
     return df.where(f"not exists({raw_lines(content)}, raw -> {is_long('raw')})")
 
 
-def lines(files: DataFrame, *, content: str = "content", long_lines: str = "skip") -> DataFrame:
+def lines(files: DataFrame, *, content: str = "content", long_lines: str = "keep") -> DataFrame:
     """One row per line: the other columns, ``line_no`` from 1, ``line``.
 
-    ``long_lines`` says what happens to lines over 1 MiB: ``skip`` drops the line,
-    ``file`` drops every line of its text, ``keep`` keeps it.  The work stays
+    ``long_lines`` says what happens to lines over 1 MiB: ``keep`` keeps them, ``skip``
+    drops the line, ``file`` drops every line of its text; ``long_line_counts`` lists what
+    the last two leave out.  The work stays
     within each input row; nothing is shuffled.
     """
     if long_lines not in LONG_LINES:

@@ -45,16 +45,16 @@ def store_rows(
 
 def upsert(store: DataFrame, arriving: DataFrame) -> DataFrame:
     """Store with ``arriving`` rows replacing those of the same key; among arriving
-    rows of one key the latest stays.
+    rows of one key the latest stays, ties by the greatest content.
 
     The winner is a maximum per key, combined before the shuffle.
     """
-    rest = F.struct("_new", "timestamp", *_REST)
+    order = F.struct("_new", "timestamp", F.xxhash64(*_REST).alias("_tie"))
     return (
         store.withColumn("_new", F.lit(0))
         .unionByName(arriving.withColumn("_new", F.lit(1)))
         .groupBy(*KEY)
-        .agg(F.max(rest).alias("_last"))
+        .agg(F.max_by(F.struct("timestamp", *_REST), order).alias("_last"))
         .selectExpr(*KEY, "_last.*")
         .select(*store.columns)
     )
@@ -73,7 +73,7 @@ def mark_verified(store: DataFrame, verdicts: DataFrame) -> DataFrame:
 def read_store(spark: SparkSession, path: str, *, before: int | None = None) -> DataFrame:
     """The newest complete snapshot below ``path`` (numbered less than ``before``); an
     empty store if there is none."""
-    latest = [n for n in _snapshots(spark, path) if before is None or n < before]
+    latest = [n for n in snapshots(spark, path) if before is None or n < before]
     if not latest:
         return empty_store(spark)
     return spark.read.schema(STORE_SCHEMA).parquet(f"{path}/snapshot={latest[-1]}")
@@ -85,7 +85,7 @@ def write_store(rows: DataFrame, path: str, snapshot: int) -> None:
     rows.write.mode("overwrite").parquet(f"{path}/snapshot={snapshot}")
 
 
-def _snapshots(spark: SparkSession, path: str) -> list[int]:
+def snapshots(spark: SparkSession, path: str) -> list[int]:
     jvm = spark.sparkContext._jvm
     folder = jvm.org.apache.hadoop.fs.Path(path)
     fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -94,3 +94,12 @@ def _snapshots(spark: SparkSession, path: str) -> list[int]:
     names = [s.getPath() for s in fs.listStatus(folder)]
     done = [p for p in names if fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
     return sorted(int(p.getName().split("=", 1)[1]) for p in done)
+
+
+def remove_snapshots(spark: SparkSession, path: str, *, keep: int) -> None:
+    """Remove all but the newest ``keep`` complete snapshots."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for number in snapshots(spark, path)[:-keep]:
+        fs.delete(jvm.org.apache.hadoop.fs.Path(folder, f"snapshot={number}"), True)

@@ -52,19 +52,22 @@ def test_prune(spark):
     def kept(**options):
         return sorted(r["path"] for r in S.prune(files, **options).collect())
 
-    assert kept() == [".env", "buildx/a.py", "src/main.go", "tmp/q/a.py", "vendor", "x/app.js"]
+    assert kept() == [".env", "buildx/a.py", "src/big.go", "src/main.go", "tmp/q/a.py", "vendor", "x/app.js"]
     assert kept(include_extensions=S.parse_extensions("PY, .Js,")) == [
         "buildx/a.py", "tmp/q/a.py", "x/app.js"
     ]
     assert kept(exclude_globs=["tmp"], include_globs=["*.py"]) == ["buildx/a.py"]
-    assert "src/big.go" in kept(max_file_size=7 * MIB)
+    assert "src/big.go" not in kept(max_file_size=5 * MIB)
+    over = S.oversize(files, 5 * MIB).collect()
+    assert [tuple(r) for r in over] == [("src/big.go", 6 * MIB, "size")] and not S.oversize(files, None).collect()
 
 
 def test_max_file_size_precedence():
-    assert S.resolve_max_file_size(None, None) == 5 * MIB
+    assert S.resolve_max_file_size(None, None) is None
+    assert S.resolve_max_file_size(5 * MIB, None) == 5 * MIB
     assert S.resolve_max_file_size(5 * MIB, 1 * MIB) == 1 * MIB
     assert S.resolve_max_file_size(2 * MIB, 1 * MIB) == 2 * MIB
-    assert S.resolve_max_file_size(-1, -1) == 5 * MIB
+    assert S.resolve_max_file_size(-1, -1) is None
 
 
 def test_read_files(spark, fresh_dir):
@@ -79,8 +82,21 @@ def test_read_files(spark, fresh_dir):
             f.write(text)
     got = {r["path"]: (r["size"], r["content"]) for r in S.read_files(spark, fresh_dir, max_file_size=50).collect()}
     assert got == {"src/a.py": (2, "x\n"), "docs/d.md": (1, "x")}
-    plan = S.read_files(spark, fresh_dir, max_file_size=50)._jdf.queryExecution().executedPlan().toString()
-    assert "PushedFilters" in plan and "LessThanOrEqual(length,50)" in plan
+
+
+def test_hidden_files_and_any_way_to_write_the_root(spark, fresh_dir):
+    import os
+
+    names = [
+        ".env", "_settings.py", ".aws/credentials", "_private/a.py", ".github/ci.yml", "x/.npmrc", "src/a.py",
+        "my dir/b c.py", "odd%20name+é.py", "p/tree/p/tree/c.py",
+    ]
+    texts = spark.createDataFrame([(n, f"text of {n}") for n in [*names, ".git/config", "a/node_modules/b.js"]], "path string, content string")
+    S.write_files(texts, fresh_dir + "/p/tree")
+    here = os.path.relpath(fresh_dir, spark._jvm.java.lang.System.getProperty("user.dir"))
+    for root in (here + "/p/tree", "./" + here + "/p/tree", fresh_dir + "/p/tree", fresh_dir + "/p/tree/", "file://" + fresh_dir + "/p/tree", "file:" + fresh_dir + "/p/../p/tree"):
+        got = {r["path"]: r["content"] for r in S.read_files(spark, root).collect()}
+        assert got == {n: f"text of {n}" for n in names}
 
 
 def _write(folder, name, value):
@@ -94,7 +110,7 @@ def test_config_defaults_overlay_and_discovery(spark, fresh_dir):
     assert load_config(spark, root=fresh_dir) == Config()
     _write(fresh_dir, ".credsieve.json", {"general": {"min_entropy": 4.0}})
     found = load_config(spark, root=fresh_dir)
-    assert (found.min_entropy, found.max_file_size) == (4.0, 5 * MIB)
+    assert (found.min_entropy, found.max_file_size) == (4.0, None)
     path = _write(fresh_dir, "c.json", {
         "general": {"min_entropy": 4.0, "max_file_size": MIB},
         "rules": [{"id": "custom-1", "pattern": "custom-[0-9]+", "enabled": True}],

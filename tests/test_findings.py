@@ -81,7 +81,7 @@ def test_update_of_a_stored_baseline(frame, fresh_dir):
     path = f"{fresh_dir}/accepted"
     assert B.update_stored_baseline(frame(finding()), path, reason="first").count() == 1
     B.update_stored_baseline(frame(finding(line_no=5), finding(path="b.py")), path, reason="second")
-    kept = SB.read_baseline(frame(finding()).sparkSession, path, format="json").collect()
+    kept = B.stored_baseline(frame(finding()).sparkSession, path).collect()
     assert sorted((r["file"], r["reason"]) for r in kept) == [("b.py", "second"), ("src/a.py", "first")]
 
 
@@ -105,6 +105,15 @@ def test_redacted_texts_mask_every_match_of_a_line(spark, rules):
     assert got == {"p": f"a {m} {m} {m}\r\nplain\n\nlast {m}\n", "q": "no\nsecrets"}
 
 
+def test_wider_matches_leave_no_rest_behind_narrower_ones(spark, rules):
+    key, token = "AIza" + "a1B2c3D4e5" * 3 + "f6G7h", "ghp_" + "a1B2c3D4e5" * 3 + "f6G7h8"
+    texts = [(1, f'google_api_key = "{key}TAILSECRETTAIL0123456789"'), (2, f'auth0_secret = "{token}TAILTAILTAILTAIL"\nplain')]
+    table = spark.createDataFrame(texts, "id int, content string")
+    got = {r["id"]: r["content"] for r in reports.redact_texts(table, rules).collect()}
+    assert "TAIL" not in got[1] and "TAIL" not in got[2] and got[2].endswith("\nplain")
+    assert got[1].count(reports.MASK) == 1 == got[2].count(reports.MASK)
+
+
 def test_gate_modes_and_outputs(frame):
     found = frame(finding(), finding(confidence="low"), finding(confidence="medium"))
 

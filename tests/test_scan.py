@@ -4,7 +4,7 @@ import pytest
 
 from credsieve.functions.rules import builtin_rules, custom_rule, rule_set
 from credsieve.operators import history, scan
-from credsieve.operators.joins import salted_join
+from credsieve.operators.joins import skewed_join
 from credsieve.operators.order import numbered
 from credsieve.sources.history import added_lines, parse_commit_log, select_commits
 from credsieve.sources.lines import LINE_LIMIT, lines, long_line_counts
@@ -80,7 +80,7 @@ def test_long_lines(spark):
 
     assert kept("skip") == [("a", 1), ("a", 3), ("b", 1), ("b", 2), ("b", 3)]
     assert kept("file") == [("b", 1), ("b", 2), ("b", 3)]
-    assert len(kept("keep")) == 7
+    assert len(kept("keep")) == 7 == lines(df).count()
     assert [tuple(r) for r in long_line_counts(df).orderBy("path").collect()] == [("a", 1), ("c", 1)]
     with pytest.raises(ValueError):
         lines(df, long_lines="some")
@@ -196,18 +196,31 @@ def test_commit_log_and_selection(spark):
     assert [r["hash"] for r in select_commits(commits, since="2024-02-01").collect()] == ["h2"]
 
 
-def test_salted_join_keeps_results_whole(spark):
+def test_skewed_join_keeps_results_whole_and_copies_nothing(spark):
     rows = spark.range(5000).selectExpr("id", "if(id % 3 = 0, 'hot', concat('k', id % 50)) as k")
     few = spark.createDataFrame([("hot", 1), ("k7", 2)], "k string, v int")
-    anti = salted_join(rows, few, ["k"], "left_anti", spread_by=("id",))
+    anti = skewed_join(rows, few, ["k"], "left_anti")
+    assert "Generate" not in anti._jdf.queryExecution().executedPlan().toString()
     assert anti.count() == rows.where("k not in ('hot', 'k7')").count()
-    inner = salted_join(rows, few, ["k"], "inner", spread_by=("id",))
+    inner = skewed_join(rows, few, ["k"], "inner")
     assert inner.count() == rows.where("k in ('hot', 'k7')").count()
     with pytest.raises(ValueError):
-        salted_join(rows, few, ["k"], "full", spread_by=("id",))
+        skewed_join(rows, few, ["k"], "full")
 
 
 def test_numbered_is_consecutive_over_partitions(spark):
     rows = spark.range(0, 1000, 1, 7).selectExpr("(id * 7919) % 1000 as x")
     got = sorted((r["x"], r["n"]) for r in numbered(rows, ["x"], "n").collect())
     assert got == [(i, i + 1) for i in range(1000)]
+
+
+def test_unselected_diffs_are_dropped_before_they_are_decoded(spark, rules):
+    commits = spark.createDataFrame([("h1", "a", "2024-01-01"), ("h2", "a", "2024-03-01")], "hash string, author string, date string")
+    diffs = spark.createDataFrame([(h, "+++ b/x.py\n@@ -0,0 +1 @@\n+password = \"P@ssw0rd123!\"") for h in ("h1", "h2")], "commit_hash string, diff string")
+    from credsieve.operators.history import scan_history
+
+    found = scan_history(commits, diffs, rules, since="2024-02-01")
+    assert [r["file_path"] for r in found.collect()] == ["x.py@h2"]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    # Plans read upwards: the semi join is below every explode.
+    assert plan.rindex("LeftSemi") > plan.rindex("posexplode(split")
