@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from credsieve.functions.identity import snippet_hash
@@ -12,6 +14,8 @@ STORE_SCHEMA = (
     " pattern_type string, entropy double, confidence string, verified boolean, timestamp bigint"
 )
 KEY = ("file_path", "line_number", "pattern_type")
+#: A stored store lies in this many parts by key, so that an upsert rewrites few of them.
+BUCKETS = 64
 _REST = ("id", "code_snippet", "embedding", "entropy", "confidence", "verified")
 
 
@@ -70,36 +74,78 @@ def mark_verified(store: DataFrame, verdicts: DataFrame) -> DataFrame:
     )
 
 
-def read_store(spark: SparkSession, path: str, *, before: int | None = None) -> DataFrame:
-    """The newest complete snapshot below ``path`` (numbered less than ``before``); an
-    empty store if there is none."""
-    latest = [n for n in snapshots(spark, path) if before is None or n < before]
-    if not latest:
+def _bucket() -> Column:
+    return F.pmod(F.xxhash64(*KEY), F.lit(BUCKETS)).cast("int")
+
+
+def read_store(
+    spark: SparkSession, path: str, *, before: int | None = None, buckets: Sequence[int] | None = None
+) -> DataFrame:
+    """The newest complete version of every bucket below ``path`` (of snapshots numbered
+    less than ``before``, of the ``buckets`` asked for); an empty store if there is none."""
+    newest = [
+        versions[-1]
+        for bucket, versions in _versions(spark, path, before).items()
+        if buckets is None or bucket in buckets
+    ]
+    if not newest:
         return empty_store(spark)
-    return spark.read.schema(STORE_SCHEMA).parquet(f"{path}/snapshot={latest[-1]}")
+    return spark.read.schema(STORE_SCHEMA).parquet(*newest)
 
 
 def write_store(rows: DataFrame, path: str, snapshot: int) -> None:
-    """Write a whole snapshot next to the one being read.  Repeating a snapshot, as a
-    restarted stream does, replaces it."""
-    rows.write.mode("overwrite").parquet(f"{path}/snapshot={snapshot}")
+    """Write the rows' buckets as a snapshot; other buckets keep their older version.
+    Repeating a snapshot, as a restarted stream does, replaces it."""
+    placed = rows.withColumn("bucket", _bucket())
+    placed.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/snapshot={snapshot}")
+
+
+def upsert_stored(arriving: DataFrame, path: str, snapshot: int) -> None:
+    """Upsert into the store at ``path``: only buckets that arriving keys fall in are read
+    and written.  Versions of a bucket before its last two are removed."""
+    spark = arriving.sparkSession
+    touched = [r["b"] for r in arriving.select(_bucket().alias("b")).distinct().collect()]
+    current = read_store(spark, path, before=snapshot, buckets=touched)
+    write_store(upsert(current, arriving), path, snapshot)
+    for versions in _versions(spark, path, None).values():
+        for old in versions[:-2]:
+            _delete(spark, old)
+
+
+def _versions(spark: SparkSession, path: str, before: int | None) -> dict[int, list[str]]:
+    """The folders of each bucket in complete snapshots, oldest first."""
+    found: dict[int, list[str]] = {}
+    for number in snapshots(spark, path):
+        if before is None or number < before:
+            folder = f"{path}/snapshot={number}"
+            for name in _names(spark, folder):
+                if name.startswith("bucket="):
+                    found.setdefault(int(name.split("=", 1)[1]), []).append(f"{folder}/{name}")
+    return found
+
+
+def _folder(spark: SparkSession, path: str):
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return folder, folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _names(spark: SparkSession, path: str) -> list[str]:
+    folder, fs = _folder(spark, path)
+    return sorted(s.getPath().getName() for s in fs.listStatus(folder)) if fs.exists(folder) else []
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    folder, fs = _folder(spark, path)
+    fs.delete(folder, True)
 
 
 def snapshots(spark: SparkSession, path: str) -> list[int]:
-    jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(path)
-    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(folder):
-        return []
-    names = [s.getPath() for s in fs.listStatus(folder)]
-    done = [p for p in names if fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
-    return sorted(int(p.getName().split("=", 1)[1]) for p in done)
+    """Numbers of the complete snapshots below ``path``."""
+    numbers = [int(n.split("=", 1)[1]) for n in _names(spark, path) if n.startswith("snapshot=")]
+    return sorted(n for n in numbers if "_SUCCESS" in _names(spark, f"{path}/snapshot={n}"))
 
 
 def remove_snapshots(spark: SparkSession, path: str, *, keep: int) -> None:
     """Remove all but the newest ``keep`` complete snapshots."""
-    jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(path)
-    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     for number in snapshots(spark, path)[:-keep]:
-        fs.delete(jvm.org.apache.hadoop.fs.Path(folder, f"snapshot={number}"), True)
+        _delete(spark, f"{path}/snapshot={number}")
