@@ -291,6 +291,14 @@ def _embedding(text: str) -> str:
     return f"list_transform(range(0, 384), lambda i: sin({term}))"
 
 
+def _character_sum(wave: str) -> str:
+    """Code points of the line times a wave of their byte offset."""
+    return (
+        "list_sum(list_transform(range(1, length(line) + 1), lambda j: ord(substr(line, cast(j as int), 1))"
+        f" * {wave}(strlen(left(line, cast(j - 1 as int))))))"
+    )
+
+
 def _gate(run: str, threshold: int, failed: str) -> str:
     failing = f"count(*) filter ({_RANK} >= {threshold})"
     return f"""select '{run}' as run, count(*) as total, {failing} as failing,
@@ -626,6 +634,20 @@ def oracle_sql() -> dict[str, str]:
             ranked as (select *, row_number() over (partition by vec_id order by similarity desc, id) as rank
                 from pairs where similarity >= 0.3::float)
             select vec_id, id, round(similarity::double, 5) as similarity, rank from ranked where rank <= 10""",
+        "reused_verdicts": f"""with {_JUDGED}, sums as materialized (select *, row_number() over () as rid,
+                {_character_sum('cos')} as a, {_character_sum('sin')} as b from judged),
+            vectors as materialized (select *, list_transform(range(0, 384),
+                lambda i: sin(sin(i) * a + cos(i) * b)::float::double) as v from sums),
+            stored as (select path, confidence, v, ('0x' || substr(md5(path), 1, 7))::bigint as timestamp,
+                ('0x' || substr(sha256(concat(path, chr(0), line_no, chr(0), pattern)), 1, 15))::bigint as id
+                from vectors where line_no = 4 and real),
+            candidates as materialized (select * from stored order by timestamp desc, id desc limit 500),
+            near as (select x.rid, c.confidence, c.id, list_cosine_similarity(x.v, c.v)::float as similarity
+                from vectors x, candidates c where list_cosine_similarity(x.v, c.v)::float >= 0.8::float),
+            taken as (select distinct on (rid) rid, confidence from near order by rid, similarity desc, id)
+            select t.rid is not null as reused, coalesce(t.confidence, x.confidence) as confidence,
+                t.rid is not null or real as verified, count(*) as n
+            from vectors x left join taken t on t.rid = x.rid group by all""",
         "store_upserted": f"""with {_FOUND} select file_path, line_no as line_number, pattern as pattern_type,
             concat('sha256:', sha256(line)) as code_snippet, line_no = 4 as verified,
             case when line_no = 4 then 2 else 1 end::bigint as timestamp,
