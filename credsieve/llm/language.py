@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from collections import Counter
 from dataclasses import dataclass, field
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from credsieve.llm.common import batch, row_slices, slices, texts_of
+from credsieve.session import settled
 
 SAMPLE_ROWS = 20_000
 WORDS = 50_000
@@ -40,6 +42,7 @@ _SMOOTHING = 0.5
 _SLOTS = 1 << 20
 _FLUSH = 200_000
 _KEPT_WORDS = 400_000
+_KEPT_CELLS = 16_000_000
 _WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 
 
@@ -83,6 +86,7 @@ class Scorer:
 
     def __init__(self, model: Model):
         self.model = model
+        self.most = min(_KEPT_WORDS, _KEPT_CELLS // max(1, len(model.languages)))
         self.rows: dict[str, int] = {}
         self.table = np.zeros((1024, len(model.languages)), np.float32)
 
@@ -105,7 +109,7 @@ class Scorer:
             for i, word in enumerate(words):
                 if found[i] is None:
                     row = get(word)
-                    if row is None and len(self.rows) < _KEPT_WORDS:
+                    if row is None and len(self.rows) < self.most:
                         row = self._row(word)
                     if row is None:
                         total += self.model.of_word(word)
@@ -192,8 +196,6 @@ def fit(
     chosen = rows.where(F.col("lang").isin(languages) & F.col("text").isNotNull()).where(
         F.pmod(F.xxhash64("doc_id"), F.lit(_SLOTS)) < slots
     )
-    from credsieve.session import settled
-
     counts = settled(_counts(chosen))
     known, word_counts = _top(counts, languages, words)
     pieces, gram_counts = _top(_gram_counts(counts), languages, grams)
@@ -211,8 +213,6 @@ def fit(
         posterior(gram_counts, np.array([len(p) for p in pieces], int)),
     ]).astype(np.float32)
     where = {g: len(known) + i for i, g in enumerate(pieces)}
-    from uuid import uuid4
-
     return Model(languages, {w: i for i, w in enumerate(known)}, where, table, uuid4().hex)
 
 

@@ -30,19 +30,18 @@ LEAST_KEPT_PERCENT = 50
 
 _SPACE = " \t\n\v\f\r"
 _SYMBOLS = "#*$%&|<>"
-_SEPARATORS = frozenset("| / > » › · • - –".split())
+_SEPARATORS = frozenset("| / > » › · • - –".encode().split())
 _NOTICE = re.compile(
     "all rights reserved|copyright ©|copyright \\(c\\)|terms of (?:use|service)|privacy policy|cookie policy"
     "|uses cookies|accept cookies|enable javascript|click here|sign up for|subscribe to our|log in to|skip to (?:main )?content",
     re.IGNORECASE,
 )
 _MARK = re.compile(r"[.,;:!?…。！？]")
-_NO_WORD_TABLE = str.maketrans("", "", _SPACE)
 
 
 def line_fails(line: str) -> str | None:
     """The rule that removes a line with a word, or None."""
-    words = line.split()
+    words = line.encode().split()
     separators = sum(map(_SEPARATORS.__contains__, words))
     if 4 * separators >= len(words) and (separators > 1 or len(words) <= 3):
         return "navigation"

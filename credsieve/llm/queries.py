@@ -118,4 +118,57 @@ select conv_id, count(*) as n_turns,
 from summed group by conv_id
 """
 
-ORACLES: dict[str, str] = {"op1_extendible_shards": _OP1, "op9_chat": _OP9}
+_OP6 = r"""
+with words as materialized (
+    select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x20\x09-\x0D]+') as w from documents),
+sets as materialized (
+    select distinct doc_id, list_slice(w, i, i + 4) as s
+    from (select doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) as i from words where len(w) > 0)),
+sizes as materialized (select doc_id, count(*) as n from sets group by doc_id),
+met as (
+    select a.doc_id as x, b.doc_id as y, count(*) as c
+    from sets a join sets b on a.s = b.s and a.doc_id <> b.doc_id group by all),
+links as materialized (
+    select x, y from met join sizes p on p.doc_id = x join sizes q on q.doc_id = y
+    where 100 * c >= 75 * (p.n + q.n - c)),
+reach as materialized (
+    with recursive r(x, y) as (select doc_id, doc_id from documents union select r.x, l.y from r join links l on l.x = r.y)
+    select x, min(y) as least from r group by x)
+select d.doc_id, coalesce(n, 0) as n_shingles, least as component_id, d.doc_id = least as kept
+from documents d left join sizes using (doc_id) join reach on reach.x = d.doc_id
+"""
+
+_OP8 = r"""
+with docs as materialized (
+    select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+windows as (
+    select doc_id, i, count(*) over (partition by doc_id, list_slice(w, i, i + 4)) as n
+    from (select doc_id, w, unnest(range(1, len(w) - 3)) as i from docs where len(w) > 4)),
+repeated as (
+    select doc_id, count(distinct p) as n from (select doc_id, unnest(range(i, i + 5)) as p from windows where n > 1) group by doc_id),
+parts as (
+    select doc_id, line, regexp_extract_all(line, '[^\x20\x09-\x0D]+') as lw
+    from (select doc_id, unnest(string_split(text, chr(10))) as line from docs)),
+counted as (
+    select *, len(list_filter(lw, lambda x: x in ('|', '/', '>', '»', '›', '·', '•', '-', '–'))) as marks,
+        coalesce(list_sum(list_transform(lw, lambda x: length(x))), 0) as chars from parts),
+judged as (
+    select *, len(lw) > 0 and ((4 * marks >= len(lw) and (marks > 1 or len(lw) <= 3)) or not regexp_matches(line, '[.,;:!?…。！？]')
+        or regexp_matches(line, '(?i)all rights reserved|copyright ©|copyright \(c\)|terms of (?:use|service)|privacy policy|cookie policy|uses cookies|accept cookies|enable javascript|click here|sign up for|subscribe to our|log in to|skip to (?:main )?content')) as fails
+    from counted),
+lines as (
+    select doc_id, count(*) filter (len(lw) > 0) - count(distinct line) filter (len(lw) > 0) as dups,
+        count(*) filter (fails) as removed, coalesce(sum(chars) filter (not fails), 0) as left_chars from judged group by doc_id),
+measured as (
+    select d.doc_id, len(w) as n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::bigint as word_chars,
+        length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) as n_symbols, dups as n_dup_lines, coalesce(r.n, 0) as n_repeat_words,
+        removed as n_removed_lines, left_chars from docs d join lines using (doc_id) left join repeated r using (doc_id))
+select * exclude (left_chars), n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed,
+    not (n_words < 10 or 100 * n_repeat_words > 20 * n_words) and 100 * left_chars >= 50 * word_chars as kept
+from measured
+"""
+
+ORACLES: dict[str, str] = {
+    "op1_extendible_shards": _OP1, "op6_near_duplicates": _OP6, "op8_quality": _OP8, "op9_chat": _OP9,
+}
