@@ -14,7 +14,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from credsieve.plans.queries import QUERIES  # noqa: E402
-from credsieve.session import local_session  # noqa: E402
+from credsieve.session import local_session, remove_settled  # noqa: E402
 
 HEADLINE = (
     "document_findings", "text_table_hits", "contexts_of_lines", "redacted_documents",
@@ -50,6 +50,7 @@ def main() -> None:
             }
         )
     )
+    remove_settled(spark)
     spark.stop()
 
 

@@ -55,12 +55,20 @@ def below_entropy_floor(config: Config, rules: Sequence[Rule] = ()) -> str:
     return f"(entropy < {floor} and confidence not in ('critical', 'high'))"
 
 
+# A history finding's path without the commit it ends in.
+BASE_PATH = "regexp_replace(file_path, '@[0-9a-f]{8}$', '')"
+
+
 def apply_config(
-    findings: DataFrame, config: Config, rules: Sequence[Rule] = ()
+    findings: DataFrame, config: Config, rules: Sequence[Rule] = (), *, path: str = "file_path"
 ) -> DataFrame:
-    """Findings that survive path, secret, rule and entropy filters, in that order."""
+    """Findings that survive path, secret, rule and entropy filters, in that order.
+
+    A history finding's path ends in its commit, so names and suffixes of the allowlist
+    do not meet it; ``path=BASE_PATH`` judges it by the path alone.
+    """
     return (
-        findings.where(f"not {path_is_allowlisted('file_path', config)}")
+        findings.where(f"not {path_is_allowlisted(path, config)}")
         .where(f"not {secret_is_allowlisted('match', config)}")
         .where(f"not {rule_is_disabled('rule_id', config)}")
         .where(f"not {below_entropy_floor(config, rules)}")

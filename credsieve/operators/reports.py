@@ -30,7 +30,8 @@ SARIF_LEVELS = {"critical": "error", "high": "error", "medium": "warning", "low"
 SARIF_OTHER_LEVEL = "warning"
 SARIF_MESSAGE = ("Potential secret detected (", ")")
 
-# Section titles of the readable report.
+# Section titles and closing line of the readable report.
+ADVICE = "Please review and remove them before committing your code."
 TITLES = {
     "critical": "=== CRITICAL FINDINGS ===", "high": "=== HIGH CONFIDENCE ===", "medium": "=== MEDIUM CONFIDENCE ===",
 }
@@ -262,7 +263,7 @@ def report_lines(findings: DataFrame, *, masked: bool = True) -> DataFrame:
         "concat('Context: ', context)",
         "concat('Pattern: ', pattern)",
         "concat('Line: ', line)",
-        "if(verified, 'Verified: YES', null)",
+        "if(verified, 'Verified: YES (LLM)', null)",
         "if(verification_reason <> '', concat('Reason: ', verification_reason), null)",
     )
     body = shown.selectExpr(
@@ -279,12 +280,14 @@ def report_lines(findings: DataFrame, *, masked: bool = True) -> DataFrame:
             f"case confidence {named} end as value",
         )
     )
+    summary = (
+        "concat('Summary: ', total, ' secrets found (Critical: ', critical, ', High: ', high, ', Medium: ', medium, ')')"
+    )
+    closing = f"if(total = 0, array('No secrets found.'), array({summary}, {quote(ADVICE)}))"
     total = severity_summary(findings).selectExpr(
         "9 as section",
         "cast(null as struct<file_path: string, line_no: int, rule_id: string, match: string>) as _key",
-        "0 as part",
-        "if(total = 0, 'No secrets found.', concat('Summary: ', total, ' secrets found (Critical: ',"
-        " critical, ', High: ', high, ', Medium: ', medium, ')')) as value",
+        f"posexplode({closing}) as (part, value)",
     )
     return (
         titles.unionByName(body)

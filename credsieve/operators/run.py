@@ -32,13 +32,15 @@ def complete_scan(
     store: DataFrame | None = None,
     threshold: float = THRESHOLD,
     long_lines: str = "keep",
+    base_paths: bool = False,
     judged_to: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Findings, with their ``origin``, that survive config and baseline.
 
     ``files`` has ``path``, ``size`` and ``content``; without ``commits`` and ``diffs``
     history is left out.  Without ``verifier`` findings stay unverified, and a ``store``
-    is refused because nothing would use it.  ``judged_to`` sees the judged file findings
+    is refused because nothing would use it.  ``base_paths`` makes path allowlists apply to
+    history findings as they do to files.  ``judged_to`` sees the judged file findings
     and returns them settled; ``scan_and_store`` uses it.
     """
     if store is not None and verifier is None:
@@ -65,7 +67,8 @@ def complete_scan(
             commits, diffs, rules, max_commits=max_commits, since=since, reachable=reachable,
             long_lines=long_lines,
         )
-    found = filters.apply_config(history.all_findings(found, past), config, rules)
+    path = filters.BASE_PATH if base_paths else "file_path"
+    found = filters.apply_config(history.all_findings(found, past), config, rules, path=path)
     return found if baseline is None else suppress(found, baseline)
 
 

@@ -322,7 +322,8 @@ def _report_sections() -> str:
             when 'high' then '=== HIGH CONFIDENCE ===' else '=== MEDIUM CONFIDENCE ===' end from found
         union all select 9, 0, concat('Summary: ', count(*), ' secrets found (Critical: ',
             count(*) filter (confidence = 'critical'), ', High: ', count(*) filter (confidence = 'high'),
-            ', Medium: ', count(*) filter (confidence = 'medium'), ')') from found)
+            ', Medium: ', count(*) filter (confidence = 'medium'), ')') from found
+        union all select 9, 1, 'Please review and remove them before committing your code.')
         select section, part, count(*) as n, min(value) as first, max(value) as last from rows group by all"""
 
 

@@ -912,7 +912,7 @@ def streamed_suppressed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def streamed_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = stream.scan_stream(_event_stream(spark, sf_dir), corpus_rules())
-    done = _drained(stream.once_per_fingerprint(found, delay="3650 days"), "once")
+    done = _drained(stream.once_per_fingerprint(found, delay="1 day"), "once")
     return done.select("file_path", "rule_id", "match", "fingerprint")
 
 

@@ -48,6 +48,17 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+_written: list[str] = []
+
+
+def remove_settled(spark: SparkSession) -> None:
+    """Remove the tables that ``settled`` wrote for this program.  Frames made from them
+    cannot be read any more, so this comes last; they may hold secrets in plain text."""
+    while _written:
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def settled(df: DataFrame) -> DataFrame:
     """``df`` computed once and read back from a table in the shared folder.
 
@@ -55,5 +66,6 @@ def settled(df: DataFrame) -> DataFrame:
     several uses do not compute it again.
     """
     path = fresh_path(df.sparkSession, "settled")
+    _written.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

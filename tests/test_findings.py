@@ -170,8 +170,8 @@ def test_reports(frame):
     assert [r["number"] for r in rows] == [1, 2, 3, 4]
     assert {r["match"] for r in rows} == {"x" * 57 + "...", "sk_live_abc123xyz789"}
     lines = [r["value"] for r in reports.report_lines(found).collect()]
-    assert lines[0] == "=== CRITICAL FINDINGS ===" and "Verified: YES" in lines and "Reason: why" in lines
-    assert lines[-1] == "Summary: 4 secrets found (Critical: 1, High: 1, Medium: 1)"
+    assert lines[0] == "=== CRITICAL FINDINGS ===" and "Verified: YES (LLM)" in lines and "Reason: why" in lines
+    assert lines[-2:] == ["Summary: 4 secrets found (Critical: 1, High: 1, Medium: 1)", reports.ADVICE]
     assert lines.count("=== MEDIUM CONFIDENCE ===") == 1
     assert [r["value"] for r in reports.report_lines(found.where("false")).collect()] == ["No secrets found."]
 
@@ -279,6 +279,31 @@ def test_complete_scan(spark, with_code):
     assert complete_scan(sized, config=Config(max_file_size=40)).count() == 1
 
 
+def test_allowlists_may_judge_history_by_the_path_alone(frame):
+    from credsieve.operators.filters import BASE_PATH, apply_config
+    from credsieve.sources.config import Allowlist
+
+    found = frame(finding(path="src/a.py@0123abcd"), finding(path="src/b.py@0123abcd"))
+    config = Config(allowlist=Allowlist(files=("a.py",)))
+    assert apply_config(found, config).count() == 2
+    assert [r["file_path"] for r in apply_config(found, config, path=BASE_PATH).collect()] == ["src/b.py@0123abcd"]
+
+
+def test_settled_tables_can_be_removed(spark):
+    import os
+
+    from credsieve import session
+
+    before = list(session._written)
+    session._written.clear()
+    table = session.settled(spark.range(3).toDF("id"))
+    [path] = session._written
+    assert table.count() == 3 and os.path.isdir(path.removeprefix("file:"))
+    session.remove_settled(spark)
+    assert not os.path.exists(path.removeprefix("file:"))
+    session._written.extend(before)
+
+
 def test_merge_and_fallback(spark, with_code):
     _, found = with_code
     key = found.where("language = 'yaml'").first()["finding_key"]

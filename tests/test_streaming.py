@@ -57,6 +57,25 @@ def test_once_per_fingerprint(spark, source, rules, fresh_dir):
     assert once.count() == 30 and once.select("fingerprint").distinct().count() == 30
 
 
+def test_a_fingerprint_is_reported_again_after_the_delay(spark, rules, fresh_dir):
+    batches = [_rows(0, range(4)), _rows(5, [10]), _rows(6, [11]), _rows(7, [12]), _rows(12, range(4)), _rows(13, range(4))]
+    for n, rows in enumerate(batches):
+        df = spark.createDataFrame(rows, "path string, content string, t string")
+        df.selectExpr("path", "content", "cast(t as timestamp) as ts").coalesce(1).write.parquet(f"{fresh_dir}/in/part={n}")
+    found = stream.scan_stream(_arriving(spark, f"{fresh_dir}/in"), rules)
+    once = _drain(spark, stream.once_per_fingerprint(found, delay="2 hours", salts=4), fresh_dir, "again")
+    hours = sorted(str(r["ts"])[11:13] for r in once.collect())
+    # The repetition after twelve hours is new, the one an hour later is not.
+    assert hours == ["00"] * 4 + ["05", "06", "07"] + ["12"] * 4
+
+
+def test_counts_of_all_windows(spark, source, rules, fresh_dir):
+    found = stream.scan_stream(_arriving(spark, source), rules)
+    counts = stream.counted_windows(found, f"{fresh_dir}/all", f"{fresh_dir}/all-state", delay="6 hours")
+    got = {str(r["window_start"])[11:13]: r["n"] for r in counts.collect()}
+    assert got == {"00": 20, "01": 20, "05": 5}
+
+
 def test_windowed_counts(spark, source, rules, fresh_dir):
     found = stream.scan_stream(_arriving(spark, source), rules)
     counts = _drain(spark, stream.counts_per_window(found, delay="0 seconds"), fresh_dir, "counts")
