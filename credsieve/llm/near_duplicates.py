@@ -8,12 +8,13 @@ pair at the threshold then has in the mean one path of common nodes at any depth
 the trees together find it with a probability that does not fall with the size of the
 input.  Nodes of one class end; the others are compared:
 
-* every class first with one partner, the least class of the nodes it is in most often;
-  this joins groups of copies, of any size, by as many comparisons as they have members;
-* then, in each node that holds classes not yet joined, all of them that are outside the
-  node's largest group with all the rest, if that is little work; a node where it is
-  more chooses again and goes one level deeper.  At the last level the work is done
-  whatever it is, so no pair of a common node is left out.
+* a few rounds first join groups of copies of any size by few comparisons: in each node
+  all that are outside its largest group meet two members of that group, and of what
+  its members met, each group tries the pair whose signatures agree most;
+* then each node that still holds several groups is compared exhaustively if it is small,
+  by the signatures of all its classes at once; a larger one chooses again and goes one
+  level deeper.  At the last level all outside a node's largest group meet all the rest
+  whatever its size, so no pair of a common node is left out.
 
 Signatures only spare comparisons that cannot succeed; a link is confirmed on the full
 sets.  Components are made of links by distributed steps.
@@ -34,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from credsieve.llm.common import batch, row_slices, texts_of
+from credsieve.llm.common import batch, row_join, row_slices, sized, texts_of
 from credsieve.llm.components import components
 from credsieve.session import settled
 
@@ -44,15 +45,16 @@ FUNCTIONS = 64
 #: Agreeing functions, of 64, below which a pair at the threshold is not expected (1 in 2000).
 LEAST_AGREEING = 36
 TREES = 8
-FIRST_DEPTH = 2
-LAST_DEPTH = 12
-#: Comparisons in a node beyond which it goes a level deeper.
-NODE_PAIRS = 4096
-#: Rows up to which a list of row keys is sent to every executor instead of joined by shuffle.
-BROADCAST_KEYS = 1_000_000
+FIRST_DEPTH = 4
+LAST_DEPTH = 10
+#: Rounds in which each group tries its most promising partner.
+ROUNDS = 2
+#: Classes of a node beyond which it goes a level deeper.
+NODE_CLASSES = 512
 
 _CHUNK = 8192
 _U64 = np.uint64
+_LAST = _U64(FUNCTIONS - 1)
 
 
 def _constants(seed: int, n: int) -> np.ndarray:
@@ -78,7 +80,7 @@ def shingles(text: str, size: int = SHINGLE) -> np.ndarray:
     hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), _U64, len(words))
     size = min(size, len(words))
     count = len(words) - size + 1
-    total = np.full(count, _PLACES[SHINGLE] * _U64(size), _U64)
+    total = np.full(count, _PLACES[SHINGLE], _U64) * _U64(size)
     for i in range(size):
         total += hashes[i : i + count] * _PLACES[i]
     return np.unique(_mixed(total))
@@ -92,19 +94,21 @@ def signature(own: np.ndarray) -> np.ndarray:
     return _mixed(least).astype(np.uint16)
 
 
-def _children(keys: np.ndarray, functions: np.ndarray, rows: np.ndarray, signatures: np.ndarray):
-    """Next nodes of (key, function that led here): chosen by the node alone, alike for all in it."""
+def _children(keys: np.ndarray, rows: np.ndarray, signatures: np.ndarray):
+    """Next nodes, chosen by the node alone, alike for all in it.
+
+    The last six bits of a node's key are the function that led to it.
+    """
     out = []
     for branch in (0, 1):
         at = slice(None) if branch == 0 else _mixed(keys ^ _STEP[2]) % _U64(3) == 0
-        key, row, last = keys[at], rows[at], functions[at]
-        if branch == 0:
-            pick = _mixed(key + _U64(1)) % _U64(FUNCTIONS - 1)
-        else:
-            pick = (_mixed(key + _U64(1)) + _U64(1) + _mixed(key + _U64(2)) % _U64(FUNCTIONS - 2)) % _U64(FUNCTIONS - 1)
-        chosen = ((last.astype(_U64) + _U64(1) + pick) % _U64(FUNCTIONS)).astype(np.int64)
-        value = signatures[row, chosen].astype(_U64)
-        out.append((_mixed(key * _STEP[0] + (value << _U64(8)) + chosen.astype(_U64)), chosen, row))
+        key, row = keys[at], rows[at]
+        pick = _mixed(key + _U64(1)) % _U64(FUNCTIONS - 1)
+        if branch == 1:
+            pick = (pick + _U64(1) + _mixed(key + _U64(2)) % _U64(FUNCTIONS - 2)) % _U64(FUNCTIONS - 1)
+        chosen = (key + _U64(1) + pick) & _LAST
+        value = signatures[row, chosen.astype(np.int64)].astype(_U64)
+        out.append(((_mixed(key * _STEP[0] + (value << _U64(8)) + chosen) & ~_LAST) | chosen, row))
     return tuple(np.concatenate(c) for c in zip(*out))
 
 
@@ -112,8 +116,8 @@ def _matrix(column) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(len(column), FUNCTIONS)
 
 
-_NODES = "node long, via int, cid binary"
-_NODE_SCHEMA = pa.schema([("node", pa.int64()), ("via", pa.int32()), ("cid", pa.binary())])
+_NODES = "node long, cid binary"
+_NODE_SCHEMA = pa.schema([("node", pa.int64()), ("cid", pa.binary())])
 
 
 def _roots(batches):
@@ -121,21 +125,18 @@ def _roots(batches):
     for rows in batches:
         found = _matrix(rows.column("sig"))
         n = len(found)
-        keys = np.repeat(_constants(5, TREES), n)
-        functions = np.repeat(np.arange(TREES) % FUNCTIONS, n)
-        own = np.tile(np.arange(n), TREES)
+        keys, own = np.repeat(_constants(5, TREES), n), np.tile(np.arange(n), TREES)
         for _ in range(FIRST_DEPTH):
-            keys, functions, own = _children(keys, functions, own, found)
-        yield batch(_NODE_SCHEMA, keys.view(np.int64), functions, rows.column("cid").take(pa.array(own)))
+            keys, own = _children(keys, own, found)
+        yield batch(_NODE_SCHEMA, keys.view(np.int64), rows.column("cid").take(pa.array(own)))
 
 
 def _deeper(batches):
     for rows in batches:
         found = _matrix(rows.column("sig"))
         keys = rows.column("node").to_numpy(zero_copy_only=False).view(_U64)
-        functions = rows.column("via").to_numpy(zero_copy_only=False).astype(np.int64)
-        keys, functions, own = _children(keys, functions, np.arange(len(found)), found)
-        yield batch(_NODE_SCHEMA, keys.view(np.int64), functions, rows.column("cid").take(pa.array(own)))
+        keys, own = _children(keys, np.arange(len(found)), found)
+        yield batch(_NODE_SCHEMA, keys.view(np.int64), rows.column("cid").take(pa.array(own)))
 
 
 _SKETCHES = "doc_id long, text_key long, n_shingles long, cid binary, sig binary"
@@ -187,71 +188,126 @@ def _confirm(batches):
             if linked(_set_of(a.as_py()), shingles(b.as_py())):
                 kept.append(i)
         at = pa.array(kept, pa.int64())
-        yield batch(schema, rows.column("a").take(at), rows.column("b").take(at))
-
-
-def _sized(keys: DataFrame) -> DataFrame:
-    """A hint to send ``keys`` to every executor if its counted size is small."""
-    return F.broadcast(keys) if keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else keys
+        yield batch(schema, rows.column("of_a").take(at), rows.column("of_b").take(at))
 
 
-def _plausible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose signatures agree as often as a link's would."""
+def _agreement(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs (a, b, ...) whose signatures agree as often as a link's would, with how often."""
     first = classes.select(F.col("cid").alias("a"), F.col("sig").alias("sig_a"))
     second = classes.select(F.col("cid").alias("b"), F.col("sig").alias("sig_b"))
-    seen = pairs.join(first, "a").join(second, "b")
-    return seen.where(_agreeing("sig_a", "sig_b") >= LEAST_AGREEING).select("a", "b")
+    seen = pairs.join(first, "a").join(second, "b").withColumn("agreeing", _agreeing("sig_a", "sig_b"))
+    return seen.where(F.col("agreeing") >= LEAST_AGREEING).drop("sig_a", "sig_b")
 
 
 def _confirmed(pairs: DataFrame, classes: DataFrame, rows: DataFrame) -> DataFrame:
-    """The pairs (u, v) that are links on full sets; texts are read again for them alone."""
+    """Links (u, v) between the groups of_a and of_b of pairs (a, b) that hold on full sets.
+
+    Texts are read again for the pairs' ends alone.
+    """
     ends = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
     wanted = settled(ends.join(classes, "cid").select("cid", "first.doc_id", "first.text_key"))
-    keyed = _sized(wanted.withColumnsRenamed({"doc_id": "id", "text_key": "key"}))
+    keyed = sized(wanted.withColumnsRenamed({"doc_id": "id", "text_key": "key"}))
     met = rows.join(keyed, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_key") == F.col("key")))
     texts = settled(met.groupBy("cid").agg(F.first("text").alias("text")))
     one = texts.select(F.col("cid").alias("a"), F.col("text").alias("text_a"))
     two = texts.select(F.col("cid").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(two, "b").join(one, "a").select("a", "b", "text_a", "text_b").mapInArrow(_confirm, "u binary, v binary")
+    both = pairs.join(two, "b").join(one, "a").select("a", "of_a", "of_b", "text_a", "text_b")
+    return both.mapInArrow(_confirm, "u binary, v binary").distinct()
 
 
 def _shared(nodes: DataFrame) -> DataFrame:
-    """Rows of nodes that more than one class is in, with the node's least class."""
+    """Rows of nodes that more than one class is in."""
     held = nodes.groupBy("node").agg(F.min("cid").alias("least"), F.max("cid").alias("most")).where("least <> most")
-    return nodes.join(held.drop("most"), "node")
+    return nodes.join(held.select("node"), "node")
+
+
+def _open(nodes: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Rows of nodes that hold several groups, with their group, the node's largest and two of its members."""
+    grouped = nodes.withColumn("group", F.col("cid"))
+    if labels is not None:
+        named = labels.withColumnsRenamed({"u": "cid", "component": "label"})
+        grouped = nodes.join(named, "cid", "left").select("node", "cid", F.coalesce("label", "cid").alias("group"))
+    sizes = grouped.groupBy("node", "group").agg(F.count("*").alias("n"), F.min("cid").alias("low"), F.max("cid").alias("high"))
+    state = sizes.groupBy("node").agg(
+        F.sum("n").alias("n"), F.max(F.struct("n", "group", "low", "high")).alias("top"), F.count("*").alias("groups")
+    )
+    state = state.where("groups > 1").select("node", F.col("top.group").alias("largest"), "top.low", "top.high", "n")
+    return settled(grouped.join(state, "node"))
+
 
+def _relabelled(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Labels (u, component) after links between groups."""
+    step = components(links)
+    if labels is None:
+        return step
+    moved = step.withColumnsRenamed({"u": "from", "component": "to"})
+    old = labels.join(moved, F.col("component") == F.col("from"), "left")
+    return settled(old.select("u", F.coalesce("to", "component").alias("component")).union(step))
 
-def _compared(nodes: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs (a, b) still to be looked at, over all depths."""
+
+def _promising(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """For each group the pair, with the largest group of a node, whose signatures agree most."""
+    outside = rows.where("`group` <> largest")
+    met = outside.select(
+        F.col("cid").alias("b"), F.col("group").alias("of_b"), F.col("largest").alias("of_a"), F.explode(F.array("low", "high")).alias("a")
+    ).distinct()
+    best = _agreement(met, classes).groupBy("of_b").agg(F.max(F.struct("agreeing", "a", "b", "of_a")).alias("best"))
+    return best.select("best.a", "best.b", "best.of_a", "of_b")
+
+
+_PAIRS = "a binary, b binary, of_a binary, of_b binary"
+_PAIR_SCHEMA = pa.schema([(n, pa.binary()) for n in ("a", "b", "of_a", "of_b")])
+
+
+def _exhaustive(batches):
+    """Plausible pairs of different groups within each node's list of classes."""
+    for rows in batches:
+        out = []
+        for held in rows.column("held"):
+            held = held.as_py()
+            found = np.frombuffer(b"".join(h["sig"] for h in held), np.uint16).reshape(-1, FUNCTIONS)
+            _, group = np.unique([h["group"].hex() for h in held], return_inverse=True)
+            for i in range(1, len(held)):
+                near = (found[:i] == found[i]).sum(axis=1) >= LEAST_AGREEING
+                for j in np.flatnonzero(near & (group[:i] != group[i])):
+                    # Ordered, so that a pair of several nodes is one row after all.
+                    a, b = sorted((held[i], held[j]), key=lambda h: h["cid"])
+                    out.append((a["cid"], b["cid"], a["group"], b["group"]))
+        yield batch(_PAIR_SCHEMA, *zip(*set(out))) if out else batch(_PAIR_SCHEMA, [], [], [], [])
+
+
+def _remaining(nodes: DataFrame, classes: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Pairs of different groups that are still to be looked at, over all depths."""
     found = None
-    labels = labels.withColumnRenamed("u", "cid")
     for depth in range(FIRST_DEPTH, LAST_DEPTH + 1):
-        grouped = nodes.join(labels, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
-        sizes = grouped.groupBy("node", "component").agg(F.count("*").alias("n"))
-        state = sizes.groupBy("node").agg(
-            F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("top"), F.count("*").alias("groups")
-        ).where("groups > 1").select(
-            "node", F.col("top.component").alias("largest"), ((F.col("n") - F.col("top.n")) * F.col("n")).alias("work")
-        )
-        open_rows = settled(grouped.join(state, "node"))
-        little = open_rows if depth == LAST_DEPTH else open_rows.where(F.col("work") <= NODE_PAIRS)
-        outside = little.where("component <> largest").select("node", F.col("cid").alias("x"), F.col("component").alias("of_x"))
-        rest = little.select("node", F.col("cid").alias("y"), F.col("component").alias("of_y"), "largest")
-        met = outside.join(rest, "node").where("of_x <> of_y and (of_y = largest or x < y)")
-        pairs = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        likely = settled(_plausible(pairs, classes))
-        found = likely if found is None else found.union(likely)
-        deep = open_rows.where(F.col("work") > NODE_PAIRS).select("node", "via", "cid")
-        if depth == LAST_DEPTH or deep.isEmpty():
-            return found.distinct()
-        down = deep.join(classes.select("cid", "sig"), "cid").mapInArrow(_deeper, _NODES)
-        nodes = settled(_shared(settled(down)))
+        rows = _open(nodes, labels).join(classes.select("cid", "sig"), "cid")
+        # Each list holds at most NODE_CLASSES entries of some 160 bytes.
+        lists = rows.where(F.col("n") <= NODE_CLASSES).groupBy("node").agg(F.collect_list(F.struct("cid", "group", "sig")).alias("held"))
+        likely = lists.select("held").mapInArrow(_exhaustive, _PAIRS).distinct()
+        found = settled(likely if found is None else found.union(likely))
+        deep = rows.where(F.col("n") > NODE_CLASSES)
+        if depth == LAST_DEPTH:
+            return found.union(_last(deep, classes)).distinct()
+        down = settled(deep.select("node", "cid", "sig").mapInArrow(_deeper, _NODES))
+        if down.isEmpty():
+            return found
+        nodes = settled(_shared(down))
+
+
+def _last(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """All pairs of different groups of nodes that stayed large, by joins without lists."""
+    outside = rows.where("`group` <> largest").select("node", F.col("cid").alias("x"), F.col("group").alias("of_x"))
+    rest = rows.select("node", F.col("cid").alias("y"), F.col("group").alias("of_y"), "largest")
+    met = outside.join(rest, "node").where("of_x <> of_y and (of_y = largest or x < y)")
+    pairs = met.select(F.col("y").alias("a"), F.col("x").alias("b"), F.col("of_y").alias("of_a"), F.col("of_x").alias("of_b"))
+    return _agreement(pairs.distinct(), classes).select("a", "b", "of_a", "of_b")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row per row of ``docs``: ``doc_id``, ``text_key``, ``n_shingles``, ``component_id``.
+    """One row per row of ``docs``: ``doc_id``, ``text_key``, ``n_shingles``, ``component_id``, ``component``.
 
     ``text_key`` is ``xxhash64`` of the text; with the id it tells rows of one id apart.
+    ``component`` names the component whatever the ids are.
     """
     rows = texts_of(docs).withColumn("text_key", F.xxhash64("text"))
     sketches = settled(rows.mapInArrow(_sketch, _SKETCHES))
@@ -261,19 +317,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         )
     )
     nodes = settled(_shared(classes.select("cid", "sig").mapInArrow(_roots, _NODES)))
-    met = nodes.where("cid <> least").groupBy("cid", "least").agg(F.count("*").alias("n"))
-    partner = met.groupBy("cid").agg(F.max(F.struct("n", "least")).alias("best"))
-    stars = settled(_plausible(partner.select(F.col("best.least").alias("a"), F.col("cid").alias("b")), classes))
-    first_links = settled(_confirmed(stars, classes, rows))
-    joined = components(first_links)
-    rest = settled(_compared(nodes, classes, joined))
-    links = first_links.union(_confirmed(rest, classes, rows))
-    labels = components(links).withColumnRenamed("u", "cid")
+    labels = None
+    for _ in range(ROUNDS):
+        still = _open(nodes, labels)
+        links = settled(_confirmed(settled(_promising(still, classes)), classes, rows))
+        if links.isEmpty():
+            break
+        labels, nodes = _relabelled(labels, links), still.select("node", "cid")
+    rest = settled(_remaining(nodes, classes, labels))
+    if not rest.isEmpty():
+        labels = _relabelled(labels, _confirmed(rest, classes, rows))
+    labels = (labels if labels is not None else classes.selectExpr("cid as u", "cid as component").where("false")).withColumnRenamed("u", "cid")
     named = sketches.drop("sig").join(labels, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     least = named.where("n_shingles > 0").groupBy("component").agg(F.min("doc_id").alias("least"))
-    return named.join(least, "component", "left").select(
-        "doc_id", "text_key", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id")
-    )
+    own = F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id"))
+    return named.join(least, "component", "left").select("doc_id", "text_key", "n_shingles", own.alias("component_id"), "component")
 
 
 def kept_rows(docs: DataFrame, found: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -283,7 +341,7 @@ def kept_rows(docs: DataFrame, found: DataFrame, key: str = "doc_id", text: str
     stay, except exact repetitions of id and text.
     """
     own = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    single = own.groupBy("doc_id", "component_id").agg(F.min("text_key").alias("text_key"), F.count("*").alias("n"))
+    single = own.groupBy("doc_id", "component").agg(F.min("text_key").alias("text_key"), F.count("*").alias("n"))
     names = ["doc_id", "text_key"]
     # Only what goes is looked up: most rows stay.
     stays = single.where("n = 1").select(*names)
@@ -291,13 +349,10 @@ def kept_rows(docs: DataFrame, found: DataFrame, key: str = "doc_id", text: str
         stays.withColumnsRenamed({"doc_id": "id", "text_key": "key"}),
         F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_key") == F.col("key")), "left_anti",
     )
-    gone = settled(gone.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")))
-    again = settled(single.where("n > 1").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")))
-    marked = docs.withColumn("_text_key", F.xxhash64(F.col(text).cast("string")))
-    met = F.col(key).cast("long").eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key"))
-    kept = marked.join(_sized(gone), met, "left_anti").select(*docs.columns)
+    gone, again = settled(gone), settled(single.where("n > 1").select(*names))
+    kept = row_join(docs, gone.union(again), "left_anti", key, text)[0].select(*docs.columns)
     if again.isEmpty():
         return kept
     # Rows that repeat both id and text of one that stays.
-    repeated = marked.join(_sized(again), met).dropDuplicates(["_id", "_key"]).select(*docs.columns)
-    return kept.union(repeated)
+    met, prefix = row_join(docs, again, "inner", key, text)
+    return kept.union(met.dropDuplicates([prefix + "doc_id", prefix + "text_key"]).select(*docs.columns))
