@@ -134,9 +134,11 @@ def test_fullest_window_is_optimal():
         assert sum(k * n for k, n in chosen.items()) == max(s for s in sums if s <= capacity)
 
 
-def test_plan_uses_every_piece_once():
+@pytest.mark.parametrize("sizes, fill", [(200, 0.9), (1023, 0.99)])
+def test_plan_uses_every_piece_once(sizes, fill):
     rng = np.random.default_rng(4)
-    histogram = {int(k): int(n) for k, n in zip(rng.choice(np.arange(1, 1025), 200, replace=False), rng.integers(1, 5000, 200))}
+    lengths = rng.choice(np.arange(1, 1024), sizes, replace=False)
+    histogram = {int(k): int(n) for k, n in zip(lengths, rng.integers(1, 500, sizes))}
     used, room = Counter(), Counter()
     for length, first, uses, copies, sequence, offset in packing.plan(histogram):
         assert first == used[length]
@@ -145,7 +147,8 @@ def test_plan_uses_every_piece_once():
             assert room[s] == offset
             room[s] += length * copies
     assert used == histogram and max(room.values()) <= 1024
-    assert sum(room.values()) >= 0.99 * 1024 * len(room)
+    # With few lengths many windows cannot be filled at all.
+    assert sum(room.values()) >= fill * 1024 * len(room)
 
 
 def test_privacy(spark, docs):
@@ -320,3 +323,25 @@ def test_pipeline(spark, duck, docs, items):
             assert r["doc_tokens"] == len(library.encode(truth[r["doc_id"]], add_special_tokens=False).ids) + 1
             checked += 1
     assert checked and len(marks) == 4
+
+
+def test_components_of_paths_stars_and_rings(spark):
+    from credsieve.llm.components import components
+
+    rng = np.random.default_rng(11)
+    links = [(i, i + 1) for i in range(60)] + [(100, k) for k in range(101, 160)] + [(200 + i, 200 + (i + 1) % 30) for i in range(30)]
+    links += [(5, 5), (300, 301), (301, 300)] + [tuple(p) for p in rng.integers(400, 460, (40, 2)).tolist()]
+    parent = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        a, b = sorted((root(a), root(b)))
+        parent[b] = a
+    found = components(spark.createDataFrame(links, "u long, v long"))
+    got = {r["u"]: r["component"] for r in found.collect()}
+    assert got == {x: root(x) for x in parent if root(x) != x}
+    assert components(spark.createDataFrame([], "u long, v long")).count() == 0
