@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from credsieve.llm.common import batch, row_join, row_slices, sized, texts_of
+from credsieve.llm.common import batch, row_join, row_slices, texts_of
 from credsieve.session import settled
 
 # ---------------------------------------------------------------------------
@@ -159,9 +159,10 @@ def disclosing(rows: DataFrame, found: DataFrame) -> DataFrame:
     total = found.count()
     together = near.select("row", "value", "term").distinct().groupBy("value", "term").agg(F.count("*").alias("both"))
     values = near.select("row", "value").distinct().groupBy("value").agg(F.count("*").alias("of_value"))
-    terms = sized(settled(enough.select("term").distinct()))
+    terms = enough.select("term").distinct()
     words = rows.select(F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))).alias("term"))
-    of_term = words.join(terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("of_term"))
+    # Counted before they meet the candidates, which a semi join would be moved in front of.
+    of_term = words.groupBy("term").agg(F.count("*").alias("of_term")).join(terms, "term")
     met = enough.join(together, ["value", "term"]).join(values, "value").join(of_term, "term", "left")
     given = F.col("both") / F.greatest(F.coalesce("of_term", "both"), F.col("both"))
     share = F.col("of_value") / F.lit(float(total))
