@@ -6,10 +6,19 @@ its own log frequency per language; one that is not falls back to its longest n-
 that are known, five letters, then four, down to one.  The language whose mean over all
 words is highest wins; equal means go to the first in alphabetical order.
 
-Fitting uses a bounded sample of the labelled rows (``sample_rows`` in the mean, chosen
-by a hash of the id) and keeps the ``words`` and ``grams`` most frequent entries; these
-three bound the model, which is all that reaches the driver.  Prediction covers every
-row and every word of its text.
+Fitting uses a bounded sample of each label's rows: ``sample_rows`` shared evenly, but at
+least ``label_rows`` a label in the mean, all of a label that has fewer and never none,
+chosen by a hash of id and text.  It keeps the ``words`` and ``grams`` most frequent
+entries, fewer if there are more labels than the table has room for (``CELLS``); these
+bound the model, which is all that reaches the driver.  An entry that a label lacks has
+the same small share in every label, however few rows the label has; labels of which no
+entry is kept are left out.  More than ``MOST_LABELS`` labels are an error.  Prediction
+covers every row and every word of its text.
+
+A row's language is recognised (``accepted``) if its label leads the runner-up by
+``least_lead`` a word in the mean, or if ``least_known`` of its words are known as wholes
+and at least as frequent in that label as in the mean of all.  Neither falls because
+there are more labels; the second holds where two labels name one language.
 
 Null text and text without a letter give ``und`` with score 0; so does every text if no
 row has a label.  Rows with a null id are never learned from.  Rows with equal ids are
@@ -23,6 +32,7 @@ from dataclasses import dataclass, field
 from uuid import uuid4
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
@@ -32,9 +42,14 @@ from credsieve.llm.common import batch, row_slices, slices, texts_of
 from credsieve.session import settled
 
 SAMPLE_ROWS = 20_000
+LABEL_ROWS = 400
 WORDS = 50_000
 GRAMS = 100_000
-LANGUAGES = 256
+#: Entries times labels of a model, and labels beyond which the column holds something else.
+CELLS = 40_000_000
+MOST_LABELS = 20_000
+LEAST_LEAD = 0.2
+LEAST_KNOWN = 0.5
 ORDERS = (5, 4, 3, 2, 1)
 UNKNOWN = "und"
 
@@ -89,22 +104,23 @@ class Scorer:
         self.most = min(_KEPT_WORDS, _KEPT_CELLS // max(1, len(model.languages)))
         self.rows: dict[str, int] = {}
         self.table = np.zeros((1024, len(model.languages)), np.float32)
+        self.whole = np.zeros(1024, bool)
 
     def _row(self, word: str) -> int:
         n = len(self.rows)
         if n == len(self.table):
             self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+            self.whole = np.concatenate([self.whole, np.zeros_like(self.whole)])
         self.table[n] = self.model.of_word(word)
+        self.whole[n] = word in self.model.words
         self.rows[word] = n
         return n
 
-    def predict(self, text: str) -> tuple[str, float]:
-        words = words_of(text)
-        if not words or not self.model.languages:
-            return UNKNOWN, 0.0
+    def _mean(self, words: list[str]) -> tuple[np.ndarray, list[int], list[str]]:
+        """The mean over all words, rows of those in the table, and those that it has no room for."""
         get = self.rows.get
         found = [get(w) for w in words]
-        total = np.zeros(len(self.model.languages))
+        total, rest = np.zeros(len(self.model.languages)), []
         if None in found:
             for i, word in enumerate(words):
                 if found[i] is None:
@@ -113,14 +129,34 @@ class Scorer:
                         row = self._row(word)
                     if row is None:
                         total += self.model.of_word(word)
+                        rest.append(word)
                     found[i] = row
             found = [r for r in found if r is not None]
         total += self.table[found].sum(axis=0, dtype=np.float64)
-        mean = total / len(words)
+        return total / len(words), found, rest
+
+    def predict(self, text: str) -> tuple[str, float]:
+        words = words_of(text)
+        if not words or not self.model.languages:
+            return UNKNOWN, 0.0
+        mean = self._mean(words)[0]
         best = int(np.argmax(np.round(mean, 9)))
         odds = np.exp(mean - mean.max())
         return self.model.languages[best], float(odds[best] / odds.sum())
 
+    def recognised(self, text: str, least_lead: float = LEAST_LEAD, least_known: float = LEAST_KNOWN) -> bool:
+        words = words_of(text)
+        if not words or not self.model.languages:
+            return False
+        mean, found, rest = self._mean(words)
+        best = int(np.argmax(np.round(mean, 9)))
+        if len(mean) == 1 or mean[best] - np.delete(mean, best).max() >= least_lead:
+            return True
+        even = -np.log(len(mean)) - 1e-4
+        known = np.count_nonzero(self.whole[found] & (self.table[found, best] >= even))
+        known += sum(w in self.model.words and self.model.of_word(w)[best] >= even for w in rest)
+        return known >= least_known * len(words)
+
 
 _SCORERS: dict[str, Scorer] = {}
 
@@ -171,40 +207,58 @@ def _gram_counts(counts: DataFrame) -> DataFrame:
     return counts.mapInArrow(work, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
-def _top(counts: DataFrame, languages: list[str], most: int) -> tuple[list[str], np.ndarray]:
-    """The most frequent entries that occur twice, with their count per language."""
-    per = [F.coalesce(F.sum(F.when(F.col("lang") == name, F.col("n"))), F.lit(0)).alias(f"n{i}") for i, name in enumerate(languages)]
-    wide = counts.groupBy("word").agg(F.sum("n").alias("total"), *per).where("total > 1")
-    rows = wide.orderBy(F.desc("total"), "word").limit(most).toPandas()
-    return rows["word"].tolist(), rows[[f"n{i}" for i in range(len(languages))]].to_numpy(np.float64)
+def _top(counts: DataFrame, most: int) -> pd.DataFrame:
+    """(``lang``, ``word``, ``n``, ``total``) of the most frequent entries that occur twice, these in order."""
+    totals = counts.groupBy("word").agg(F.sum("n").alias("total")).where("total > 1")
+    best = totals.orderBy(F.desc("total"), "word").limit(most)
+    rows = counts.join(F.broadcast(best), "word").select("lang", "word", "n", "total").toPandas()
+    return rows.sort_values(["total", "word", "lang"], ascending=[False, True, True])
+
+
+def _wide(rows: pd.DataFrame, languages: list[str]) -> tuple[list[str], np.ndarray]:
+    """The entries and their count per language."""
+    places, entries = pd.factorize(rows["word"])
+    where = {name: i for i, name in enumerate(languages)}
+    out = np.zeros((len(entries), len(languages)))
+    out[places, [where[name] for name in rows["lang"]]] = rows["n"]
+    return list(entries), out
 
 
 def fit(
     docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang",
-    sample_rows: int = SAMPLE_ROWS, words: int = WORDS, grams: int = GRAMS,
+    sample_rows: int = SAMPLE_ROWS, label_rows: int = LABEL_ROWS, words: int = WORDS, grams: int = GRAMS,
 ) -> Model:
-    """Learn from rows that are not held out and have a label and a text."""
+    """Learn from rows that are not held out and have a label and a letter in their text."""
     rows = docs.select(
         F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang")
-    ).where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull())
-    per_language = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    total = sum(r["count"] for r in per_language)
-    languages = sorted(r["lang"] for r in per_language)
-    if not languages:
+    ).where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    slot = F.pmod(F.xxhash64("doc_id", "text"), F.lit(_SLOTS))
+    found = rows.groupBy("lang").agg(F.count("*").alias("n"), F.min(slot).alias("least")).limit(MOST_LABELS + 1).collect()
+    if len(found) > MOST_LABELS:
+        raise ValueError(f"more than {MOST_LABELS} labels in {lang}")
+    if not found:
         return Model([])
-    slots = min(_SLOTS, int(np.ceil(_SLOTS * sample_rows / total)))
-    chosen = rows.where(F.col("lang").isin(languages) & F.col("text").isNotNull()).where(
-        F.pmod(F.xxhash64("doc_id"), F.lit(_SLOTS)) < slots
-    )
+    each = max(label_rows, sample_rows / len(found))
+    # At least the row of the least hash, so that no label is without one.
+    slots = [(r["lang"], max(r["least"] + 1, int(np.ceil(_SLOTS * min(1.0, each / r["n"]))))) for r in found]
+    share = docs.sparkSession.createDataFrame(slots, "lang string, slots long")
+    chosen = rows.join(F.broadcast(share), "lang").where(slot < F.col("slots")).select("lang", "text")
     counts = settled(_counts(chosen))
-    known, word_counts = _top(counts, languages, words)
-    pieces, gram_counts = _top(_gram_counts(counts), languages, grams)
+    room = min(1.0, CELLS / len(found) / (words + grams))
+    word_rows = _top(counts, int(words * room))
+    gram_rows = _top(settled(_gram_counts(counts)), int(grams * room))
+    languages = sorted({*word_rows["lang"], *gram_rows["lang"]})
+    if not languages:
+        return Model([])
+    known, word_counts = _wide(word_rows, languages)
+    pieces, gram_counts = _wide(gram_rows, languages)
 
     def posterior(n: np.ndarray, kind: np.ndarray) -> np.ndarray:
         out = np.zeros_like(n)
         for k in np.unique(kind):
             own = n[kind == k]
-            share = np.log(own + _SMOOTHING) - np.log(own.sum(axis=0) + _SMOOTHING * len(own))
+            held = own.sum(axis=0)
+            share = np.log(own / np.maximum(held, 1) + _SMOOTHING / held.max())
             out[kind == k] = share - np.logaddexp.reduce(share, axis=1, keepdims=True)
         return out
 
@@ -230,17 +284,14 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
-def accepted(docs: DataFrame, model: Model, *, text: str = "text", least_score: float = 0.35) -> DataFrame:
+def accepted(docs: DataFrame, model: Model, *, text: str = "text", least_lead: float = LEAST_LEAD, least_known: float = LEAST_KNOWN) -> DataFrame:
     """The rows of ``docs`` whose language is recognised, with all their columns."""
     at = docs.columns.index(text)
 
     def work(batches):
         scorer = _scorer(model)
         for rows in batches:
-            kept = []
-            for value in rows.column(at):
-                lang, score = scorer.predict(value.as_py() or "")
-                kept.append(lang != UNKNOWN and score >= least_score)
+            kept = [scorer.recognised(value.as_py() or "", least_lead, least_known) for value in rows.column(at)]
             yield rows.filter(pa.array(kept, pa.bool_()))
 
     return docs.mapInArrow(work, docs.schema)
