@@ -1,9 +1,10 @@
 """Cases in which an operator once did less than its whole job."""
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from credsieve.llm import language
+from credsieve.llm import language, near_duplicates
 
 DOCS = "doc_id long, text string, lang string"
 
@@ -55,3 +56,25 @@ def test_recognition_does_not_fall_with_the_number_of_labels(spark):
     assert language.accepted(docs, model).count() >= 0.99 * len(rows)
     strange = spark.createDataFrame([(1, "日本 中国 語学 文字", None), (2, "ζψ ωφ λμ", None), (3, "12 !", None)], DOCS)
     assert language.accepted(strange, model).count() == 0
+
+
+def test_trees_find_a_pair_at_the_threshold_at_any_depth():
+    rng = np.random.default_rng(13)
+    n = 3000
+    one = rng.integers(0, 1 << 16, (n, near_duplicates.FUNCTIONS)).astype(np.uint16)
+    two = np.where(rng.random(one.shape) < 0.75, one, rng.integers(0, 1 << 16, one.shape).astype(np.uint16))
+    # Signatures of pairs that agree too seldom are not compared wherever they meet.
+    plausible = (one == two).sum(axis=1) >= near_duplicates.LEAST_AGREEING
+
+    cids = pa.array([i.to_bytes(4, "big") for i in range(2 * n)], pa.binary())
+    sigs = pa.array([s.tobytes() for s in np.concatenate([one, two])], pa.binary())
+    down = next(near_duplicates._roots([pa.record_batch([cids, sigs], ["cid", "sig"])]))
+    for depth in range(near_duplicates.FIRST_DEPTH, near_duplicates.LAST_DEPTH + 1):
+        held = set(zip(down.column(0).to_pylist(), (int.from_bytes(c, "big") for c in down.column(1).to_pylist())))
+        common = [(node, i) for node, i in held if i < n and (node, i + n) in held]
+        # A node goes deeper only as long as it is common; the chance of a common one must not fall.
+        met = {i for _, i in common}
+        assert sum(plausible[i] and i not in met for i in range(n)) <= 0.006 * n, depth
+        nodes = pa.array([node for node, _ in common] * 2, pa.int64())
+        own = pa.array([i for _, i in common] + [i + n for _, i in common])
+        down = next(near_duplicates._deeper([pa.record_batch([nodes, cids.take(own), sigs.take(own)], ["node", "cid", "sig"])]))
