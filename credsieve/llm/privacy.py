@@ -2,16 +2,17 @@
 
 Base: emails, IP addresses, card and phone numbers by pattern, leftmost and not
 overlapping within a kind.  Beyond them, a term may give a value away: in the corpus it
-stands near that value and hardly anywhere else.  With p(e) the share of documents that
-hold value e, and p(e|t) the share of those holding term t in which e stands by it, the
-disclosure of e by t is the part of e's information that t gives,
+stands in documents of that value and hardly anywhere else, wherever in them.  With p(e)
+the share of documents that hold value e, and p(e|t) the share of those holding term t
+that hold e, the disclosure of e by t is the part of e's information that t gives,
 
     PMI(e; t) / IC(e)  =  1 - log p(e|t) / log p(e)
 
-A term beside a value, whose disclosure reaches the threshold in enough different
-contexts, is a span of its own: a number is generalised, a word removed.  Copies of one
-passage are one context.  The co-occurrence is counted over the contexts of all values,
-document frequencies over all documents.
+In a document that holds a value, every occurrence of a term whose disclosure of it reaches
+the threshold is a span of its own: a number is generalised, a word removed.  Term and value
+have to meet in ``LEAST_TEXTS`` different texts, copies being one: with fewer, every
+word that is in no other document gives the value away.  Document frequencies are counted
+over all documents.
 
 Null text is empty.  Rows with null or repeated ids are judged one by one; other columns
 are ignored, or passed through by ``sanitise``.  An empty table gives an empty result.
@@ -26,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from credsieve.llm.common import batch, row_join, row_slices, texts_of
+from credsieve.llm.common import batch, row_join, row_slices, sized, texts_of
 from credsieve.session import settled
 
 # ---------------------------------------------------------------------------
@@ -40,11 +41,8 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"(?<![0-9])[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 
-#: Words on either side of a value that count as near it, and how far they are looked for.
-NEAR_WORDS = 5
-_NEAR_CHARS = 80
 LEAST_TERM = 3
-LEAST_CONTEXTS = 3
+LEAST_TEXTS = 3
 DISCLOSURE = 0.8
 
 _TERM = re.compile(r"[^\W_]+")
@@ -102,73 +100,76 @@ def _value(kind: int, raw: str) -> int:
     return xxhash.xxh3_64_intdigest(f"{kind}:{plain}".encode()) - (1 << 63)
 
 
-def near_terms(text: str, spans: list[tuple[int, int, int]]):
-    """(value, context, term, start, end) of the terms beside each value."""
-    for start, kind, end in spans:
-        left = max(0, start - _NEAR_CHARS)
-        before = [m for m in _TERM.finditer(text, left, start) if m.start() > left or left == 0][-NEAR_WORDS:]
-        right = min(len(text), end + _NEAR_CHARS)
-        after = [m for m in _TERM.finditer(text, end, right) if m.end() < right or right == len(text)][:NEAR_WORDS]
-        near = [m for m in (*before, *after) if not any(s < m.end() and m.start() < e for s, _, e in spans)]
-        words = [m[0].lower() for m in near]
-        context = xxhash.xxh3_64_intdigest("\x00".join(words).encode()) - (1 << 63)
-        value = _value(kind, text[start:end])
-        for m, word in zip(near, words):
-            if len(word) >= LEAST_TERM:
-                yield value, context, word, m.start(), m.end()
-
-
-_NEAR = pa.struct(
-    [("value", pa.int64()), ("context", pa.int64()), ("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())]
-)
+def terms_of(text: str, spans: list[tuple[int, int, int]]):
+    """(term, start, end) of the terms outside the values, which come by start."""
+    reach, at = 0, 0
+    for m in _TERM.finditer(text):
+        while at < len(spans) and spans[at][0] < m.end():
+            reach = max(reach, spans[at][2])
+            at += 1
+        if m.start() >= reach and m.end() - m.start() >= LEAST_TERM:
+            yield m[0].lower(), m.start(), m.end()
+
+
 _SPAN = pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())])
-_SCHEMA = pa.schema(
-    [("row", pa.int64()), ("doc_id", pa.int64()), ("text_key", pa.int64()), ("base", pa.list_(_SPAN)), ("near", pa.list_(_NEAR))]
-)
-_FOUND = (
-    "row long, doc_id long, text_key long, base array<struct<start:int,kind:int,end:int>>,"
-    " near array<struct<value:long,context:long,term:string,start:int,end:int>>"
-)
+_SCHEMA = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("base", pa.list_(_SPAN)), ("values", pa.list_(pa.int64()))])
+_FOUND = "doc_id long, text_key long, base array<struct<start:int,kind:int,end:int>>, values array<long>"
+_PLACE_SCHEMA = pa.schema([("text_key", pa.int64()), ("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
+_PLACES = "text_key long, term string, start int, end int"
 
 
 def _scan(batches):
-    from pyspark import TaskContext
-
-    row = TaskContext.get().partitionId() << 33
     for rows, texts in row_slices(batches):
         base = [base_spans(t) for t in texts]
-        near = [list(near_terms(t, s)) if s else [] for t, s in zip(texts, base)]
         yield batch(
-            _SCHEMA, range(row, row + len(texts)), rows.column("doc_id"), rows.column("text_key"),
+            _SCHEMA, rows.column("doc_id"), rows.column("text_key"),
             [[dict(zip(("start", "kind", "end"), s)) for s in x] for x in base],
-            [[dict(zip(("value", "context", "term", "start", "end"), n)) for n in x] for x in near],
+            [sorted({_value(k, t[s:e]) for s, k, e in x}) for t, x in zip(texts, base)],
         )
-        row += len(texts)
 
 
-def disclosing(rows: DataFrame, found: DataFrame) -> DataFrame:
-    """(``value``, ``term``, ``disclosure``) of the pairs over the threshold.
+def _places(batches):
+    for rows, texts in row_slices(batches):
+        for key, text in zip(rows.column("text_key").to_pylist(), texts):
+            held = list(terms_of(text, base_spans(text)))
+            if held:
+                yield batch(_PLACE_SCHEMA, [key] * len(held), *zip(*held))
+
+
+def disclosing(rows: DataFrame, found: DataFrame) -> DataFrame | None:
+    """(``text_key``, ``start``, ``end``) of the terms that give away a value of their text, if any can.
 
     ``rows`` are all texts, ``found`` what the scan of them gave.
     """
-    near = found.where(F.size("near") > 0).select("row", F.explode("near").alias("n")).select("row", "n.value", "n.context", "n.term")
-    contexts = near.groupBy("value", "term", "context").agg(F.min("row").alias("row")).groupBy("value", "term").agg(F.count("*").alias("contexts"))
-    enough = settled(contexts.where(F.col("contexts") >= LEAST_CONTEXTS))
-    if enough.isEmpty():
-        return enough.withColumn("disclosure", F.lit(0.0)).drop("contexts")
     total = found.count()
-    together = near.select("row", "value", "term").distinct().groupBy("value", "term").agg(F.count("*").alias("both"))
-    values = near.select("row", "value").distinct().groupBy("value").agg(F.count("*").alias("of_value"))
-    terms = enough.select("term").distinct()
+    texts = found.where(F.size("values") > 0).groupBy("text_key").agg(F.count("*").alias("n"), F.first("values").alias("values"))
+    held = settled(texts.select("text_key", "n", F.explode("values").alias("value")))
+    values = held.groupBy("value").agg(F.sum("n").alias("of_value"), F.count("*").alias("texts"))
+    share = F.col("of_value") / F.lit(float(total))
+    # A value that is in every document tells nothing; a term in more than ``most`` documents gives none away.
+    values = values.where((F.col("texts") >= LEAST_TEXTS) & (F.col("of_value") < total)).drop("texts")
+    values = values.withColumn("most", F.col("of_value") * F.pow(share, F.lit(DISCLOSURE - 1)) * 1.000001)
+    wanted = settled(held.join(values, "value"))
+    if wanted.isEmpty():
+        return None
+    keys = sized(wanted.select("text_key").distinct())
+    whole = rows.join(keys, "text_key", "left_semi").groupBy("text_key").agg(F.first("text").alias("text"))
+    places = settled(whole.mapInArrow(_places, _PLACES))
+    inside = settled(places.select("text_key", "term").distinct())
+    often = settled(inside.groupBy("term").agg(F.count("*").alias("texts")).where(F.col("texts") >= LEAST_TEXTS).select("term"))
     words = rows.select(F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))).alias("term"))
     # Counted before they meet the candidates, which a semi join would be moved in front of.
-    of_term = words.groupBy("term").agg(F.count("*").alias("of_term")).join(terms, "term")
-    met = enough.join(together, ["value", "term"]).join(values, "value").join(of_term, "term", "left")
+    of_term = often.join(words.groupBy("term").agg(F.count("*").alias("of_term")), "term", "left")
+    top = wanted.agg(F.max("most")).first()[0]
+    rare = settled(of_term.where(F.coalesce("of_term", F.lit(0)) <= top))
+    met = wanted.join(inside.join(rare, "term"), "text_key").where(F.coalesce("of_term", F.lit(0)) <= F.col("most"))
+    both = met.groupBy("value", "term").agg(
+        F.sum("n").alias("both"), F.count("*").alias("texts"), F.first("of_value").alias("of_value"), F.first("of_term").alias("of_term")
+    ).where(F.col("texts") >= LEAST_TEXTS)
     given = F.col("both") / F.greatest(F.coalesce("of_term", "both"), F.col("both"))
-    share = F.col("of_value") / F.lit(float(total))
-    # A value that is in every document tells nothing.
-    disclosure = F.when(share < 1, 1 - F.log(given) / F.log(share)).otherwise(0.0)
-    return met.select("value", "term", disclosure.alias("disclosure")).where(F.col("disclosure") >= DISCLOSURE)
+    pairs = both.where(1 - F.log(given) / F.log(share) >= DISCLOSURE).select("value", "term")
+    named = wanted.select("text_key", "value").join(pairs, "value").select("text_key", "term").distinct()
+    return places.join(named, ["text_key", "term"]).select("text_key", "start", "end")
 
 
 def find(docs: DataFrame) -> DataFrame:
@@ -178,11 +179,12 @@ def find(docs: DataFrame) -> DataFrame:
     """
     rows = texts_of(docs).withColumn("text_key", F.xxhash64("text"))
     found = settled(rows.mapInArrow(_scan, _FOUND))
-    pairs = settled(disclosing(rows, found))
-    near = found.where(F.size("near") > 0).select("row", F.explode("near").alias("n")).select("row", "n.*")
+    terms = disclosing(rows, found)
+    if terms is None:
+        return found.select("doc_id", "text_key", "base", F.col("base").alias("spans"))
     term = F.struct("start", F.lit(KINDS.index("term")).alias("kind"), "end")
-    added = near.join(pairs, ["value", "term"]).groupBy("row").agg(F.collect_set(term).alias("added"))
-    out = found.drop("near").join(added, "row", "left")
+    added = settled(terms.groupBy("text_key").agg(F.collect_set(term).alias("added")))
+    out = found.join(added, "text_key", "left")
     none = F.expr("cast(array() as array<struct<start:int,kind:int,end:int>>)")
     spans = F.array_sort(F.concat("base", F.coalesce("added", none)))
     return out.select("doc_id", "text_key", "base", spans.alias("spans"))

@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from credsieve.llm import language, near_duplicates
+from credsieve.llm import language, near_duplicates, privacy
 
 DOCS = "doc_id long, text string, lang string"
 
@@ -78,3 +78,15 @@ def test_trees_find_a_pair_at_the_threshold_at_any_depth():
         nodes = pa.array([node for node, _ in common] * 2, pa.int64())
         own = pa.array([i for _, i in common] + [i + n for _, i in common])
         down = next(near_duplicates._deeper([pa.record_batch([nodes, cids.take(own), sigs.take(own)], ["node", "cid", "sig"])]))
+
+
+def test_a_term_far_from_the_value_is_masked_wherever_it_stands(spark):
+    filler = "many plain words that all the pages share stand here between the one and the other "
+    rows = [(i, f"Zephyrine\n{filler * 3}Write to zed@mail.example for more of it. {filler}So said Zephyrine.") for i in range(1)]
+    rows += [(i, f"Zephyrine {i}\n{filler * (3 + i)}Write to zed@mail.example for more of it. {filler}So said zephyrine.") for i in range(1, 4)]
+    rows += [(100 + i, f"{filler * (1 + i % 3)}Write to us for more of it. So said page {i}.") for i in range(300)]
+    # Two texts are not enough evidence.
+    rows += [(500 + i, f"Quillfeather {i}. {filler}Mail to two@mail.example.") for i in range(2)]
+    clean = {r["doc_id"]: r["text"] for r in privacy.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all("zephyrine" not in clean[i].lower() and "[EMAIL]" in clean[i] and "plain words" in clean[i] for i in range(4))
+    assert all("Quillfeather" in clean[500 + i] for i in range(2)) and clean[100] == dict(rows)[100]
