@@ -345,7 +345,8 @@ def kept_rows(docs: DataFrame, found: DataFrame, key: str = "doc_id", text: str
     stay, except exact repetitions of id and text.
     """
     own = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    single = own.groupBy("doc_id", "component").agg(F.min("text_key").alias("text_key"), F.count("*").alias("n"))
+    wordless = F.when(F.col("n_shingles") == 0, F.col("text_key")).alias("wordless")
+    single = own.groupBy("doc_id", "component", wordless).agg(F.min("text_key").alias("text_key"), F.count("*").alias("n"))
     names = ["doc_id", "text_key"]
     # Only what goes is looked up: most rows stay.
     stays = single.where("n = 1").select(*names)

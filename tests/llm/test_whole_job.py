@@ -90,3 +90,12 @@ def test_a_term_far_from_the_value_is_masked_wherever_it_stands(spark):
     clean = {r["doc_id"]: r["text"] for r in privacy.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert all("zephyrine" not in clean[i].lower() and "[EMAIL]" in clean[i] and "plain words" in clean[i] for i in range(4))
     assert all("Quillfeather" in clean[500 + i] for i in range(2)) and clean[100] == dict(rows)[100]
+
+
+def test_wordless_texts_of_one_id_all_stay(spark):
+    rows = [(1, None), (1, ""), (1, " "), (1, " "), (None, "\t"), (None, "\n"), (2, "a b c"), (2, "a b c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    parts = docs.select("doc_id", F.xxhash64("text").alias("text_key"), (F.trim(F.coalesce("text", F.lit(""))).rlike("[a-z]")).alias("w"))
+    found = parts.selectExpr("doc_id", "text_key", "if(w, 1L, 0L) as n_shingles", "doc_id as component_id", "if(w, 'c', 'none') as component")
+    kept = [(r["doc_id"], r["text"]) for r in near_duplicates.kept_rows(docs, found).collect()]
+    assert sorted(kept, key=str) == sorted(set(rows), key=str)
