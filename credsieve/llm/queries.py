@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from credsieve.llm import (
-    chat, decontaminate, language, near_duplicates, packing, privacy, quality, shards, token_counts, token_files,
+    alignment, bin_completion, chat, decontaminate, language, near_duplicates, packing, privacy, quality, ranked_search,
+    shards, token_counts, token_files,
 )
 from credsieve.llm.common import table
 from credsieve.session import fresh_path, settled
@@ -68,6 +69,18 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(spark, path)
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_bin_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bin_completion.pack(table(spark, sf_dir, "documents"))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_extendible_shards": op1_extendible_shards,
     "op2_token_counts": op2_token_counts,
@@ -79,6 +92,9 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_chat": op9_chat,
     "op10_token_files": op10_token_files,
+    "op11_ranked_search": op11_ranked_search,
+    "op12_bin_completion": op12_bin_completion,
+    "op13_alignment": op13_alignment,
 }
 
 _OP1 = """
@@ -169,6 +185,32 @@ select * exclude (left_chars), n_words < 10 or 100 * n_repeat_words > 20 * n_wor
 from measured
 """
 
+_OP11 = r"""
+with docs as materialized (
+    select row_number() over () as r, doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as w from documents),
+totals as materialized (select count(*)::bigint as n_docs, sum(len(w))::bigint as n_words from docs where len(w) > 0),
+sized as (select r, doc_id, 10 + (90 * len(w) * n_docs) // n_words as m from docs, totals where len(w) > 0),
+tfs as materialized (select r, term, count(*)::bigint as tf from (select r, unnest(w) as term from docs) group by all),
+items as materialized (
+    select i, item_id, unnest(list_distinct(regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'))) as term
+    from (select row_number() over () as i, * from (select distinct item_id, text from benchmark))),
+weights as (
+    select term, floor(1000 * ln((2 * n_docs + 2)::double / (2 * df + 1)))::bigint as weight
+    from (select term, count(*) as df from tfs group by term), totals),
+scored as (
+    select i, item_id, r, sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * m)))::bigint as score
+    from items join tfs using (term) join weights using (term) join sized using (r) group by all),
+placed as (
+    select item_id, (row_number() over (partition by i order by score desc, doc_id nulls last))::int as rank, doc_id, score
+    from scored join docs using (r) where score > 0)
+select * from placed where rank <= 10
+"""
+
 ORACLES: dict[str, str] = {
     "op1_extendible_shards": _OP1, "op6_near_duplicates": _OP6, "op8_quality": _OP8, "op9_chat": _OP9,
+    "op11_ranked_search": _OP11,
 }

@@ -40,7 +40,7 @@ def result(spark, name):
 
 
 def test_all_are_registered():
-    assert {f"op{n}_" for n in range(1, 11)} == {q.split("_")[0] + "_" for q in QUERIES}
+    assert {f"op{n}_" for n in range(1, 14)} == {q.split("_")[0] + "_" for q in QUERIES}
     assert set(QUERIES) | {"pipeline"} <= set(registered.queries())
 
 
