@@ -291,22 +291,20 @@ def pack(
     offsets = counted.select("part", "length", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
     # One row per length up to the window.
     histogram = {r["length"]: r["n"] for r in counted.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    rows = sorted(plan(histogram, window, branches=branches, nodes=nodes))
-    lengths, firsts, uses, copies, sequences, starts = (np.array(c, np.int64) for c in (zip(*rows) if rows else [[]] * 6))
-    # Lengths and ranks as one ascending key.
-    shift = np.int64(1) << np.int64(44)
-    keys = lengths * shift + firsts
-
-    @F.pandas_udf("sequence_id long, offset long")
-    def place(length, rank):
-        import pandas as pd
-
-        size, at = length.to_numpy(np.int64), rank.to_numpy(np.int64)
-        row = np.searchsorted(keys, size * shift + at, "right") - 1
-        within = at - firsts[row]
-        return pd.DataFrame({"sequence_id": sequences[row] + within % uses[row], "offset": starts[row] + within // uses[row] * size})
-
+    rows = plan(histogram, window, branches=branches, nodes=nodes)
+    # A few rows per length up to the window, whatever the number of documents.
+    fillings_of = pieces.sparkSession.createDataFrame(
+        rows, "of_length int, first_rank long, uses long, copies long, first_sequence long, first_offset long"
+    )
+    within = F.col("rank") - F.col("first_rank")
     ranked = pieces.join(offsets, ["part", "length"]).withColumn("rank", F.col("local_rank") + F.col("before"))
-    placed = ranked.withColumn("place", place("length", "rank"))
-    kept = ["doc_id", "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32"]
-    return placed.select(*kept, "place.sequence_id", "place.offset", *(["ids"] if with_ids else []))
+    placed = ranked.join(
+        F.broadcast(fillings_of),
+        (F.col("length") == F.col("of_length")) & (within >= 0) & (within < F.col("uses") * F.col("copies")),
+    )
+    return placed.select(
+        "doc_id", "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32",
+        (F.col("first_sequence") + within % F.col("uses")).alias("sequence_id"),
+        F.expr("first_offset + (rank - first_rank) div uses * length").alias("offset"),
+        *(["ids"] if with_ids else []),
+    )
