@@ -9,6 +9,10 @@ line some rule matches.
    accepts, nearly all prose, are dropped before any rule is tried.
 2. On the remaining lines a rule's regex runs only if its arm and one of the
    rule's literals are present.
+
+Lines over ``LINEAR_FROM`` bytes pass the gate and are marked ``LONG_LINE`` in place of a
+rule: Java's regexes may need time that grows as their square, so they are matched
+elsewhere (``operators.long_lines``).
 """
 
 from __future__ import annotations
@@ -38,6 +42,15 @@ _DELIMITED_RUN = r"[_-][A-Za-z0-9_-]{20}"
 # replaces one for every literal that contains it.
 _SHARED_PARTS = ("IA", "AC", "AI", "AAA", "eyJ")
 
+#: Bytes beyond which a line is matched by an automaton.
+LINEAR_FROM = 8192
+#: Stands for the rule of such a line until then.
+LONG_LINE = -2
+
+
+def is_long_line(line: str) -> str:
+    return f"(octet_length({line}) > {LINEAR_FROM})"
+
 
 def fold(line: str) -> str:
     """The line without case, as case-insensitive rules see it."""
@@ -136,8 +149,9 @@ def _bound(line: str, body: str) -> str:
 
 
 def line_gate(rules: Sequence[Rule], line: str) -> str:
-    """False only for lines that no rule matches."""
-    return _bound(line, any_of(gate_arms(rules, "l", "f").values()))
+    """False only for lines that no rule matches; true for long lines."""
+    short = _bound(line, any_of(gate_arms(rules, "l", "f").values()))
+    return f"({is_long_line(line)} or {short})"
 
 
 def _rule_test(rule: Rule) -> str:
@@ -153,15 +167,19 @@ def _with_arms(rules: Sequence[Rule], line: str, body: str) -> str:
 
 
 def first_rule(rules: Sequence[Rule], line: str) -> str:
-    """Index of the first rule, in order, that matches the line; null if none does."""
+    """Index of the first rule, in order, that matches the line; null if none does.
+
+    ``LONG_LINE`` on long lines.
+    """
     branches = " ".join(f"when {_rule_test(r)} then {r.rule_idx}" for r in rules)
-    return _with_arms(rules, line, f"case {branches} end")
+    return f"if({is_long_line(line)}, {LONG_LINE}, {_with_arms(rules, line, f'case {branches} end')})"
 
 
 def all_rules(rules: Sequence[Rule], line: str) -> str:
-    """Indexes of every rule that matches, in rule order."""
+    """Indexes of every rule that matches, in rule order; ``LONG_LINE`` alone on long lines."""
     hits = ", ".join(f"if({_rule_test(r)}, {r.rule_idx}, null)" for r in rules)
-    return _with_arms(rules, line, f"array_compact(array({hits}))")
+    short = _with_arms(rules, line, f"array_compact(array({hits}))")
+    return f"if({is_long_line(line)}, array({LONG_LINE}), {short})"
 
 
 def rule_text(rules: Sequence[Rule], idx: str, value: Callable[[Rule], str | None]) -> str:
@@ -175,25 +193,29 @@ def rule_number(rules: Sequence[Rule], idx: str, value: Callable[[Rule], float |
     return f"get(array({', '.join(numbers)}), {idx})"
 
 
-def matched_group(line: str, regex: str, group: int = 0) -> str:
-    """Group ``group`` of the leftmost match (0 is all of it); the regex is a column."""
-    return f"regexp_extract({line}, {regex}, {group})"
+def matched_group(line: str, regex: str, group: int = 0, found: str | None = None) -> str:
+    """Group ``group`` of the leftmost match (0 is all of it); the regex is a column.
+
+    ``found`` is a column of match and groups, where they are known already.
+    """
+    extracted = f"regexp_extract({line}, {regex}, {group})"
+    return f"if({found} is null, {extracted}, coalesce(get({found}, {group}), ''))" if found else extracted
 
 
-def secret_of(rules: Sequence[Rule], line: str, idx: str, regex: str) -> str:
+def secret_of(rules: Sequence[Rule], line: str, idx: str, regex: str, found: str | None = None) -> str:
     """The text taken as the secret: the most random capture group, else the match.
 
     Among trimmed, non-empty groups the higher entropy wins; within 0.01 the one
     with more bytes does.  Entropies are compared rounded, so that the order in
     which their terms were added cannot decide between equals.
     """
-    match = matched_group(line, regex)
+    match = matched_group(line, regex, found=found)
     most = max((r.groups for r in rules), default=0)
     if most == 0:
         return match
     n_groups = rule_number(rules, idx, lambda r: r.groups)
     groups = ", ".join(
-        f"if(n >= {g}, {trim_space(matched_group(line, regex, g))}, '')"
+        f"if(n >= {g}, {trim_space(matched_group(line, regex, g, found))}, '')"
         for g in range(1, most + 1)
     )
     scored = f"transform(array({groups}), g -> struct(g as text, round({entropy('g')}, 9) as ent))"

@@ -59,11 +59,12 @@ def context(path: str, line: str) -> str:
             + [contains_any("l", COMMENT_MARKS)]
         ),
         "placeholder": any_of(
-            f"(contains(l, {quote(sign)}) and {matches('l', regex)})"
-            for sign, regex in (
-                ("$", BRACE_PLACEHOLDER),
-                ("%", PERCENT_PLACEHOLDER),
-                ("$", DOLLAR_PLACEHOLDER),
+            f"(contains(l, {quote(sign)}) and {matches(text, regex)})"
+            for sign, text, regex in (
+                # Up to the last closing brace, before which no opening one is in vain.
+                ("${", "left(l, char_length(l) - char_length(substring_index(l, '}', -1)))", BRACE_PLACEHOLDER),
+                ("%", "l", PERCENT_PLACEHOLDER),
+                ("$", "l", DOLLAR_PLACEHOLDER),
             )
         ),
         "template": contains_any("l", TEMPLATE_MARKS),

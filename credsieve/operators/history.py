@@ -11,7 +11,8 @@ from credsieve.functions import detect as D
 from credsieve.functions.rules import Rule
 from credsieve.functions.text import pin
 from credsieve.operators.joins import skewed_join
-from credsieve.operators.scan import detect, score, with_rule
+from credsieve.operators.long_lines import FOUND
+from credsieve.operators.scan import owned, score, with_rule
 from credsieve.sources.history import added_lines, select_commits
 
 def history_hits(
@@ -19,9 +20,9 @@ def history_hits(
 ) -> DataFrame:
     """Scored hits on added lines.  Unlike file scans: whole matches, regex lines
     included, low hits kept."""
-    hits = with_rule(detect(added_lines(diffs, long_lines=long_lines), rules), rules)
-    hits = pin(hits, match=D.matched_group("line", "_regex"))
-    return score(hits.drop("_regex"), rules)
+    hits = with_rule(owned(added_lines(diffs, long_lines=long_lines), rules), rules)
+    hits = pin(hits, match=D.matched_group("line", "_regex", found=FOUND))
+    return score(hits.drop("_regex", FOUND), rules)
 
 
 def scan_history(

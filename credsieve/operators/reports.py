@@ -16,6 +16,7 @@ from credsieve.functions.rules import Rule
 from credsieve.functions.score import SEVERITY, severity
 from credsieve.functions.text import let, quote
 from credsieve.operators.filters import at_least
+from credsieve.operators.long_lines import holds_long_line, redact_long
 from credsieve.operators.order import numbered
 from credsieve.sources.baseline import VERSION
 from credsieve.sources.lines import raw_lines
@@ -97,10 +98,16 @@ def redacted_line(rules: Sequence[Rule], line: str) -> str:
 
 
 def redact_texts(files: DataFrame, rules: Sequence[Rule], content: str = "content") -> DataFrame:
-    """Whole texts with all matches masked; each text is rewritten in place."""
-    rewritten = f"transform({raw_lines(content)}, raw -> {redacted_line(rules, 'raw')})"
+    """Whole texts with all matches masked; each text is rewritten in place.
+
+    Texts that hold long lines are told apart first; those lines are masked on their own.
+    """
+    line = f"if({D.is_long_line('raw')}, raw, {redacted_line(rules, 'raw')})"
     ending = f"if(endswith({content}, '\\n'), '\\n', '')"
-    return files.withColumn(content, F.expr(f"concat(array_join({rewritten}, '\\n'), {ending})"))
+    short = F.expr(f"concat(array_join(transform({raw_lines(content)}, raw -> {line}), '\\n'), {ending})")
+    held = f"coalesce({holds_long_line(content)}, false)"
+    longs = files.where(held).withColumn(content, short)
+    return files.where(f"not {held}").withColumn(content, short).unionByName(redact_long(longs, rules, MASK, content))
 
 
 def totals_by_origin(findings: DataFrame) -> DataFrame:

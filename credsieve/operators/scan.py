@@ -10,11 +10,14 @@ from pyspark.sql import functions as F
 from credsieve.functions import detect as D
 from credsieve.functions.rules import Rule
 from credsieve.functions.score import confidence, context, entropy
-from credsieve.functions.text import matches, pin
+from credsieve.functions.text import let, matches, pin, quote
+from credsieve.operators.long_lines import FOUND, resolved
 from credsieve.sources.lines import lines
 
 # Fixed value: a line that quotes a regex between backticks is a rule definition.
-REGEX_LINE = r"(?d)\A[\t\n\f\r ]*`.*(?:\(\?i\)|\\s|\\d|\[|\]|\{|\}|\||\^|\$).*`"
+REGEX_SIGNS = r"\(\?i\)|\\s|\\d|\[|\]|\{|\}|\||\^|\$"
+REGEX_LINE = rf"(?d)\A[\t\n\f\r ]*`.*(?:{REGEX_SIGNS}).*`"
+RE2_BLANK = "\t\n\f\r "
 
 FINDING_COLUMNS = (
     "file", "file_path", "line_no", "line", "match", "rule_id", "pattern",
@@ -23,7 +26,13 @@ FINDING_COLUMNS = (
 
 
 def is_regex_line(line: str) -> str:
-    return f"(contains({line}, '`') and {matches(line, REGEX_LINE)})"
+    """Whether ``REGEX_LINE`` matches, in one pass: what lies between the first backtick,
+    which begins the line, and the last one holds one of the signs."""
+    rest = f"substring(trim(LEADING {quote(RE2_BLANK)} FROM l), 2)"
+    inner = f"left(r, char_length(r) - char_length(substring_index(r, '`', -1)) - 1)"
+    begins = f"startswith(trim(LEADING {quote(RE2_BLANK)} FROM l), '`')"
+    held = let("r", rest, f"contains(r, '`') and {matches(inner, REGEX_SIGNS)}")
+    return f"(contains({line}, '`') and {let('l', line, f'{begins} and {held}')})"
 
 
 def gated(rows: DataFrame, rules: Sequence[Rule], line: str = "line") -> DataFrame:
@@ -39,20 +48,25 @@ def detect(rows: DataFrame, rules: Sequence[Rule], line: str = "line") -> DataFr
     """
     # explode, not a filter on the index: a filter would be pushed below the
     # projection and evaluate all rules a second time.
+    return owned(rows, rules, line).drop(FOUND)
+
+
+def owned(rows: DataFrame, rules: Sequence[Rule], line: str = "line") -> DataFrame:
+    """``detect``, and in ``_found`` what is known already of a long line's match."""
     owner = f"explode(array_compact(array({D.first_rule(rules, line)}))) as rule_idx"
-    return gated(rows, rules, line).selectExpr(*rows.columns, owner)
+    return resolved(gated(rows, rules, line).selectExpr(*rows.columns, owner), rules, line)
 
 
 def owners(rows: DataFrame, rules: Sequence[Rule], line: str = "line") -> DataFrame:
     """All rows, with the index of the first rule that matches the line or null."""
     owner = f"if({D.line_gate(rules, line)}, {D.first_rule(rules, line)}, null)"
-    return pin(rows, rule_idx=owner)
+    return resolved(pin(rows, rule_idx=owner), rules, line, keep=True).drop(FOUND)
 
 
 def detect_all(rows: DataFrame, rules: Sequence[Rule], line: str = "line") -> DataFrame:
     """One row per (line, matching rule): detection without the first-match choice."""
     every = f"explode({D.all_rules(rules, line)}) as rule_idx"
-    return gated(rows, rules, line).selectExpr(*rows.columns, every)
+    return resolved(gated(rows, rules, line).selectExpr(*rows.columns, every), rules, line, every=True).drop(FOUND)
 
 
 def with_rule(rows: DataFrame, rules: Sequence[Rule]) -> DataFrame:
@@ -86,9 +100,9 @@ def rule_label(rules: Sequence[Rule], idx: str = "rule_idx") -> str:
 
 def file_hits(rows: DataFrame, rules: Sequence[Rule], *, path: str = "path") -> DataFrame:
     """Scored hits of file lines, low ones included; all columns of ``rows`` kept."""
-    hits = with_rule(detect(rows.where(f"not {is_regex_line('line')}"), rules), rules)
-    hits = pin(hits, match=D.secret_of(rules, "line", "rule_idx", "_regex"))
-    return score(hits.drop("_regex"), rules, path=path)
+    hits = with_rule(owned(rows.where(f"not {is_regex_line('line')}"), rules), rules)
+    hits = pin(hits, match=D.secret_of(rules, "line", "rule_idx", "_regex", FOUND))
+    return score(hits.drop("_regex", FOUND), rules, path=path)
 
 
 def as_findings(

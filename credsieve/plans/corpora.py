@@ -182,6 +182,24 @@ def commits_sql(dialect: Dialect, conversations: str = "conversations") -> str:
         from (select conv_id, turn, role, text, {secrets} from {conversations}) t"""
 
 
+def long_lines_sql(dialect: Dialect, documents: str = "documents", regions: str = "region") -> str:
+    """(``path``, ``line_no``, ``line``): a line of some 20 KB per document and of 10 MB per region.
+
+    Text of the table, repeated, with beginnings of addresses and tokens that lead nowhere;
+    at the end a credential.
+    """
+    text = "replace(coalesce(text, ''), chr(10), ',http://ab:80,')"
+    secret = planted(dialect, "doc_id")
+    return f"""
+        select concat('long/d', doc_id, '.py') as path, cast(1 as int) as line_no,
+            concat(repeat(concat({text}, 'eyJhttp://ab:80,'), cast(1 + floor(20000 / (length({text}) + 16)) as int)),
+                ' ', {secret}) as line from {documents}
+        union all
+        select concat('long/r', r_regionkey, '.py'), cast(1 as int),
+            concat(repeat(concat(r_name, ':http://ab:80,eyJ${{'), cast(floor(10000000 / (length(r_name) + 19)) as int)),
+                ' password = "', md5(r_name), '"') from {regions}"""
+
+
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -192,6 +210,12 @@ def planted_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(files_sql(SPARK, "credsieve_orders"))
 
 
+def long_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spread(load(spark, sf_dir, "documents").select("doc_id", "text")).createOrReplaceTempView("credsieve_documents")
+    spread(load(spark, sf_dir, "region")).createOrReplaceTempView("credsieve_regions")
+    return spark.sql(long_lines_sql(SPARK, "credsieve_documents", "credsieve_regions"))
+
+
 def commit_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     spread(load(spark, sf_dir, "conversations")).createOrReplaceTempView("credsieve_conversations")
     return spark.sql(commits_sql(SPARK, "credsieve_conversations"))

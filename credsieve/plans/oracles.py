@@ -11,7 +11,7 @@ from collections.abc import Sequence
 
 from credsieve.functions.rules import Rule, rule_set
 from credsieve.functions.verdict import PROMPT
-from credsieve.plans.corpora import DUCKDB, commits_sql, corpus_rules, files_sql
+from credsieve.plans.corpora import DUCKDB, commits_sql, corpus_rules, files_sql, long_lines_sql
 from credsieve.plans.queries import CORPUS_RULE_VARIANTS
 
 S = DUCKDB.text
@@ -389,7 +389,12 @@ def _dialect_rules() -> str:
             1 as line_no, case p_partkey % 6 when 0 then concat('id', p_partkey + 1000, 'x9QrTyLmWz')
                 when 1 then concat('zq~zq-', p_partkey) when 2 then concat('a', chr(11), 'bKqWzXvTyU')
                 when 3 then concat('(x)[y]$ ', p_partkey) when 4 then concat('mid', p_partkey, 'qqword')
-                else concat('plain ', p_partkey) end as line from part),
+                else concat('plain ', p_partkey) end as line from part
+            union all select concat('src/s', s_suppkey, '.py'), 1,
+                replace('azure_client_id = 0a1b2c3d-0a1b-2c3d-4e5f-0a1b2c3d4e5f aſkkey', substr('iskK', 1 + (s_suppkey % 4)::int, 1),
+                    substr('ıſKİ', 1 + (s_suppkey % 4)::int, 1)) from supplier
+            union all select concat('src/t', s_suppkey, '.py'), 1,
+                concat(substr('ısSİſK', 1 + (s_suppkey % 6)::int, 1), 'tiſk-', substr('KkKıiE', 1 + (s_suppkey % 6)::int, 1), '_é', s_suppkey) from supplier),
         owned as (select *, {_first_rule(rules)} as rule_idx from rows),
         matched as (select *, {_whole(rules)} as match, {ids} as rule_id from owned where rule_idx is not null)
         select path as file_path, match, rule_id from matched
@@ -469,8 +474,13 @@ def oracle_sql() -> dict[str, str]:
             {_files_to_lines('doc_lines', 'texts', 'doc_id')}
             select doc_id, max(line_no) as n_lines, max(strlen(line)) as longest,
                 count(*) filter (line = '') as n_blank from doc_lines group by doc_id""",
-        "texts_with_long_lines": """select doc_id, 1 as long_lines from documents
-            where list_max(list_transform(string_split(text, chr(10)), lambda x: strlen(x))) >= 1048576""",
+        "texts_with_long_lines": """with texts as (select concat('d', doc_id) as path, text as content from documents
+                union all select concat('n', n_nationkey), concat(n_name, chr(10),
+                    repeat(concat(n_name, ' '), 1 + 1200000 // length(n_name)), chr(10), n_regionkey) from nation)
+            select path, len(list_filter(string_split(content, chr(10)), lambda x: strlen(x) >= 1048576)) as long_lines
+            from texts where long_lines > 0""",
+        "long_line_findings": f"""with long_lines as materialized ({long_lines_sql(DUCKDB)}), {_hits('long_lines', _RULES)}
+            select path, rule_idx, context, md5(match) as digest, length(match)::int as length from hits""",
         "written_corpus_scan": f"""with files as (select concat('lang=', lang, '/x.txt') as path, text as content
                 from documents), {_files_to_lines('doc_lines', 'files')}, {_hits('doc_lines', _RULES)}
             select split_part(path, '/', 1) as folder, context, confidence, count(*) as n from hits group by all""",

@@ -19,7 +19,7 @@ from credsieve.operators import filters, history, reports, scan, similarity, ver
 from credsieve.operators.run import complete_scan as complete
 from credsieve.operators.run import scan_and_store
 from credsieve.plans.corpora import (
-    CORPUS_TOKEN, commit_rows, corpus_rules, document_files, load, planted_files,
+    CORPUS_TOKEN, commit_rows, corpus_rules, document_files, load, long_lines, planted_files,
 )
 from credsieve.session import fresh_path, settled
 from credsieve.sources import files as S
@@ -59,6 +59,8 @@ DIALECT_RULES = (
     custom_rule("vertical-tab", r"a\vb[[:word:]]+", confidence="high"),
     custom_rule("quoted", r"\Q(x)[y]$\E [0-9]+", confidence="high"),
     custom_rule("inside-a-word", r"\Bqqword", confidence="high"),
+    custom_rule("folded", r"(?i)sTi[r-t]K-(?:k|i)_[É][0-9]+", confidence="high"),
+    custom_rule("partly-folded", r"s(?i:TIſ)k-[^K]_", confidence="high"),
 )
 
 
@@ -260,8 +262,19 @@ def line_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def texts_with_long_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = load(spark, sf_dir, "documents").selectExpr("doc_id", "text as content")
-    return long_line_counts(texts)
+    """Documents, and a text per nation whose second line is over a megabyte."""
+    texts = load(spark, sf_dir, "documents").selectExpr("concat('d', doc_id) as path", "text as content")
+    nations = load(spark, sf_dir, "nation").selectExpr(
+        "concat('n', n_nationkey) as path",
+        "concat(n_name, '\\n', repeat(concat(n_name, ' '), 1 + 1200000 div length(n_name)), '\\n', n_regionkey) as content",
+    )
+    return long_line_counts(texts.unionByName(spread(nations))).withColumn("long_lines", F.col("long_lines").cast("bigint"))
+
+
+def long_line_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What rules find on lines of 20 KB and of 10 MB."""
+    hits = scan.file_hits(long_lines(spark, sf_dir), corpus_rules())
+    return hits.selectExpr("path", "rule_idx", "context", "md5(match) as digest", "char_length(match) as length")
 
 
 def written_corpus_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -818,6 +831,18 @@ def dialect_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "case p_partkey % 6 when 0 then concat('id', p_partkey + 1000, 'x9QrTyLmWz') when 1 then concat('zq~zq-', p_partkey)"
         " when 2 then concat('a', char(11), 'bKqWzXvTyU') when 3 then concat('(x)[y]$ ', p_partkey)"
         " when 4 then concat('mid', p_partkey, 'qqword') else concat('plain ', p_partkey) end as line",
+    ).unionByName(
+        # Letters that some engines take for i, s and k without case.
+        load(spark, sf_dir, "supplier").selectExpr(
+            "concat('src/s', s_suppkey, '.py') as path", "cast(1 as int) as line_no",
+            "replace('azure_client_id = 0a1b2c3d-0a1b-2c3d-4e5f-0a1b2c3d4e5f aſkkey', substr('iskK', 1 + s_suppkey % 4, 1),"
+            " substr('ıſKİ', 1 + s_suppkey % 4, 1)) as line",
+        ).unionByName(
+            load(spark, sf_dir, "supplier").selectExpr(
+                "concat('src/t', s_suppkey, '.py') as path", "cast(1 as int) as line_no",
+                "concat(substr('ısSİſK', 1 + s_suppkey % 6, 1), 'tiſk-', substr('KkKıiE', 1 + s_suppkey % 6, 1), '_é', s_suppkey) as line",
+            )
+        )
     )
     config = Config(rules=DIALECT_RULES, allowlist=Allowlist(path_regexes=(r"[.][[:upper:]][[:digit:]]",), regexes=(r"^[[:alpha:]]+1[[:digit:]]*x",)))
     rules = config.rule_set()
@@ -961,5 +986,6 @@ QUERIES: dict[str, Query] = {
         streamed_findings, streamed_suppressed, streamed_once, streamed_counts, streamed_store,
         hidden_files_scan, skipped_inputs, redacted_lines, dialect_rules, batch_verdicts,
         scanned_and_stored, stored_baseline_update, loaded_config, strict_cosines,
+        long_line_findings,
     )
 }
