@@ -7,6 +7,7 @@ Spark and for DuckDB, so both sides of a comparison read the same texts.
 
 from __future__ import annotations
 
+import os
 import re._constants as C
 import re._parser as regex_parser
 from dataclasses import dataclass
@@ -16,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from credsieve.functions.rules import Rule, custom_rule, rule_set
 from credsieve.functions.text import let, quote
 from credsieve.sources.lines import spread
+from credsieve.sources.tree import opened, qualified
 
 # A rule for the tokens that do occur in the documents table.
 CORPUS_TOKEN = custom_rule(
@@ -216,6 +218,24 @@ def long_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(long_lines_sql(SPARK, "credsieve_documents", "credsieve_regions"))
 
 
+def plant_entries(spark: SparkSession, root: str, *, links: dict[str, str], pipes: list[str]) -> None:
+    """Links and pipes below a root on a file system that has them."""
+    address = qualified(spark, root)
+
+    def planted(batches):
+        for rows in batches:
+            top = opened(address)[1]
+            for name, target in links.items():
+                if not os.path.islink(f"{top}/{name}"):
+                    os.symlink(target, f"{top}/{name}")
+            for name in pipes:
+                if not os.path.exists(f"{top}/{name}"):
+                    os.mkfifo(f"{top}/{name}")
+            yield rows
+
+    spark.range(1).coalesce(1).mapInArrow(planted, "id long").collect()
+
+
 def commit_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     spread(load(spark, sf_dir, "conversations")).createOrReplaceTempView("credsieve_conversations")
     return spark.sql(commits_sql(SPARK, "credsieve_conversations"))

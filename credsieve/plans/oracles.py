@@ -667,6 +667,12 @@ def oracle_sql() -> dict[str, str]:
             from store s left join labels l on l.doc_id = s.id""",
         "hidden_files_scan": f"""with {_NAMED} select path, strlen(content) as size, md5(content) as digest
             from named where not contains(path, 'node_modules/')""",
+        "tree_scan": f"""with {_NAMED} select path, strlen(content) as size, md5(content) as digest, null as reason
+                from named where not contains(path, 'node_modules/')
+            union all select 'same.cfg', strlen(text), md5(text), null from documents where doc_id = (select min(doc_id) from documents)
+            union all values ('loop', 0, null, 'link to a folder'), ('self', 0, null, 'broken link'), ('pipe', 0, null, 'special file')""",
+        "streamed_tree": f"""with {_NAMED} select path, strlen(content) as size, md5(content) as digest, null as reason
+                from named where not contains(path, 'node_modules/')""",
         "skipped_inputs": """with texts as (select concat('doc/', doc_id, '.cfg') as path, case when doc_id % 83 = 5
                 then repeat(replace(text, chr(10), ' '), (ceil(1200000 / strlen(text)) * (1 + doc_id % 2))::bigint)
                 else text end as content from documents)

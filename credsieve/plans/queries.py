@@ -19,7 +19,8 @@ from credsieve.operators import filters, history, reports, scan, similarity, ver
 from credsieve.operators.run import complete_scan as complete
 from credsieve.operators.run import scan_and_store
 from credsieve.plans.corpora import (
-    CORPUS_TOKEN, commit_rows, corpus_rules, document_files, load, long_lines, planted_files,
+    CORPUS_TOKEN, commit_rows, corpus_rules, document_files, load, long_lines, plant_entries,
+    planted_files,
 )
 from credsieve.session import fresh_path, settled
 from credsieve.sources import files as S
@@ -28,6 +29,7 @@ from credsieve.sources.baseline import ordered_entries
 from credsieve.sources.config import Allowlist, Config, load_config
 from credsieve.sources.history import added_lines, parse_commit_log, select_commits
 from credsieve.sources.lines import lines, long_line_counts, spread
+from credsieve.sources.tree import stream_tree
 from credsieve.streaming import scan as stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -314,6 +316,30 @@ def hidden_files_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.selectExpr("path", "size", "md5(content) as digest")
 
 
+def tree_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tree with a link loop, a link to a file, one to nothing and a pipe, read in small input partitions."""
+    root = fresh_path(spark, "tree")
+    files = _named_documents(spark, sf_dir)
+    S.write_files(files, root)
+    target = files.agg(F.min_by("path", F.regexp_extract("path", r"^d(\d+)", 1).cast("long"))).first()[0]
+    plant_entries(spark, root, links={"loop": ".", "self": "self", "same.cfg": target}, pipes=["pipe"])
+    found = S.read_tree(spark, root, bundle_bytes=1 << 20)
+    return found.selectExpr("path", "size", "md5(content) as digest", "reason")
+
+
+def streamed_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tree that grows between two runs of a stream, read some files at a time."""
+    root, log, out, state = (fresh_path(spark, n) for n in ("tree", "tree-log", "tree-out", "tree-state"))
+    files = settled(_named_documents(spark, sf_dir))
+    first = F.expr("pmod(xxhash64(path), 2) = 0")
+    for wave in (files.where(first), files.where(~first)):
+        S.write_files(wave, root)
+        arriving = stream_tree(spark, root, log, max_files=150, ignored_dirs=S.IGNORED_DIRS)
+        rows = arriving.selectExpr("path", "size", "md5(content) as digest", "reason")
+        stream.drain(rows, out, state)
+    return spark.read.schema("path string, size bigint, digest string, reason string").parquet(out)
+
+
 def skipped_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a size cap and skipped long lines leave out of a scan, and why."""
     long = "repeat(replace(text, '\n', ' '), cast(ceil(1200000 / octet_length(text)) * (1 + doc_id % 2) as int))"
@@ -986,6 +1012,6 @@ QUERIES: dict[str, Query] = {
         streamed_findings, streamed_suppressed, streamed_once, streamed_counts, streamed_store,
         hidden_files_scan, skipped_inputs, redacted_lines, dialect_rules, batch_verdicts,
         scanned_and_stored, stored_baseline_update, loaded_config, strict_cosines,
-        long_line_findings,
+        long_line_findings, tree_scan, streamed_tree,
     )
 }
