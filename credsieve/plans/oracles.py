@@ -663,6 +663,10 @@ def oracle_sql() -> dict[str, str]:
             concat('sha256:', sha256(line)) as code_snippet, line_no = 4 as verified,
             case when line_no = 4 then 2 else 1 end::bigint as timestamp,
             case when line_no = 4 then 0.0 else line_no end::double as x from found""",
+        "store_history": f"""with {_FOUND} select version::int as version, file_path, line_no as line_number, pattern as pattern_type,
+            version = 4 and confidence = 'critical' as verified,
+            (case when version = 4 and confidence = 'high' then 2 else 1 end)::bigint as timestamp
+            from found, (values (2), (4)) as v(version)""",
         "store_marked": f"""with {_STORE} select id, coalesce(l.quality = 1, s.verified) as verified
             from store s left join labels l on l.doc_id = s.id""",
         "hidden_files_scan": f"""with {_NAMED} select path, strlen(content) as size, md5(content) as digest

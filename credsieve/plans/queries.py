@@ -903,6 +903,21 @@ def store_upserted(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def store_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A store grown in three writes and marked, in small buckets: two of its versions."""
+    found, path = _settled_findings(spark, sf_dir), fresh_path(spark, "store")
+    first = ST.store_rows(found, "array(cast(line_no as float))", timestamp="1")
+    later = ST.store_rows(found.where("confidence = 'high'"), "array(cast(0 as float))", timestamp="2")
+    ST.upsert_stored(first.where("line_number <> 4"), path, bucket_bytes=64 * 1024)
+    seen = ST.upsert_stored(first.where("line_number = 4"), path, bucket_bytes=64 * 1024)
+    ST.upsert_stored(later, path, bucket_bytes=64 * 1024, base=seen.version)
+    ST.mark_stored(ST.read_store(spark, path).where("confidence = 'critical'").selectExpr("id", "true as verified"), path)
+    parts = [ST.read_store(spark, path, version=v).withColumn("version", F.lit(v)) for v in (seen.version, seen.version + 2)]
+    return parts[0].unionByName(parts[1]).selectExpr(
+        "version", "file_path", "cast(line_number as bigint) as line_number", "pattern_type", "verified", "timestamp"
+    )
+
+
 def store_marked(spark: SparkSession, sf_dir: str) -> DataFrame:
     verdicts = load(spark, sf_dir, "labels").selectExpr("doc_id as id", "quality = 1 as verified")
     marked = ST.mark_verified(embedding_store(spark, sf_dir), verdicts)
@@ -1013,5 +1028,6 @@ QUERIES: dict[str, Query] = {
         hidden_files_scan, skipped_inputs, redacted_lines, dialect_rules, batch_verdicts,
         scanned_and_stored, stored_baseline_update, loaded_config, strict_cosines,
         long_line_findings, tree_scan, streamed_tree,
+        store_history,
     )
 }

@@ -1,21 +1,38 @@
-"""The finding store: verified history of findings with their vectors."""
+"""The finding store: verified history of findings with their vectors.
+
+A stored store lies in buckets by the first binary digits of its rows' ids.  A bucket that
+grows over its limit in bytes is split on another digit, so a larger store has more buckets,
+not larger ones.  A version is a manifest that names the folder of every bucket; it is
+published by one rename, so a reader sees all of a version or none, and a writer whose base
+is not the newest version any more fails.  Older versions can be read until they are removed.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+import re
+import uuid
+from collections.abc import Iterable
+from dataclasses import asdict, dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from credsieve.functions.identity import snippet_hash
+from credsieve.session import settled
 
 STORE_SCHEMA = (
     "id bigint, file_path string, line_number int, code_snippet string, embedding array<float>,"
     " pattern_type string, entropy double, confidence string, verified boolean, timestamp bigint"
 )
 KEY = ("file_path", "line_number", "pattern_type")
-#: A stored store lies in this many parts by key, so that an upsert rewrites few of them.
-BUCKETS = 64
+#: Bytes of rows beyond which a bucket of a stored store is split.
+BUCKET_BYTES = 128 * 1024 * 1024
+#: Binary digits of a row's place, the id that follows from its key.
+PLACE_BITS = 60
+#: Digits by which a bucket is split at a time.
+SPLIT_LEVELS = 8
 _REST = ("id", "code_snippet", "embedding", "entropy", "confidence", "verified")
 
 
@@ -67,6 +84,7 @@ def upsert(store: DataFrame, arriving: DataFrame) -> DataFrame:
 def mark_verified(store: DataFrame, verdicts: DataFrame) -> DataFrame:
     """Set ``verified`` from (``id``, ``verified``) verdicts; other rows keep theirs."""
     given = verdicts.groupBy("id").agg(F.max("verified").alias("_verified"))
+    # Each id once on the right.
     return (
         store.join(given, "id", "left")
         .withColumn("verified", F.coalesce("_verified", "verified"))
@@ -74,54 +92,218 @@ def mark_verified(store: DataFrame, verdicts: DataFrame) -> DataFrame:
     )
 
 
-def _bucket() -> Column:
-    return F.pmod(F.xxhash64(*KEY), F.lit(BUCKETS)).cast("int")
+class StoreChanged(RuntimeError):
+    """Another writer published the version that was to be written."""
 
 
-def read_store(
-    spark: SparkSession, path: str, *, before: int | None = None, buckets: Sequence[int] | None = None
-) -> DataFrame:
-    """The newest complete version of every bucket below ``path`` (of snapshots numbered
-    less than ``before``, of the ``buckets`` asked for); an empty store if there is none."""
-    newest = [
-        versions[-1]
-        for bucket, versions in _versions(spark, path, before).items()
-        if buckets is None or bucket in buckets
-    ]
-    if not newest:
-        return empty_store(spark)
-    return spark.read.schema(STORE_SCHEMA).parquet(*newest)
-
-
-def write_store(rows: DataFrame, path: str, snapshot: int) -> None:
-    """Write the rows' buckets as a snapshot; other buckets keep their older version.
-    Repeating a snapshot, as a restarted stream does, replaces it."""
-    placed = rows.withColumn("bucket", _bucket())
-    placed.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/snapshot={snapshot}")
-
-
-def upsert_stored(arriving: DataFrame, path: str, snapshot: int) -> None:
-    """Upsert into the store at ``path``: only buckets that arriving keys fall in are read
-    and written.  Versions of a bucket before its last two are removed."""
+@dataclass(frozen=True)
+class Bucket:
+    """Rows whose place begins with ``bits``; ``folder`` is null where there are none."""
+
+    bits: str
+    folder: str | None = None
+    rows: int = 0
+    bytes: int = 0
+
+
+@dataclass(frozen=True)
+class Manifest:
+    """A version of a store: its buckets, which cover every place once, and the last batch of each stream."""
+
+    version: int = 0
+    buckets: tuple[Bucket, ...] = (Bucket(""),)
+    batches: tuple[tuple[str, int], ...] = ()
+
+    @property
+    def depth(self) -> int:
+        return max(len(b.bits) for b in self.buckets)
+
+
+def read_manifest(spark: SparkSession, path: str, version: int | None = None) -> Manifest:
+    """The newest version of a store, or the one asked for; an empty one where there is none."""
+    known = store_versions(spark, path)
+    if version is not None and version not in known:
+        raise ValueError(f"{path} has no version {version}")
+    if not known:
+        return Manifest()
+    file, fs = _folder(spark, f"{path}/manifests/{version or known[-1]:010d}.json")
+    stream = fs.open(file)
+    try:
+        held = json.loads(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+    finally:
+        stream.close()
+    return Manifest(held["version"], tuple(Bucket(**b) for b in held["buckets"]), tuple((n, i) for n, i in held["batches"]))
+
+
+def store_versions(spark: SparkSession, path: str) -> list[int]:
+    """The published versions that are still kept, oldest first."""
+    return [int(n[:10]) for n in _names(spark, f"{path}/manifests") if re.fullmatch(r"\d{10}\.json", n)]
+
+
+def _publish(spark: SparkSession, path: str, manifest: Manifest) -> None:
+    """Make a version visible, all of it at once, unless there is one of its number."""
+    jvm, name = spark.sparkContext._jvm, f"{path}/manifests/{manifest.version:010d}.json"
+    unfinished, fs = _folder(spark, f"{path}/manifests/.{uuid.uuid4().hex}")
+    out = fs.create(unfinished, False)
+    out.write(bytearray(json.dumps(asdict(manifest)).encode()))
+    out.close()
+    final = jvm.org.apache.hadoop.fs.Path(name)
+    options = spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    try:
+        # Without an option to overwrite, a name that is taken is an error.
+        context.rename(fs.makeQualified(unfinished), fs.makeQualified(final), options)
+    except Py4JJavaError as error:
+        fs.delete(unfinished, False)
+        if "FileAlreadyExists" in str(error.java_exception.getClass().getName()):
+            raise StoreChanged(f"version {manifest.version} of {path} was written meanwhile") from None
+        raise
+
+
+def read_store(spark: SparkSession, path: str, *, version: int | None = None) -> DataFrame:
+    """A version of the store below ``path``, the newest unless asked for another."""
+    return _read(spark, path, read_manifest(spark, path, version).buckets)
+
+
+def _read(spark: SparkSession, path: str, buckets: Iterable[Bucket]) -> DataFrame:
+    folders = [f"{path}/{b.folder}" for b in buckets if b.folder]
+    return spark.read.schema(STORE_SCHEMA).parquet(*folders) if folders else empty_store(spark)
+
+
+def _bits(ids: str = "id") -> str:
+    """A row's place: its id as 60 binary digits."""
+    return f"lpad(bin({ids}), {PLACE_BITS}, '0')"
+
+
+def _placed(rows: DataFrame, buckets: Iterable[Bucket]) -> DataFrame:
+    """Rows with ``_bits``, the bucket that their place begins with.
+
+    The directory lists each bucket once, by how many digits it takes and which; a row looks
+    itself up at every number of digits in use.  There is one entry for each bucket, so the
+    directory's size is known, and the plan is left to choose how it meets the rows.
+    """
+    spark = rows.sparkSession
+    listed = sorted({b.bits for b in buckets})
+    depths = sorted({len(b) for b in listed})
+    directory = spark.createDataFrame([(b,) for b in listed], "_bits string")
+    if depths == [0]:
+        return rows.withColumn("_bits", F.lit(""))
+    tried = F.explode(F.array(*[F.expr(f"substring({_bits()}, 1, {d})") for d in depths])).alias("_bits")
+    return rows.select("*", tried).join(directory, "_bits")
+
+
+def _row_bytes() -> Column:
+    texts = [F.coalesce(F.octet_length(c), F.lit(0)) for c in ("file_path", "code_snippet", "pattern_type", "confidence")]
+    return sum(texts, F.lit(40)) + 4 * F.greatest(F.size("embedding"), F.lit(0))
+
+
+def _split(rows: DataFrame, sizes: dict[str, int], bucket_bytes: int) -> list[str]:
+    """The buckets that ``sizes`` become when those over the limit are split, digit by digit."""
+    done = [b for b, n in sizes.items() if n <= bucket_bytes or len(b) >= PLACE_BITS]
+    large = [b for b, n in sizes.items() if b not in set(done)]
+    while large:
+        # Few levels at a time, so that a bucket has a bounded number of parts.
+        finer = rows.join(rows.sparkSession.createDataFrame([(b,) for b in large], "_bits string"), "_bits", "left_semi")
+        part = F.expr(f"substring({_bits()}, 1, length(_bits) + {SPLIT_LEVELS})").alias("part")
+        counted = {(r["_bits"], r["part"]): r["n"] for r in finer.groupBy("_bits", part).agg(F.sum(_row_bytes()).alias("n")).collect()}
+        again = []
+        for whole in large:
+            parts = {p: n for (b, p), n in counted.items() if b == whole}
+            open_parts = [whole]
+            while open_parts:
+                bits = open_parts.pop()
+                held = sum(n for p, n in parts.items() if p.startswith(bits))
+                if held <= bucket_bytes or len(bits) >= PLACE_BITS:
+                    done.append(bits)
+                elif len(bits) - len(whole) == SPLIT_LEVELS:
+                    again.append(bits)
+                else:
+                    open_parts += [bits + "0", bits + "1"]
+        if again:
+            rows = _placed(rows.drop("_bits"), [Bucket(b) for b in [*done, *again]])
+        large = again
+    return sorted(done)
+
+
+def _written(
+    spark: SparkSession, path: str, base: Manifest, touched: Iterable[str], rows: DataFrame, bucket_bytes: int, batch: tuple[str, int] | None
+) -> Manifest:
+    """The version after ``base``, whose touched buckets hold ``rows`` (with ``_bits``) from now on."""
+    rows, touched = settled(rows), set(touched)
+    sizes = {r["_bits"]: r["n"] for r in rows.groupBy("_bits").agg(F.sum(_row_bytes()).alias("n")).collect()}
+    parts = _split(rows, {b: sizes.get(b, 0) for b in touched}, bucket_bytes)
+    folder = f"data/{base.version + 1:010d}-{uuid.uuid4().hex}"
+    placed = _placed(rows.drop("_bits"), [Bucket(b) for b in parts])
+    kept = settled(placed) if set(parts) != touched else placed
+    # A folder's name needs a value: the root's place is empty.
+    named = kept.withColumn("bits", F.concat(F.lit("b"), "_bits")).drop("_bits")
+    named.repartition("bits").write.partitionBy("bits").parquet(f"{path}/{folder}")
+    found = named.groupBy("bits").agg(F.count("*").alias("rows"), F.sum(_row_bytes()).alias("bytes")).collect()
+    new = {r["bits"][1:]: Bucket(r["bits"][1:], f"{folder}/bits={r['bits']}", r["rows"], r["bytes"]) for r in found}
+    buckets = [b for b in base.buckets if b.bits not in touched] + [new.get(b, Bucket(b)) for b in parts]
+    batches = dict(base.batches) | (dict([batch]) if batch else {})
+    made = Manifest(base.version + 1, tuple(sorted(buckets, key=lambda b: b.bits)), tuple(sorted(batches.items())))
+    _publish(spark, path, made)
+    return made
+
+
+def upsert_stored(
+    arriving: DataFrame, path: str, *, bucket_bytes: int = BUCKET_BYTES, base: int | None = None, batch: tuple[str, int] | None = None
+) -> Manifest:
+    """Upsert into the store at ``path`` and publish the next version, which is returned.
+
+    Only buckets that arriving keys fall in are read and written; what grows over
+    ``bucket_bytes`` is split, digit by digit of the place, until it fits.  ``base`` is the
+    version the writer has seen (the newest by default): if another has been published since,
+    that is ``StoreChanged`` and nothing changes.  ``batch``, a stream's name and the number of
+    its batch, is written down, and a batch that was published before does nothing.
+    """
     spark = arriving.sparkSession
-    touched = [r["b"] for r in arriving.select(_bucket().alias("b")).distinct().collect()]
-    current = read_store(spark, path, before=snapshot, buckets=touched)
-    write_store(upsert(current, arriving), path, snapshot)
-    for versions in _versions(spark, path, None).values():
-        for old in versions[:-2]:
-            _delete(spark, old)
-
-
-def _versions(spark: SparkSession, path: str, before: int | None) -> dict[int, list[str]]:
-    """The folders of each bucket in complete snapshots, oldest first."""
-    found: dict[int, list[str]] = {}
-    for number in snapshots(spark, path):
-        if before is None or number < before:
-            folder = f"{path}/snapshot={number}"
-            for name in _names(spark, folder):
-                if name.startswith("bucket="):
-                    found.setdefault(int(name.split("=", 1)[1]), []).append(f"{folder}/{name}")
-    return found
+    current = read_manifest(spark, path, base) if base else read_manifest(spark, path)
+    if batch and dict(current.batches).get(batch[0], -1) >= batch[1]:
+        return current
+    rows = settled(_placed(arriving.withColumn("id", F.expr(store_id())), current.buckets))
+    touched = {r["_bits"] for r in rows.select("_bits").distinct().collect()}
+    if not touched:
+        return current
+    before = _placed(_read(spark, path, [b for b in current.buckets if b.bits in touched]), current.buckets)
+    merged = upsert(before.drop("_bits"), rows.drop("_bits"))
+    return _written(spark, path, current, touched, _placed(merged, current.buckets), bucket_bytes, batch)
+
+
+def mark_stored(verdicts: DataFrame, path: str, *, base: int | None = None) -> Manifest:
+    """``mark_verified`` on the store at ``path``: an id says which bucket it lies in, and only
+    buckets in which a row changes are written."""
+    spark = verdicts.sparkSession
+    current = read_manifest(spark, path, base) if base else read_manifest(spark, path)
+    given = settled(_placed(verdicts.select("id", "verified"), current.buckets))
+    asked = {r["_bits"] for r in given.select("_bits").distinct().collect()}
+    rows = _placed(_read(spark, path, [b for b in current.buckets if b.bits in asked]), current.buckets)
+    marked = settled(
+        mark_verified(rows.withColumn("_was", F.col("verified")), given.drop("_bits"))
+    )
+    touched = {r["_bits"] for r in marked.where("not (verified <=> _was)").select("_bits").distinct().collect()}
+    if not touched:
+        return current
+    rewritten = marked.where(F.col("_bits").isin(*sorted(touched))).drop("_was")
+    # Marks change no size: no bucket is split.
+    return _written(spark, path, current, touched, rewritten, 1 << 62, None)
+
+
+def remove_versions(spark: SparkSession, path: str, *, keep: int) -> None:
+    """Remove all versions but the newest ``keep``, and the buckets that none of those has."""
+    versions = store_versions(spark, path)
+    used = {b.folder for v in versions[-keep:] for b in read_manifest(spark, path, v).buckets}
+    for v in versions[:-keep]:
+        _delete(spark, f"{path}/manifests/{v:010d}.json")
+    newest = versions[-1] if versions else 0
+    for write in _names(spark, f"{path}/data"):
+        # What a writer has not published yet has a later number.
+        if int(write[:10]) <= newest:
+            held = [n for n in _names(spark, f"{path}/data/{write}") if n.startswith("bits=")]
+            unused = [n for n in held if f"data/{write}/{n}" not in used]
+            for name in [""] if len(unused) == len(held) else unused:
+                _delete(spark, f"{path}/data/{write}/{name}".rstrip("/"))
 
 
 def _folder(spark: SparkSession, path: str):

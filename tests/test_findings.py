@@ -405,7 +405,7 @@ def test_reused_verdicts(spark, with_code):
     assert verify.grown_store(ST.empty_store(spark), alone).count() == 2
 
 
-def test_upsert_and_marks(spark, frame, fresh_dir):
+def test_upsert_and_marks(spark, frame):
     rows = ST.store_rows(frame(finding(), finding(line_no=2)), "array(cast(1 as float))", timestamp="5")
     newer = ST.store_rows(
         frame(finding(confidence="low"), finding(line_no=3)), "array(cast(2 as float))", timestamp="4"
@@ -417,29 +417,3 @@ def test_upsert_and_marks(spark, frame, fresh_dir):
     marks = spark.createDataFrame([(first["id"], True), (-1, True)], "id bigint, verified boolean")
     marked = ST.mark_verified(store, marks)
     assert {r["line_number"]: r["verified"] for r in marked.collect()} == {1: True, 2: False, 3: False}
-    path = f"{fresh_dir}/store"
-    assert ST.read_store(spark, path).count() == 0
-    ST.write_store(store, path, 3)
-    ST.write_store(marked.where("line_number = 1"), path, 10)
-    # Buckets that a snapshot does not hold keep their older version.
-    assert {r["line_number"]: r["verified"] for r in ST.read_store(spark, path).collect()} == {1: True, 2: False, 3: False}
-    assert not any(r["verified"] for r in ST.read_store(spark, path, before=10).collect())
-
-
-def test_upserts_rewrite_only_the_buckets_they_touch(spark, frame, fresh_dir):
-    import os
-
-    path = f"{fresh_dir}/store"
-    first = ST.store_rows(frame(*[finding(line_no=i) for i in range(1, 200)]), "array(cast(1 as float))", timestamp="1")
-    ST.upsert_stored(first, path, 0)
-    for n in (1, 2, 3):
-        again = ST.store_rows(frame(finding(line_no=7, confidence="low")), "array(cast(2 as float))", timestamp=str(n))
-        ST.upsert_stored(again, path, n)
-        assert sum(f.startswith("bucket=") for f in os.listdir(f"{path}/snapshot={n}")) == 1
-    stored = ST.read_store(spark, path)
-    assert stored.count() == 199 and [r["line_number"] for r in stored.where("confidence = 'low'").collect()] == [7]
-    # Of the bucket that was rewritten the last two versions stay.
-    assert not any(f.startswith("bucket=") for f in os.listdir(f"{path}/snapshot=1"))
-    # A batch that is repeated starts from the version before its own.
-    ST.upsert_stored(ST.store_rows(frame(finding(line_no=7)), "array(cast(3 as float))", timestamp="9"), path, 3)
-    assert ST.read_store(spark, path).count() == 199
