@@ -86,14 +86,17 @@ def scan_with_code(
     return found.withColumn("finding_key", F.expr(_KEY))
 
 
-def requests(findings: DataFrame) -> DataFrame:
-    """(``finding_key``, ``prompt``) for an external verifier to answer offline."""
-    text = V.prompt(
+def prompt_of_finding() -> str:
+    return V.prompt(
         file="file_path", language="language", function="function", line_no="line_no",
         code="code", pattern="pattern", match="match", entropy="entropy",
         context="context", confidence="confidence",
     )
-    return findings.selectExpr("finding_key", f"{text} as prompt")
+
+
+def requests(findings: DataFrame) -> DataFrame:
+    """(``finding_key``, ``prompt``) for an external verifier to answer offline."""
+    return findings.selectExpr("finding_key", f"{prompt_of_finding()} as prompt")
 
 
 def decode_responses(responses: DataFrame) -> DataFrame:
@@ -109,12 +112,20 @@ def heuristic_verdicts(findings: DataFrame) -> DataFrame:
 
 def batch_verdicts(findings: DataFrame, contexts: DataFrame) -> DataFrame:
     """Verdicts for findings and their contexts, paired by ``finding_key``; both sides
-    must pair up completely."""
-    paired = findings.join(contexts, "finding_key")
-    sizes = {df.count() for df in (findings, contexts, paired)}
-    if len(sizes) > 1:
-        raise ValueError("findings and contexts must have same length")
-    return heuristic_verdicts(paired)
+    must pair up completely, each key once.
+
+    The pairing is checked in the same pass that judges: a key that is missing or repeated on
+    either side ends the job.
+    """
+    key = "finding_key"
+    one = findings.groupBy(key).agg(F.struct(F.count("*").alias("n"), F.first(F.struct(*findings.columns)).alias("row")).alias("_finding"))
+    two = contexts.groupBy(key).agg(F.struct(F.count("*").alias("n"), F.first(F.struct(*contexts.columns)).alias("row")).alias("_context"))
+    uneven = "coalesce(_finding.n, 0) <> 1 or coalesce(_context.n, 0) <> 1"
+    message = "concat('findings and contexts must have same length: ', finding_key)"
+    paired = pin(one.join(two, key, "full"), _checked=f"if({uneven}, raise_error({message}), _finding.row)")
+    own = [F.col(f"_checked.{c}").alias(c) for c in findings.columns]
+    other = [F.col(f"_context.row.{c}").alias(c) for c in contexts.columns if c != key]
+    return heuristic_verdicts(paired.select(*own, *other))
 
 
 def disabled_verdicts(findings: DataFrame) -> DataFrame:

@@ -656,9 +656,8 @@ def oracle_sql() -> dict[str, str]:
             near as (select x.rid, c.confidence, c.id, list_cosine_similarity(x.v, c.v)::float as similarity
                 from vectors x, candidates c where list_cosine_similarity(x.v, c.v)::float >= 0.8::float),
             taken as (select distinct on (rid) rid, confidence from near order by rid, similarity desc, id)
-            select t.rid is not null as reused, coalesce(t.confidence, x.confidence) as confidence,
-                t.rid is not null or real as verified, count(*) as n
-            from vectors x left join taken t on t.rid = x.rid group by all""",
+            select path as file_path, line_no, rule_id, t.rid is not null as reused, coalesce(t.confidence, x.confidence) as confidence,
+                t.rid is not null or real as verified from vectors x left join taken t on t.rid = x.rid""",
         "store_upserted": f"""with {_FOUND} select file_path, line_no as line_number, pattern as pattern_type,
             concat('sha256:', sha256(line)) as code_snippet, line_no = 4 as verified,
             case when line_no = 4 then 2 else 1 end::bigint as timestamp,
@@ -685,7 +684,45 @@ def oracle_sql() -> dict[str, str]:
                 or list_max(list_transform(string_split(content, chr(10)), lambda x: strlen(x))) >= 1048576""",
         "dialect_rules": _dialect_rules(),
         "batch_verdicts": f"""with {_JUDGED}, once as (select distinct on (finding_key) * from judged)
-            select real as is_real_secret, confidence, count(*) as n from once group by all""",
+            select finding_key, real as is_real_secret, confidence from once""",
+        "allowlist_tables_applied": f"""with {_FOUND} select file_path, line_no, match, rule_id from found
+            where file_path not in (select concat('src/app_', p_partkey, '.py') from part)
+                and not (regexp_extract(file_path, '^(?:.*/)?svc_([0-9]+)_[^/]*\\.go$', 1) in (select cast(s_suppkey * 3 as varchar) from supplier))
+                and not regexp_matches(file_path, '^conf/docs/[^/]*\\.yaml$')
+                and not exists (select 1 from customer where position(concat('password = "', substr(md5(cast(c_custkey as varchar)), 1, 6)) in match) > 0)
+                and not exists (select 1 from nation where regexp_matches(match, concat('^ghp_', substr(md5(n_name), 1, 1), '[0-9]|^[a-f]', n_nationkey % 10, '$')))""",
+        "reachable_commits": """with recursive latest as materialized (select o_custkey as c, max(o_orderkey) as last from orders group by all),
+            rows as materialized (select o_orderkey as commit, o_custkey, o_orderpriority,
+                lag(o_orderkey) over (partition by o_custkey order by o_orderkey) as parent from orders),
+            edges as materialized (select commit, parent from rows where parent is not null
+                union select commit, last from rows join latest on c = o_custkey // 2 where parent is null and o_custkey > 0
+                union select commit, last from rows join latest on c = o_custkey // 3 where o_orderpriority = '1-URGENT' and o_custkey > 0),
+            reach(commit) as (select last from latest where c in (select s_suppkey * 7 from supplier)
+                union select parent from edges join reach using (commit))
+            select commit from reach""",
+        "request_rounds": f"""with {_JUDGED}, keyed as materialized (select j.*, digest from judged j join
+                (select distinct finding_key, sha256({_PROMPT_SQL}) as digest from coded) using (finding_key)),
+            kinds as (select *, ascii(substr(digest, 1, 1)) % 4 = 0 as a1, ascii(substr(digest, 2, 1)) % 4 = 0 as a2,
+                ascii(substr(digest, 3, 1)) % 4 = 0 as a3 from keyed)
+            select finding_key, (case when a1 then 1 when a2 then 2 else 3 end)::int as attempts,
+                (case when a1 then 1 when a2 then 2 else 3 end)::int as asked,
+                case when a1 or a2 or a3 then 'answered' else 'given up' end as status,
+                case when a1 or a2 or a3 then 'high' else confidence end as confidence,
+                case when a1 then 'round 1' when a2 then 'round 2' when a3 then 'round 3' else reasoning end as reasoning from kinds""",
+        "whole_store_neighbours": """with store as materialized (select vec_id as id, embedding::double[] as v from embeddings union all
+                select vec_id + 10000000, list_transform(embedding, lambda x, i: (x + (0.3 + 0.1 * (vec_id % 6)) * sin((i - 1) * 1.7 + vec_id))::float)::double[] from embeddings),
+            pairs as (select e.vec_id, s.id, list_cosine_similarity(e.embedding::double[], s.v)::float as similarity
+                from embeddings e, store s where e.vec_id % 100 = 0),
+            ranked as (select *, row_number() over (partition by vec_id order by similarity desc, id) as rank from pairs where similarity >= 0.8::float)
+            select vec_id, id, round(similarity::double, 4) as similarity, rank from ranked where rank <= 10""",
+        "streamed_lifecycle": f"""with arrived as (select concat('app/', event_type, '_', user_id % 50, '.py') as path, 1 as line_no,
+                concat(case when event_id % 3 = 0 then '# ' else '' end, 'token ghp_', md5(cast(user_id as varchar)), 'Zz9Q') as line,
+                case when event_id % 3 = 0 then 1 else 2 end as wave from events),
+            {_hits('arrived', _RULES, 'path, wave')},
+            best as (select path, rule_id, match, wave, max({_RANK}) as severity, max_by(confidence, {_RANK}) as confidence
+                from hits where confidence <> 'low' group by all),
+            told as (select *, coalesce(lag(severity) over (partition by path, rule_id, match order by wave), 0) as before from best)
+            select path as file_path, rule_id, match, confidence from told where severity > before""",
         "scanned_and_stored": f"""with {_JUDGED}, scanned as materialized (select * from judged
                 where not starts_with(path, 'web/vendor/') and not ends_with(path, '.min.js')
                     ),

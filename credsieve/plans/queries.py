@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from credsieve.functions import verdict as V
@@ -14,8 +14,11 @@ from credsieve.functions.identity import fingerprint, secret_hash, snippet_hash
 from credsieve.functions.rules import custom_rule, rule_set, rules_table
 from credsieve.functions.score import context, entropy, severity
 from credsieve.functions.vectors import cosine, embedding, raw_embedding, strict_cosine
+from credsieve.operators import allowlist_tables, ledger
 from credsieve.operators import baseline as B
 from credsieve.operators import filters, history, reports, scan, similarity, verify
+from credsieve.operators.neighbours import nearest
+from credsieve.operators.reachable import reachable_commits as reached
 from credsieve.operators.run import complete_scan as complete
 from credsieve.operators.run import scan_and_store
 from credsieve.plans.corpora import (
@@ -30,6 +33,7 @@ from credsieve.sources.config import Allowlist, Config, load_config
 from credsieve.sources.history import added_lines, parse_commit_log, select_commits
 from credsieve.sources.lines import lines, long_line_counts, spread
 from credsieve.sources.tree import stream_tree
+from credsieve.streaming import lifecycle
 from credsieve.streaming import scan as stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -468,6 +472,66 @@ def table_allowlisted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat(found, "file_path", "line_no", "match", "rule_id")
 
 
+def allowlist_tables_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Allowlists of as many globs as there are parts and regexes as there are customers."""
+    found = _planted_findings(spark, sf_dir)
+    globs = load(spark, sf_dir, "part").selectExpr("concat('src/app_', p_partkey, '.p[xy]') as glob").union(
+        load(spark, sf_dir, "supplier").selectExpr("concat('svc_', s_suppkey * 3, '_*.go') as glob")
+    ).union(load(spark, sf_dir, "region").selectExpr("concat('conf/doc', if(r_regionkey % 2 = 0, 's', 'x'), '/*.yaml')"))
+    regexes = load(spark, sf_dir, "customer").selectExpr("concat('(?i)PASS[v-z]ord = .', substr(md5(cast(c_custkey as string)), 1, 6)) as regex").union(
+        load(spark, sf_dir, "nation").selectExpr("concat('^ghp_', substr(md5(n_name), 1, 1), '[0-9]|^[a-f]', n_nationkey % 10, '$')")
+    )
+    found = allowlist_tables.without_globs(found, globs)
+    return _flat(allowlist_tables.without_regexes(found, regexes), "file_path", "line_no", "match", "rule_id")
+
+
+def reachable_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Commits (orders) that the last orders of some customers reach: a customer's orders are a
+    chain, its first follows the last of another, and urgent ones merge that of a third."""
+    orders = load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
+    last = orders.groupBy("o_custkey").agg(F.max("o_orderkey").alias("last"))
+    before = F.lag("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    rows = orders.withColumn("parent", before)
+    of = last.selectExpr("o_custkey as c", "last")
+    chain = rows.select(F.col("o_orderkey").alias("commit"), "parent").where("parent is not null")
+    forks = rows.where("parent is null and o_custkey > 0").join(of, F.expr("c = o_custkey div 2"), "left").select(F.col("o_orderkey").alias("commit"), F.col("last").alias("parent"))
+    merges = rows.where("o_orderpriority = '1-URGENT' and o_custkey > 0").join(of, F.expr("c = o_custkey div 3")).select(F.col("o_orderkey").alias("commit"), F.col("last").alias("parent"))
+    refs = load(spark, sf_dir, "supplier").selectExpr("s_suppkey * 7 as c").join(of, "c").select(F.col("last").alias("commit"))
+    return reached(chain.union(forks).union(merges), refs)
+
+
+def request_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three rounds of answers, some malformed or missing, merged into a ledger; one round twice."""
+    found = settled(ledger.with_digest(_planted_with_code(spark, sf_dir)))
+    book = settled(ledger.enrolled(ledger.empty_ledger(spark), found))
+    asked = None
+    for number in (1, 2, 3):
+        wanted = settled(ledger.to_ask(book))
+        asked = wanted.withColumn("round", F.lit(number)) if asked is None else asked.union(wanted.withColumn("round", F.lit(number)))
+        answer = (
+            f"case ascii(substr(digest, {number}, 1)) % 4 when 0 then concat('{{\"is_real_secret\": true, \"confidence\": \"high\", \"reasoning\": \"round {number}\"}}')"
+            " when 1 then 'no idea' when 2 then '```json {broken' end"
+        )
+        answers = wanted.selectExpr("digest", f"{answer} as content").where("content is not null")
+        for _ in range(2 if number == 2 else 1):
+            book = settled(ledger.merged(book, answers, number))
+    judged = ledger.judged(found, settled(ledger.enrolled(book, found)))
+    times = asked.groupBy("digest").agg(F.count("*").alias("asked"))
+    return judged.join(book.select("digest", "attempts", "status"), "digest").join(times, "digest").selectExpr(
+        "finding_key", "attempts", "cast(asked as int) as asked", "status", "verdict.confidence as confidence", "verdict.reasoning as reasoning"
+    )
+
+
+def whole_store_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every hundredth vector the nearest of all in a store that holds each, and a copy bent a little or more."""
+    vectors = load(spark, sf_dir, "embeddings")
+    bent = "transform(embedding, (x, i) -> cast(x + (0.3 + 0.1 * (vec_id % 6)) * sin(i * 1.7 + vec_id) as float))"
+    store = vectors.selectExpr("vec_id as id", "embedding").union(vectors.selectExpr("vec_id + 10000000 as id", f"{bent} as embedding"))
+    rows = vectors.where("vec_id % 100 = 0").select("vec_id", "embedding")
+    found = nearest(rows, store, "vec_id")
+    return found.selectExpr("vec_id", "id", "round(cast(similarity as double), 4) as similarity", "cast(rank as bigint) as rank")
+
+
 def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _planted_findings(spark, sf_dir).selectExpr(
         "file_path",
@@ -803,7 +867,7 @@ def batch_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = settled(_planted_with_code(spark, sf_dir).dropDuplicates(["finding_key"]))
     around = found.select("finding_key", "code", "function", "language")
     judged = verify.batch_verdicts(found.drop("code", "function", "language"), around)
-    return judged.groupBy("verdict.is_real_secret", "verdict.confidence").agg(F.count("*").alias("n"))
+    return judged.select("finding_key", "verdict.is_real_secret", "verdict.confidence")
 
 
 def scanned_and_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -884,9 +948,7 @@ def reused_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
         embedding("line"), timestamp="conv(substring(md5(file_path), 1, 7), 16, 10)",
     )
     judged = verify.verify(found, store=known)
-    return judged.groupBy(
-        F.col("reused").isNotNull().alias("reused"), "confidence", "verified"
-    ).agg(F.count("*").alias("n"))
+    return judged.selectExpr("file_path", "cast(line_no as bigint) as line_no", "rule_id", "reused is not null as reused", "confidence", "verified")
 
 
 def store_upserted(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -961,6 +1023,23 @@ def streamed_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.groupBy("file_path", "rule_id", "confidence").agg(F.count("*").alias("n"))
 
 
+def streamed_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs of a stream on one checkpoint: in the first, findings in comments; in the
+    second the same and others in code, which are worse."""
+    inbox, out, state = (fresh_path(spark, n) for n in ("inbox", "worse", "worse-state"))
+    events = load(spark, sf_dir, "events").selectExpr(
+        "concat('app/', event_type, '_', user_id % 50, '.py') as path",
+        "concat(if(event_id % 3 = 0, '# ', ''), 'token ghp_', md5(cast(user_id as string)), 'Zz9Q') as content",
+        "event_id % 3 = 0 as first", "to_timestamp(concat(cast(ts as string), 'Z')) as ts",
+    )
+    for number, wave in enumerate((events.where("first"), events.where("not first"))):
+        wave.drop("first").write.parquet(f"{inbox}/wave={number}")
+        arriving = spark.readStream.schema("path string, content string, ts timestamp").option("recursiveFileLookup", True).parquet(inbox)
+        lifecycle.write_worse(stream.scan_stream(arriving, corpus_rules()).drop("ts"), out, state).awaitTermination()
+    reported = spark.read.schema("file_path string, rule_id string, match string, confidence string").parquet(out)
+    return reported.select("file_path", "rule_id", "match", "confidence")
+
+
 def streamed_suppressed(spark: SparkSession, sf_dir: str) -> DataFrame:
     accepted = load(spark, sf_dir, "customer").selectExpr(
         "explode(array('view', 'click', 'error')) as kind",
@@ -1028,6 +1107,7 @@ QUERIES: dict[str, Query] = {
         hidden_files_scan, skipped_inputs, redacted_lines, dialect_rules, batch_verdicts,
         scanned_and_stored, stored_baseline_update, loaded_config, strict_cosines,
         long_line_findings, tree_scan, streamed_tree,
-        store_history,
+        store_history, allowlist_tables_applied, reachable_commits, request_rounds, whole_store_neighbours,
+        streamed_lifecycle,
     )
 }
