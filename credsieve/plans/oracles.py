@@ -710,9 +710,9 @@ def oracle_sql() -> dict[str, str]:
                 case when a1 or a2 or a3 then 'high' else confidence end as confidence,
                 case when a1 then 'round 1' when a2 then 'round 2' when a3 then 'round 3' else reasoning end as reasoning from kinds""",
         "whole_store_neighbours": """with store as materialized (select vec_id as id, embedding::double[] as v from embeddings union all
-                select vec_id + 10000000, list_transform(embedding, lambda x, i: (x + (0.3 + 0.1 * (vec_id % 6)) * sin((i - 1) * 1.7 + vec_id))::float)::double[] from embeddings),
+                select vec_id + 10000000, list_transform(embedding, lambda x, i: (x + (0.03 + 0.02 * (vec_id % 6)) * sin((i - 1) * 1.7 + vec_id))::float)::double[] from embeddings),
             pairs as (select e.vec_id, s.id, list_cosine_similarity(e.embedding::double[], s.v)::float as similarity
-                from embeddings e, store s where e.vec_id % 100 = 0),
+                from embeddings e, store s),
             ranked as (select *, row_number() over (partition by vec_id order by similarity desc, id) as rank from pairs where similarity >= 0.8::float)
             select vec_id, id, round(similarity::double, 4) as similarity, rank from ranked where rank <= 10""",
         "streamed_lifecycle": f"""with arrived as (select concat('app/', event_type, '_', user_id % 50, '.py') as path, 1 as line_no,

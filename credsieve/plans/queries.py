@@ -523,12 +523,11 @@ def request_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def whole_store_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For every hundredth vector the nearest of all in a store that holds each, and a copy bent a little or more."""
+    """For every vector the nearest of all in a store that holds each, and a copy bent a little or more."""
     vectors = load(spark, sf_dir, "embeddings")
-    bent = "transform(embedding, (x, i) -> cast(x + (0.3 + 0.1 * (vec_id % 6)) * sin(i * 1.7 + vec_id) as float))"
+    bent = "transform(embedding, (x, i) -> cast(x + (0.03 + 0.02 * (vec_id % 6)) * sin(i * 1.7 + vec_id) as float))"
     store = vectors.selectExpr("vec_id as id", "embedding").union(vectors.selectExpr("vec_id + 10000000 as id", f"{bent} as embedding"))
-    rows = vectors.where("vec_id % 100 = 0").select("vec_id", "embedding")
-    found = nearest(rows, store, "vec_id")
+    found = nearest(vectors.select("vec_id", "embedding"), store, "vec_id")
     return found.selectExpr("vec_id", "id", "round(cast(similarity as double), 4) as similarity", "cast(rank as bigint) as rank")
 
 
