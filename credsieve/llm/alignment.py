@@ -28,7 +28,6 @@ from __future__ import annotations
 import hashlib
 import re
 from array import array
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from credsieve.llm import tokens
-from credsieve.llm.common import batch, row_slices, texts_of
+from credsieve.llm.common import batch, held_once, row_slices, texts_of
 from credsieve.session import settled
 
 #: Words a worker keeps, some 300 bytes each.
@@ -177,9 +176,8 @@ class Aligner:
         return out
 
 
-@lru_cache(maxsize=1)
 def aligner(a_path: str, b_path: str) -> Aligner:
-    return Aligner(a_path, b_path)
+    return held_once(("aligner", a_path, b_path), lambda: Aligner(a_path, b_path))
 
 
 def _aligned(a_path: str, b_path: str):

@@ -45,14 +45,30 @@ def batch(schema: pa.Schema, *columns: Sequence) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
+_held: dict = {}
 
-#: Rows up to which a table of keys is sent to every executor instead of joined by shuffle.
+
+def held_once(name, make):
+    """What ``make`` gives, kept by the Python worker under ``name``.
+
+    A worker lives through the stages of a job.  It keeps the tables of one stage alone: those
+    of the stage before go when another's are asked for.
+    """
+    if name not in _held:
+        _held.clear()
+        _held[name] = make()
+    return _held[name]
+
+
+#: Rows, and bytes in all, up to which a table of keys is sent to every executor instead of joined by shuffle.
 BROADCAST_KEYS = 1_000_000
+BROADCAST_BYTES = 32 * 1024 * 1024
 
 
 def sized(keys: DataFrame) -> DataFrame:
-    """``keys`` with a hint to broadcast it if its counted size is small."""
-    return F.broadcast(keys) if keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else keys
+    """``keys`` with a hint to broadcast it if its measured size is small."""
+    few = keys.limit(BROADCAST_KEYS + 1).agg(F.count("*"), F.sum(F.octet_length(F.to_json(F.struct(*keys.columns))))).first()
+    return F.broadcast(keys) if few[0] <= BROADCAST_KEYS and (few[1] or 0) <= BROADCAST_BYTES else keys
 
 
 def row_join(docs: DataFrame, found: DataFrame, how: str, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, str]:

@@ -38,7 +38,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from credsieve.llm.common import batch, row_slices, slices, texts_of
+from credsieve.llm.common import batch, held_once, row_slices, slices, texts_of
 from credsieve.session import settled
 
 SAMPLE_ROWS = 20_000
@@ -158,15 +158,9 @@ class Scorer:
         return known >= least_known * len(words)
 
 
-_SCORERS: dict[str, Scorer] = {}
-
-
 def _scorer(model: Model) -> Scorer:
     """One per Python worker and model."""
-    if model.name not in _SCORERS:
-        _SCORERS.clear()
-        _SCORERS[model.name] = Scorer(model)
-    return _SCORERS[model.name]
+    return held_once(("language", model.name), lambda: Scorer(model))
 
 
 def _counts(rows: DataFrame) -> DataFrame:

@@ -16,12 +16,13 @@ others are compared:
   all that are outside its largest group meet two members of that group, and of what
   its members met, each group tries the pair whose signatures agree most;
 * then each node that still holds several groups is compared exhaustively if it is small,
-  by the signatures of all its classes at once; a larger one chooses again and goes one
-  level deeper.  At the last level all outside a node's largest group meet all the rest
+  by the full sets of all its classes at once, and gives as few links as join the groups
+  that links join, at most a row for each; a larger one chooses again and goes one level
+  deeper.  At the last level all outside a node's largest group meet all the rest
   whatever its size, so no pair of a common node is left out.
 
-Signatures only spare comparisons that cannot succeed; a link is confirmed on the full
-sets.  Components are made of links by distributed steps.
+Signatures only say where classes go and spare comparisons that cannot succeed; a link is
+confirmed on the full sets.  Components are made of links by distributed steps.
 
 Null text, or text without words, has an empty set: no links, a component of its own.
 With fewer words than a shingle the whole sequence is the only one.  Rows with equal ids
@@ -55,7 +56,12 @@ LAST_DEPTH = 10
 ROUNDS = 2
 #: Classes of a node beyond which it goes a level deeper.
 NODE_CLASSES = 512
+#: Shingles of all its classes beyond which it does, too, unless it has few classes.
+NODE_SHINGLES = 1 << 20
+FEW_CLASSES = 8
 
+#: Cells of a matrix of classes and shingles.
+_CELLS = 1 << 22
 _CHUNK = 8192
 _U64 = np.uint64
 _LAST = _U64(FUNCTIONS - 1)
@@ -120,8 +126,8 @@ def _matrix(column) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(len(column), FUNCTIONS)
 
 
-_NODES = "node long, cid binary"
-_NODE_SCHEMA = pa.schema([("node", pa.int64()), ("cid", pa.binary())])
+_NODES = "node long, cid binary, size long"
+_NODE_SCHEMA = pa.schema([("node", pa.int64()), ("cid", pa.binary()), ("size", pa.int64())])
 
 
 def _roots(batches):
@@ -132,7 +138,8 @@ def _roots(batches):
         keys, own = np.repeat(_constants(5, TREES), n), np.tile(np.arange(n), TREES)
         for _ in range(FIRST_DEPTH):
             keys, own = _children(keys, own, found)
-        yield batch(_NODE_SCHEMA, keys.view(np.int64), rows.column("cid").take(pa.array(own)))
+        own = pa.array(own)
+        yield batch(_NODE_SCHEMA, keys.view(np.int64), rows.column("cid").take(own), rows.column("size").take(own))
 
 
 def _deeper(batches):
@@ -140,7 +147,8 @@ def _deeper(batches):
         found = _matrix(rows.column("sig"))
         keys = rows.column("node").to_numpy(zero_copy_only=False).view(_U64)
         keys, own = _children(keys, np.arange(len(found)), found, twice=True)
-        yield batch(_NODE_SCHEMA, keys.view(np.int64), rows.column("cid").take(pa.array(own)))
+        own = pa.array(own)
+        yield batch(_NODE_SCHEMA, keys.view(np.int64), rows.column("cid").take(own), rows.column("size").take(own))
 
 
 _SKETCHES = "doc_id long, text_key long, n_shingles long, cid binary, sig binary"
@@ -203,16 +211,18 @@ def _agreement(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return seen.where(F.col("agreeing") >= LEAST_AGREEING).drop("sig_a", "sig_b")
 
 
-def _confirmed(pairs: DataFrame, classes: DataFrame, rows: DataFrame) -> DataFrame:
-    """Links (u, v) between the groups of_a and of_b of pairs (a, b) that hold on full sets.
+def _texts_of(wanted: DataFrame, classes: DataFrame, rows: DataFrame) -> DataFrame:
+    """(``cid``, ``text``) of the classes in ``wanted``; of the texts only theirs are read again."""
+    first = settled(wanted.join(classes, "cid").select("cid", "first.doc_id", "first.text_key"))
+    keyed = sized(first.withColumnsRenamed({"doc_id": "id", "text_key": "key"}))
+    met = rows.join(keyed, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_key") == F.col("key")))
+    return met.groupBy("cid").agg(F.first("text").alias("text"))
 
-    Texts are read again for the pairs' ends alone.
-    """
+
+def _confirmed(pairs: DataFrame, classes: DataFrame, rows: DataFrame) -> DataFrame:
+    """Links (u, v) between the groups of_a and of_b of pairs (a, b) that hold on full sets."""
     ends = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
-    wanted = settled(ends.join(classes, "cid").select("cid", "first.doc_id", "first.text_key"))
-    keyed = sized(wanted.withColumnsRenamed({"doc_id": "id", "text_key": "key"}))
-    met = rows.join(keyed, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_key") == F.col("key")))
-    texts = settled(met.groupBy("cid").agg(F.first("text").alias("text")))
+    texts = settled(_texts_of(ends, classes, rows))
     one = texts.select(F.col("cid").alias("a"), F.col("text").alias("text_a"))
     two = texts.select(F.col("cid").alias("b"), F.col("text").alias("text_b"))
     both = pairs.join(two, "b").join(one, "a").select("a", "of_a", "of_b", "text_a", "text_b")
@@ -230,12 +240,14 @@ def _open(nodes: DataFrame, labels: DataFrame | None) -> DataFrame:
     grouped = nodes.withColumn("group", F.col("cid"))
     if labels is not None:
         named = labels.withColumnsRenamed({"u": "cid", "component": "label"})
-        grouped = nodes.join(named, "cid", "left").select("node", "cid", F.coalesce("label", "cid").alias("group"))
-    sizes = grouped.groupBy("node", "group").agg(F.count("*").alias("n"), F.min("cid").alias("low"), F.max("cid").alias("high"))
+        grouped = nodes.join(named, "cid", "left").select("node", "cid", "size", F.coalesce("label", "cid").alias("group"))
+    sizes = grouped.groupBy("node", "group").agg(
+        F.count("*").alias("n"), F.sum("size").alias("size"), F.min("cid").alias("low"), F.max("cid").alias("high")
+    )
     state = sizes.groupBy("node").agg(
-        F.sum("n").alias("n"), F.max(F.struct("n", "group", "low", "high")).alias("top"), F.count("*").alias("groups")
+        F.sum("n").alias("n"), F.sum("size").alias("shingles"), F.max(F.struct("n", "group", "low", "high")).alias("top"), F.count("*").alias("groups")
     )
-    state = state.where("groups > 1").select("node", F.col("top.group").alias("largest"), "top.low", "top.high", "n")
+    state = state.where("groups > 1").select("node", F.col("top.group").alias("largest"), "top.low", "top.high", "n", "shingles")
     return settled(grouped.join(state, "node"))
 
 
@@ -259,40 +271,90 @@ def _promising(rows: DataFrame, classes: DataFrame) -> DataFrame:
     return best.select("best.a", "best.b", "best.of_a", "of_b")
 
 
-_PAIRS = "a binary, b binary, of_a binary, of_b binary"
-_PAIR_SCHEMA = pa.schema([(n, pa.binary()) for n in ("a", "b", "of_a", "of_b")])
+_LINK_SCHEMA = pa.schema([("u", pa.binary()), ("v", pa.binary())])
+_SET_SCHEMA = pa.schema([("cid", pa.binary()), ("set", pa.binary())])
+
+
+def _sets(batches):
+    for rows, texts in row_slices(batches):
+        yield batch(_SET_SCHEMA, rows.column("cid"), [shingles(t).tobytes() for t in texts])
+
+
+def common_sizes(sets: list[np.ndarray]) -> np.ndarray:
+    """How many members each two different sets have in common; the diagonal says nothing."""
+    n = len(sets)
+    members, column, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    # Members of one set alone are in no intersection.
+    place = np.cumsum(held > 1) - 1
+    kept = held[column] > 1
+    row, column = np.repeat(np.arange(n), [len(s) for s in sets])[kept], place[column[kept]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.zeros((n, n), np.float32)
+    step = max(64, _CELLS // n)
+    for first in range(0, int(column[-1]) + 1 if len(column) else 0, step):
+        own = slice(*np.searchsorted(column, [first, first + step]))
+        there = np.zeros((n, step), np.float32)
+        there[row[own], column[own] - first] = 1
+        out += there @ there.T
+    return out.astype(np.int64)
+
+
+def spanning_links(sets: list[np.ndarray], groups: list, percent: int = SIMILARITY_PERCENT) -> list[tuple[int, int]]:
+    """Links between members of different groups, as few as join all groups that links join."""
+    size = np.array([len(s) for s in sets], np.int64)
+    common = common_sizes(sets)
+    linked = 100 * common >= percent * (size[:, None] + size[None, :] - common)
+    names = {g: i for i, g in enumerate(dict.fromkeys(groups))}
+    group = np.array([names[g] for g in groups])
+    i, j = np.nonzero(np.triu(linked, 1) & (group[:, None] != group[None, :]))
+    _, first = np.unique(np.stack([np.minimum(group[i], group[j]), np.maximum(group[i], group[j])]), axis=1, return_index=True)
+    parent = list(range(len(names)))
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    out = []
+    for a, b in zip(i[first].tolist(), j[first].tolist()):
+        one, two = root(group[a]), root(group[b])
+        if one != two:
+            parent[one] = two
+            out.append((a, b))
+    return out
 
 
 def _exhaustive(batches):
-    """Plausible pairs of different groups within each node's list of classes."""
+    """Links between the groups of each node's list of classes: a row fewer than it has groups, or less."""
     for rows in batches:
         out = []
         for held in rows.column("held"):
             held = held.as_py()
-            found = np.frombuffer(b"".join(h["sig"] for h in held), np.uint16).reshape(-1, FUNCTIONS)
-            _, group = np.unique([h["group"].hex() for h in held], return_inverse=True)
-            for i in range(1, len(held)):
-                near = (found[:i] == found[i]).sum(axis=1) >= LEAST_AGREEING
-                for j in np.flatnonzero(near & (group[:i] != group[i])):
-                    # Ordered, so that a pair of several nodes is one row after all.
-                    a, b = sorted((held[i], held[j]), key=lambda h: h["cid"])
-                    out.append((a["cid"], b["cid"], a["group"], b["group"]))
-        yield batch(_PAIR_SCHEMA, *zip(*set(out))) if out else batch(_PAIR_SCHEMA, [], [], [], [])
-
-
-def _remaining(nodes: DataFrame, classes: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Pairs of different groups that are still to be looked at, over all depths."""
-    found = None
+            groups = [h["group"] for h in held]
+            for a, b in spanning_links([np.frombuffer(h["set"], _U64) for h in held], groups):
+                out.append(tuple(sorted((groups[a], groups[b]))))
+        yield batch(_LINK_SCHEMA, *zip(*set(out))) if out else batch(_LINK_SCHEMA, [], [])
+
+
+def _remaining(nodes: DataFrame, classes: DataFrame, labels: DataFrame | None, texts: DataFrame) -> DataFrame:
+    """Links (u, v) between different groups that share a node, over all depths."""
+    found, sets = None, None
     for depth in range(FIRST_DEPTH, LAST_DEPTH + 1):
-        rows = _open(nodes, labels).join(classes.select("cid", "sig"), "cid")
-        # Each list holds at most NODE_CLASSES entries of some 160 bytes.
-        lists = rows.where(F.col("n") <= NODE_CLASSES).groupBy("node").agg(F.collect_list(F.struct("cid", "group", "sig")).alias("held"))
-        likely = lists.select("held").mapInArrow(_exhaustive, _PAIRS).distinct()
+        rows = _open(nodes, labels)
+        if sets is None:
+            wanted = rows.select("cid").distinct()
+            sets = settled(_texts_of(wanted, classes, texts).mapInArrow(_sets, "cid binary, set binary"))
+        small = (F.col("n") <= NODE_CLASSES) & ((F.col("shingles") <= NODE_SHINGLES) | (F.col("n") <= FEW_CLASSES))
+        # Each list holds at most NODE_SHINGLES hashes of eight bytes, or FEW_CLASSES sets.
+        lists = rows.where(small).join(sets, "cid").groupBy("node").agg(F.collect_list(F.struct("group", "set")).alias("held"))
+        likely = lists.select("held").mapInArrow(_exhaustive, "u binary, v binary").distinct()
         found = settled(likely if found is None else found.union(likely))
-        deep = rows.where(F.col("n") > NODE_CLASSES)
+        deep = rows.where(~small).join(classes.select("cid", "sig"), "cid")
         if depth == LAST_DEPTH:
-            return found.union(_last(deep, classes)).distinct()
-        down = settled(deep.select("node", "cid", "sig").mapInArrow(_deeper, _NODES))
+            return found.union(_confirmed(settled(_last(deep, classes)), classes, texts)).distinct()
+        down = settled(deep.select("node", "cid", "size", "sig").mapInArrow(_deeper, _NODES))
         if down.isEmpty():
             return found
         nodes = settled(_shared(down))
@@ -317,20 +379,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sketches = settled(rows.mapInArrow(_sketch, _SKETCHES))
     classes = settled(
         sketches.where("n_shingles > 0").groupBy("cid").agg(
-            F.min(F.struct("doc_id", "text_key")).alias("first"), F.first("sig").alias("sig")
+            F.min(F.struct("doc_id", "text_key")).alias("first"), F.first("sig").alias("sig"), F.first("n_shingles").alias("size")
         )
     )
-    nodes = settled(_shared(classes.select("cid", "sig").mapInArrow(_roots, _NODES)))
+    nodes = settled(_shared(classes.select("cid", "sig", "size").mapInArrow(_roots, _NODES)))
     labels = None
     for _ in range(ROUNDS):
         still = _open(nodes, labels)
         links = settled(_confirmed(settled(_promising(still, classes)), classes, rows))
         if links.isEmpty():
             break
-        labels, nodes = _relabelled(labels, links), still.select("node", "cid")
-    rest = settled(_remaining(nodes, classes, labels))
+        labels, nodes = _relabelled(labels, links), still.select("node", "cid", "size")
+    rest = settled(_remaining(nodes, classes, labels, rows))
     if not rest.isEmpty():
-        labels = _relabelled(labels, _confirmed(rest, classes, rows))
+        labels = _relabelled(labels, rest)
     labels = (labels if labels is not None else classes.selectExpr("cid as u", "cid as component").where("false")).withColumnRenamed("u", "cid")
     named = sketches.drop("sig").join(labels, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     least = named.where("n_shingles > 0").groupBy("component").agg(F.min("doc_id").alias("least"))

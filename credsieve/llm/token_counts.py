@@ -11,13 +11,11 @@ counted like any other; an empty table gives an empty result; other columns are
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from credsieve.llm import tokens
-from credsieve.llm.common import batch, slices, texts_of
+from credsieve.llm.common import batch, held_once, slices, texts_of
 
 COUNTED = "doc_id long, n_bytes long, n_tokens long, over_limit boolean, n_shortcut long"
 
@@ -67,7 +65,7 @@ class Counter(dict):
             if lower in self.proven:
                 return self.SHORTCUT + 1
             return len(self.encoder.pieces(tokens.byte_level(lower)))
-        if tokens.LETTER_THEN_MARK.search(word):
+        if tokens.letter_then_mark(word):
             return self[word[:-1]] + self[word[-1]]
         if word in self.proven:
             return self.SHORTCUT + 1
@@ -81,9 +79,8 @@ class Counter(dict):
         return both % self.SHORTCUT, both // self.SHORTCUT
 
 
-@lru_cache(maxsize=2)
 def counter(path: str) -> Counter:
-    return Counter(path)
+    return held_once(("counter", path), lambda: Counter(path))
 
 
 def count_tokens(docs: DataFrame, *, path: str | None = None, limit: int = 2048) -> DataFrame:

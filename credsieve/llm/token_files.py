@@ -6,20 +6,23 @@ is above it, the ids packed at that width, and a list of exceptions (place and t
 above the width) for the rest.  The segment's index says where every block starts and
 where every document ends, so that one block can be read without the others.
 
-    magic  "PFR1"                          4 bytes
+    magic  "PFR2"                          4 bytes
     n_docs, n_ids, block, n_blocks         4 x uint32
     token counts of the documents          n_docs x uint32
     doc ids, null flags                    n_docs x int64, n_docs x uint8
     block starts, from the payload's start (n_blocks + 1) x uint32
     payload: per block  least uint32, width uint8, exceptions uint16,
-             packed ids, places uint16 each, high bits uint32 each
+             packed ids (64 of them fill as many 64-bit words as the width), places uint16
+             each, high bits uint32 each
 
 Segments are rows of a Parquet table (part, segment, first id, n_ids, data), written by
 Spark's own committer: a lost executor's half-written segments never appear, and any
 store that Spark writes will do.  Index columns are read without the data.
 
-Null text is an empty one.  Documents are ordered by id, null ids first, ties by text;
-repeated rows are all kept.  An empty table gives an empty file.
+Null text is an empty one.  A text of any length is encoded whole and is a segment of its own
+if it is long; a document's ids have to fit in one row.  Documents are ordered by id, null ids
+first, ties by a hash of the text, then by ids; repeated rows are all kept.  An empty table gives
+an empty file; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,7 +37,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from credsieve.llm import tokens
-from credsieve.llm.common import batch, slices, texts_of
+from credsieve.llm.common import batch, row_slices, texts_of
+from credsieve.session import settled
 
 BLOCK = 256
 PERCENTILE = 98.0
@@ -42,7 +46,7 @@ PERCENTILE = 98.0
 SEGMENT_IDS = 1 << 18
 END_ID = 2
 
-_MAGIC = b"PFR1"
+_MAGIC = b"PFR2"
 _HEAD = struct.Struct("<4s4I")
 _BLOCK_HEAD = np.dtype([("least", "<u4"), ("width", "u1"), ("exceptions", "<u2")])
 _SEGMENT = "part int, segment int, n_docs long, n_ids long, data binary"
@@ -51,27 +55,55 @@ _SEGMENT_SCHEMA = pa.schema(
 )
 
 
+_ENCODED = "doc_id long, text_key long, ids binary"
+_ENCODED_SCHEMA = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("ids", pa.binary())])
+
+
 def _bits(values: np.ndarray) -> np.ndarray:
     """How many bits each value needs."""
     return np.frexp(values.astype(np.float64))[1].astype(np.uint8)
 
 
+def _lanes(width: int) -> list[tuple[int, int, int]]:
+    """(value, 64-bit word, bit in it) of 64 values of ``width`` bits, which are ``width`` words."""
+    return [(i, i * width >> 6, i * width & 63) for i in range(64)]
+
+
 def _pack(values: np.ndarray, width: int) -> np.ndarray:
-    """Rows of values at ``width`` bits each, as rows of bytes."""
+    """Rows of values at ``width`` bits each, as rows of bytes; the values fill 64-bit words from the lowest bit on."""
+    rows, block = values.shape
+    runs = -(-block // 64)
     if not width:
-        return np.zeros((len(values), 0), np.uint8)
-    big = values.astype(">u4").view(np.uint8).reshape(*values.shape, 4)
-    bits = np.unpackbits(big, axis=-1)[..., 32 - width :]
-    return np.packbits(bits.reshape(len(values), -1), axis=-1)
+        return np.zeros((rows, 0), np.uint8)
+    own = np.zeros((rows, runs * 64), np.uint64)
+    own[:, :block] = values
+    own = own.reshape(rows, runs, 64)
+    words = np.zeros((rows, runs, width), "<u8")
+    for i, word, bit in _lanes(width):
+        words[:, :, word] |= own[:, :, i] << np.uint64(bit)
+        if bit + width > 64:
+            words[:, :, word + 1] |= own[:, :, i] >> np.uint64(64 - bit)
+    return words.reshape(rows, -1).view(np.uint8)
+
+
+def _packed_size(width, block: int):
+    """Bytes of a block's packed values."""
+    return -(-block // 64) * 8 * width
 
 
 def _unpack(rows: np.ndarray, width: int, block: int) -> np.ndarray:
     if not width:
         return np.zeros((len(rows), block), np.uint32)
-    bits = np.unpackbits(rows, axis=-1)[:, : block * width].reshape(len(rows), block, width)
-    full = np.zeros((len(rows), block, 32), np.uint8)
-    full[..., 32 - width :] = bits
-    return np.packbits(full, axis=-1).view(">u4").reshape(len(rows), block).astype(np.uint32)
+    runs = -(-block // 64)
+    words = np.ascontiguousarray(rows).view("<u8").reshape(len(rows), runs, width)
+    out = np.empty((len(rows), runs, 64), np.uint32)
+    mask = np.uint64((1 << width) - 1)
+    for i, word, bit in _lanes(width):
+        value = words[:, :, word] >> np.uint64(bit)
+        if bit + width > 64:
+            value = value | words[:, :, word + 1] << np.uint64(64 - bit)
+        out[:, :, i] = value & mask
+    return out.reshape(len(rows), -1)[:, :block]
 
 
 def encode_blocks(ids: np.ndarray, block: int = BLOCK, percentile: float = PERCENTILE) -> tuple[np.ndarray, bytes]:
@@ -90,7 +122,7 @@ def encode_blocks(ids: np.ndarray, block: int = BLOCK, percentile: float = PERCE
     widths = np.partition(needed, at, axis=1)[:, at]
     outside = needed > widths[:, None]
     n_outside = outside.sum(axis=1)
-    sizes = _BLOCK_HEAD.itemsize + (block * widths.astype(np.int64) + 7) // 8 + 6 * n_outside
+    sizes = _BLOCK_HEAD.itemsize + _packed_size(widths.astype(np.int64), block) + 6 * n_outside
     starts = np.concatenate(([0], np.cumsum(sizes))).astype(np.uint32)
     heads = np.zeros(count, _BLOCK_HEAD)
     heads["least"], heads["width"], heads["exceptions"] = least, widths, n_outside
@@ -121,12 +153,12 @@ def decode_blocks(starts: np.ndarray, payload: np.ndarray, n_ids: int, block: in
     grid = np.empty((count, block), np.uint32)
     for width in np.unique(heads["width"]):
         own = np.flatnonzero(heads["width"] == width)
-        packed = (block * int(width) + 7) // 8
+        packed = _packed_size(int(width), block)
         rows = payload[(begin[own] + size)[:, None] + np.arange(packed)]
         grid[own] = _unpack(rows, int(width), block)
     for i in np.flatnonzero(heads["exceptions"]):
         n, width = int(heads["exceptions"][i]), int(heads["width"][i])
-        at = int(begin[i]) + size + (block * width + 7) // 8
+        at = int(begin[i]) + size + _packed_size(width, block)
         places = payload[at : at + 2 * n].copy().view("<u2")
         high = payload[at + 2 * n : at + 6 * n].copy().view("<u4")
         grid[i, places] |= high << np.uint32(width)
@@ -148,8 +180,8 @@ def encode_segment(doc_ids: list, packed: list[bytes], block: int = BLOCK, perce
     return b"".join(parts)
 
 
-def decode_segment(data: bytes) -> tuple[list, np.ndarray, np.ndarray]:
-    """(doc ids, token counts, all ids)."""
+def _opened(data: bytes) -> tuple[list, np.ndarray, int, int, np.ndarray, np.ndarray]:
+    """(doc ids, token counts, number of ids, ids of a block, block starts, payload) of a segment."""
     magic, n_docs, n_ids, block, n_blocks = _HEAD.unpack_from(data)
     if magic != _MAGIC:
         raise ValueError("not a segment of token ids")
@@ -160,8 +192,24 @@ def decode_segment(data: bytes) -> tuple[list, np.ndarray, np.ndarray]:
     at += 13 * n_docs
     starts = np.frombuffer(data, "<u4", n_blocks + 1, at)
     payload = np.frombuffer(data, np.uint8, offset=at + 4 * (n_blocks + 1))
-    ids = decode_blocks(starts, payload, n_ids, block)
-    return [None if gone else d for d, gone in zip(doc_ids.tolist(), missing)], counts, ids
+    return [None if gone else d for d, gone in zip(doc_ids.tolist(), missing)], counts, n_ids, block, starts, payload
+
+
+def decode_segment(data: bytes) -> tuple[list, np.ndarray, np.ndarray]:
+    """(doc ids, token counts, all ids)."""
+    doc_ids, counts, n_ids, block, starts, payload = _opened(data)
+    return doc_ids, counts, decode_blocks(starts, payload, n_ids, block)
+
+
+def decode_range(data: bytes, first: int, last: int) -> np.ndarray:
+    """Ids ``first`` up to ``last`` of a segment; only the blocks they lie in are unpacked."""
+    _, _, n_ids, block, starts, payload = _opened(data)
+    first, last = max(0, first), min(last, n_ids)
+    if first >= last:
+        return np.zeros(0, np.uint32)
+    begin, end = first // block, -(-last // block)
+    ids = decode_blocks(starts[begin : end + 1], payload, (end - begin) * block, block)
+    return ids[first - begin * block : last - begin * block]
 
 
 def write(
@@ -171,17 +219,21 @@ def write(
     path = path or tokens.default_path("word_bpe_49k.json")
     end = np.array([end_id], "<u4").tobytes()
 
-    def work(batches):
+    def encode(batches):
         encoder = tokens.lower_words(path)
+        for rows, texts in row_slices(batches):
+            yield batch(_ENCODED_SCHEMA, rows.column("doc_id"), rows.column("text_key"), [encoder.ids(t) + end for t in texts])
+
+    def work(batches):
         part, segment = TaskContext.get().partitionId(), 0
         ids, packed, held = [], [], 0
 
         def closed():
             return batch(_SEGMENT_SCHEMA, [part], [segment], [len(ids)], [held], [encode_segment(ids, packed)])
 
-        for doc_ids, texts in slices(batches):
-            for doc_id, text in zip(doc_ids, texts):
-                own = encoder.ids(text) + end
+        for rows in batches:
+            for doc_id, own in zip(rows.column("doc_id").to_pylist(), rows.column("ids")):
+                own = own.as_py()
                 if held and held + len(own) // 4 > segment_ids:
                     yield closed()
                     segment += 1
@@ -192,24 +244,49 @@ def write(
         if ids:
             yield closed()
 
-    order = ["doc_id", F.xxhash64("text"), "text"]
-    ordered = texts_of(docs).repartitionByRange(*order[:2]).sortWithinPartitions(*order)
+    # Ids are fewer bytes than texts, and finding the ranges would encode texts twice.
+    encoded = settled(texts_of(docs).withColumn("text_key", F.xxhash64("text")).mapInArrow(encode, _ENCODED))
+    order = ["doc_id", "text_key", "ids"]
+    ordered = encoded.repartitionByRange(*order[:2]).sortWithinPartitions(*order)
     ordered.mapInArrow(work, _SEGMENT).write.option("compression", "uncompressed").parquet(to)
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """One row per document of the file: ``doc_id``, ``start`` among all ids, ``n_tokens``, ``ids_crc32``."""
-    segments = spark.read.schema(_SEGMENT).parquet(path)
+def _segment_starts(segments: DataFrame) -> DataFrame:
+    """(``part``, ``segment``, ``first``): the ids of the file before each segment."""
     sizes = segments.select("part", "segment", "n_ids")
     # One row per task that wrote, then one per segment of such a task.
     before_part = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = sizes.groupBy("part").agg(F.sum("n_ids").alias("n")).select("part", F.coalesce(F.sum("n").over(before_part), F.lit(0)).alias("part_start"))
     before = Window.partitionBy("part").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
-    starts = (
+    return (
         sizes.withColumn("before", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
         .join(parts, "part")
         .select("part", "segment", (F.col("part_start") + F.col("before")).alias("first"))
     )
+
+
+def ids_between(spark: SparkSession, path: str, first: int, last: int) -> DataFrame:
+    """(``start``, ``ids``): ids ``first`` up to ``last`` of the file, one row per segment they lie in.
+
+    The index tells which segments those are; of them only the blocks asked for are unpacked.
+    """
+    segments = spark.read.schema(_SEGMENT).parquet(path)
+    wanted = _segment_starts(segments).withColumnRenamed("first", "segment_start")
+    held = segments.join(wanted, ["part", "segment"]).where((F.col("segment_start") < last) & (F.col("segment_start") + F.col("n_ids") > first))
+
+    def work(batches):
+        schema = pa.schema([("start", pa.int64()), ("ids", pa.list_(pa.int64()))])
+        for rows in batches:
+            for start, data in zip(rows.column("segment_start").to_pylist(), rows.column("data")):
+                yield batch(schema, [max(first, start)], [decode_range(data.as_py(), first - start, last - start).tolist()])
+
+    return held.select("segment_start", "data").mapInArrow(work, "start long, ids array<long>")
+
+
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """One row per document of the file: ``doc_id``, ``start`` among all ids, ``n_tokens``, ``ids_crc32``."""
+    segments = spark.read.schema(_SEGMENT).parquet(path)
+    starts = _segment_starts(segments)
     schema = pa.schema([("part", pa.int32()), ("segment", pa.int32()), ("doc_id", pa.int64()), ("at", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 
     def work(batches):

@@ -12,16 +12,17 @@ from __future__ import annotations
 import json
 import re
 from array import array
-from functools import lru_cache
 
 from tokenizers import Tokenizer
 
+from credsieve.llm.common import held_once
+
 #: Words a worker keeps.  The first to come are the frequent ones.
 KEPT_WORDS = 400_000
 
 # Letters that normalisation leaves alone or maps one to one when it lowers them.
 PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
-LETTER_THEN_MARK = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ][,.;:!?]\\Z")
+_MARKS = frozenset(",.;:!?")
 #: Space that runs on over a cut: three in a row, or two at the end of the text.
 _RUN = re.compile(r"\s\s(?:\s|\Z)")
 
@@ -43,7 +44,14 @@ def _byte_letters() -> list[str]:
 LETTERS = _byte_letters()
 
 
+def letter_then_mark(word: str) -> bool:
+    return word[-1:] in _MARKS and PLAIN.fullmatch(word[-2:-1]) is not None
+
+
 def byte_level(word: str) -> str:
+    # Printable ASCII stands for itself; a plain word holds no other.
+    if word.isascii() and word.isalpha():
+        return word
     return "".join([LETTERS[b] for b in word.encode()])
 
 
@@ -96,7 +104,7 @@ class LowerWordEncoder(_Encoder):
             if lower != word:
                 return self.words[lower]
             return _packed([t.id for t in self.pieces(byte_level(word))])
-        if LETTER_THEN_MARK.search(word):
+        if letter_then_mark(word):
             return self.words[word[:-1]] + self.words[word[-1]]
         return self.whole(word)
 
@@ -133,7 +141,7 @@ class SpacedWordEncoder(_Encoder):
             return self.whole(word)
         if PLAIN.fullmatch(word):
             return self._plain(word, " ")
-        if LETTER_THEN_MARK.search(word):
+        if letter_then_mark(word):
             return self.words[word[:-1]] + self.bare[word[-1]]
         return self.whole(" " + word)
 
@@ -146,11 +154,9 @@ class SpacedWordEncoder(_Encoder):
         return (self.bare[first] if first else b"") + b"".join(map(self.words.__getitem__, rest))
 
 
-@lru_cache(maxsize=4)
 def lower_words(path: str) -> LowerWordEncoder:
-    return LowerWordEncoder(path)
+    return held_once(("lower words", path), lambda: LowerWordEncoder(path))
 
 
-@lru_cache(maxsize=4)
 def spaced_words(path: str) -> SpacedWordEncoder:
-    return SpacedWordEncoder(path)
+    return held_once(("spaced words", path), lambda: SpacedWordEncoder(path))

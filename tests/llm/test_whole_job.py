@@ -1,10 +1,13 @@
 """Cases in which an operator once did less than its whole job."""
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from credsieve.llm import language, near_duplicates, privacy
+from credsieve.llm import decontaminate, language, near_duplicates, privacy, token_files
+from credsieve.session import fresh_path
 
 DOCS = "doc_id long, text string, lang string"
 
@@ -68,7 +71,8 @@ def test_trees_find_a_pair_at_the_threshold_at_any_depth():
 
     cids = pa.array([i.to_bytes(4, "big") for i in range(2 * n)], pa.binary())
     sigs = pa.array([s.tobytes() for s in np.concatenate([one, two])], pa.binary())
-    down = next(near_duplicates._roots([pa.record_batch([cids, sigs], ["cid", "sig"])]))
+    sizes = pa.array([1] * (2 * n), pa.int64())
+    down = next(near_duplicates._roots([pa.record_batch([cids, sigs, sizes], ["cid", "sig", "size"])]))
     for depth in range(near_duplicates.FIRST_DEPTH, near_duplicates.LAST_DEPTH + 1):
         held = set(zip(down.column(0).to_pylist(), (int.from_bytes(c, "big") for c in down.column(1).to_pylist())))
         common = [(node, i) for node, i in held if i < n and (node, i + n) in held]
@@ -77,7 +81,7 @@ def test_trees_find_a_pair_at_the_threshold_at_any_depth():
         assert sum(plausible[i] and i not in met for i in range(n)) <= 0.006 * n, depth
         nodes = pa.array([node for node, _ in common] * 2, pa.int64())
         own = pa.array([i for _, i in common] + [i + n for _, i in common])
-        down = next(near_duplicates._deeper([pa.record_batch([nodes, cids.take(own), sigs.take(own)], ["node", "cid", "sig"])]))
+        down = next(near_duplicates._deeper([pa.record_batch([nodes, cids.take(own), sizes.take(own), sigs.take(own)], ["node", "cid", "size", "sig"])]))
 
 
 def test_a_term_far_from_the_value_is_masked_wherever_it_stands(spark):
@@ -99,3 +103,70 @@ def test_wordless_texts_of_one_id_all_stay(spark):
     found = parts.selectExpr("doc_id", "text_key", "if(w, 1L, 0L) as n_shingles", "doc_id as component_id", "if(w, 'c', 'none') as component")
     kept = [(r["doc_id"], r["text"]) for r in near_duplicates.kept_rows(docs, found).collect()]
     assert sorted(kept, key=str) == sorted(set(rows), key=str)
+
+
+def test_a_node_s_links_are_exact_and_as_few_as_join_its_groups(monkeypatch):
+    rng = np.random.default_rng(5)
+    for trial in range(60):
+        monkeypatch.setattr(near_duplicates, "_CELLS", int(rng.choice([64, 4096])))
+        base = [np.unique(rng.integers(0, 1 << 62, rng.integers(1, 60)).astype(np.uint64)) for _ in range(6)]
+        sets = []
+        for _ in range(int(rng.integers(2, 30))):
+            own = base[rng.integers(6)]
+            sets.append(np.unique(np.concatenate([own[rng.random(len(own)) < 0.93], rng.integers(0, 1 << 62, rng.integers(0, 4)).astype(np.uint64), own[:1]])))
+        groups = [f"g{rng.integers(20)}" for _ in sets]
+        want = [[len(set(a.tolist()) & set(b.tolist())) for b in sets] for a in sets]
+        assert [[x * (i != j) for j, x in enumerate(row)] for i, row in enumerate(near_duplicates.common_sizes(sets).tolist())] == [
+            [x * (i != j) for j, x in enumerate(row)] for i, row in enumerate(want)
+        ]
+        links = near_duplicates.spanning_links(sets, groups)
+
+        def joined(pairs):
+            parts = {g: {g} for g in groups}
+            for a, b in pairs:
+                if parts[a] is not parts[b]:
+                    parts[a] |= parts[b]
+                    for x in parts[b]:
+                        parts[x] = parts[a]
+            return {frozenset(p) for p in parts.values()}
+
+        every = [(groups[i], groups[j]) for i in range(len(sets)) for j in range(i) if near_duplicates.linked(sets[i], sets[j])]
+        assert joined((groups[a], groups[b]) for a, b in links) == joined(every)
+        assert len(links) == len(set(groups)) - len(joined(every))
+        assert all(near_duplicates.linked(sets[a], sets[b]) for a, b in links)
+
+
+def test_ids_of_a_range_are_read_from_their_blocks(spark):
+    rng = np.random.default_rng(9)
+    for width in range(33):
+        values = rng.integers(0, 1 << width, (3, 256)).astype(np.uint32) if width else np.zeros((3, 256), np.uint32)
+        for block in (256, 100, 1):
+            packed = token_files._pack(values[:, :block], width)
+            assert packed.shape[1] == token_files._packed_size(width, block)
+            assert (token_files._unpack(packed, width, block) == values[:, :block]).all()
+    rows = [(i, " ".join(rng.choice(["some", "plain", "words", "Überzeile", "x9"], rng.integers(0, 900)))) for i in range(60)]
+    path = fresh_path(spark, "token-files")
+    token_files.write(spark.createDataFrame(rows, "doc_id long, text string"), path, segment_ids=3000)
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    every = [x for _, t in rows for x in [*library.encode(t, add_special_tokens=False).ids, token_files.END_ID]]
+    for first, last in ((0, 10), (2990, 3310), (len(every) - 5, len(every) + 9), (4000, 4000), (0, len(every))):
+        got = sorted(token_files.ids_between(spark, path, first, last).collect())
+        assert [x for r in got for x in r["ids"]] == every[first:last]
+
+
+def test_only_items_whose_words_are_there_are_looked_for():
+    rng = np.random.default_rng(2)
+    words = [f"w{i}" for i in range(300)]
+    items = decontaminate._items((i, " ".join(rng.choice(words, 20))) for i in range(40))
+    terms = {w: i + 1 for i, w in enumerate(sorted({w for i in items for w in i.words}))}
+    latent = rng.standard_normal((len(terms) + 1, 16)).astype(np.float32)
+    latent[0] = 0
+    search = decontaminate.Search(items, terms, latent, 0.0)
+    texts = [" ".join(rng.choice(words, 60)) for _ in range(40)] + [" ".join(w.decode() for w in i.words) for i in items]
+    found = {(i, k) for i, k, *_ in search.matches(texts)}
+    for i, text in enumerate(texts):
+        numbers = search.terms.numbers(text)
+        there = set(numbers.tolist())
+        want = {k for k, own in enumerate(search.numbers) if sum(n in there for n in own) >= decontaminate.MOST * len(own)}
+        assert set(search.covered(numbers).tolist()) == want and {k for j, k in found if j == i} <= want
+    assert {(40 + k, k) for k in range(40)} <= found
