@@ -55,13 +55,11 @@ LAST_DEPTH = 10
 #: Rounds in which each group tries its most promising partner.
 ROUNDS = 2
 #: Classes of a node beyond which it goes a level deeper.
-NODE_CLASSES = 512
+NODE_CLASSES = 16_384
 #: Shingles of all its classes beyond which it does, too, unless it has few classes.
-NODE_SHINGLES = 1 << 20
+NODE_SHINGLES = 1 << 21
 FEW_CLASSES = 8
 
-#: Cells of a matrix of classes and shingles.
-_CELLS = 1 << 22
 _CHUNK = 8192
 _U64 = np.uint64
 _LAST = _U64(FUNCTIONS - 1)
@@ -280,49 +278,62 @@ def _sets(batches):
         yield batch(_SET_SCHEMA, rows.column("cid"), [shingles(t).tobytes() for t in texts])
 
 
-def common_sizes(sets: list[np.ndarray]) -> np.ndarray:
-    """How many members each two different sets have in common; the diagonal says nothing."""
-    n = len(sets)
-    members, column, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    # Members of one set alone are in no intersection.
-    place = np.cumsum(held > 1) - 1
-    kept = held[column] > 1
-    row, column = np.repeat(np.arange(n), [len(s) for s in sets])[kept], place[column[kept]]
-    order = np.argsort(column, kind="stable")
-    row, column = row[order], column[order]
-    out = np.zeros((n, n), np.float32)
-    step = max(64, _CELLS // n)
-    for first in range(0, int(column[-1]) + 1 if len(column) else 0, step):
-        own = slice(*np.searchsorted(column, [first, first + step]))
-        there = np.zeros((n, step), np.float32)
-        there[row[own], column[own] - first] = 1
-        out += there @ there.T
-    return out.astype(np.int64)
-
-
 def spanning_links(sets: list[np.ndarray], groups: list, percent: int = SIMILARITY_PERCENT) -> list[tuple[int, int]]:
-    """Links between members of different groups, as few as join all groups that links join."""
-    size = np.array([len(s) for s in sets], np.int64)
-    common = common_sizes(sets)
-    linked = 100 * common >= percent * (size[:, None] + size[None, :] - common)
-    names = {g: i for i, g in enumerate(dict.fromkeys(groups))}
-    group = np.array([names[g] for g in groups])
-    i, j = np.nonzero(np.triu(linked, 1) & (group[:, None] != group[None, :]))
-    _, first = np.unique(np.stack([np.minimum(group[i], group[j]), np.maximum(group[i], group[j])]), axis=1, return_index=True)
-    parent = list(range(len(names)))
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
+    """Links between members of different groups, as few as join all groups that links join.
 
+    Exact: of two linked sets each holds the other's share in all but a few of its own members,
+    so that among as many of its rarest members and one more there is one they have in common.
+    Only sets that share such a member are compared, and none whose groups are joined already.
+    """
+    n = len(sets)
+    size = np.array([len(x) for x in sets], np.int64)
+    names = {g: i for i, g in enumerate(dict.fromkeys(groups))}
+    root = np.array([names[g] for g in groups])
+    members, column, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    # Members are numbered from the rarest on, and each set's are in that order.
+    order = np.argsort(held, kind="stable")
+    number = np.empty(len(members), np.int64)
+    number[order] = np.arange(len(members))
+    row = np.repeat(np.arange(n), size)
+    own = number[column]
+    own = own[np.lexsort((own, row))]
+    first = np.concatenate(([0], np.cumsum(size)))
+    rarest = size - -(-percent * size // 100) + 1
+    early = np.arange(len(own)) - first[row] < rarest[row]
+    at = np.flatnonzero(early & (held[order][own] > 1))
+    at = at[np.argsort(own[at], kind="stable")]
+    token, holder = own[at], row[at]
+    if not len(at):
+        return []
+    # Members that one group alone holds join nothing.
+    starts = np.flatnonzero(np.diff(token, prepend=-1))
+    mixed = np.minimum.reduceat(root[holder], starts) != np.maximum.reduceat(root[holder], starts)
+    kept = np.repeat(mixed, np.diff([*starts, len(token)]))
+    token, holder = token[kept], holder[kept]
+    starts = np.concatenate((np.flatnonzero(np.diff(token, prepend=-1)), [len(token)]))
+    run_of = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+    by_set = np.argsort(holder, kind="stable")
+    of_set = np.searchsorted(holder[by_set], np.arange(n + 1))
+    there = np.zeros(len(members), bool)
     out = []
-    for a, b in zip(i[first].tolist(), j[first].tolist()):
-        one, two = root(group[a]), root(group[b])
-        if one != two:
-            parent[one] = two
-            out.append((a, b))
+    for i in np.unique(holder).tolist():
+        runs = run_of[by_set[of_set[i] : of_set[i + 1]]]
+        near = np.unique(np.concatenate([holder[starts[r] : starts[r + 1]] for r in runs.tolist()]))
+        near = near[(near < i) & (root[near] != root[i])]
+        near = near[100 * np.minimum(size[near], size[i]) >= percent * np.maximum(size[near], size[i])]
+        if not len(near):
+            continue
+        mine = own[first[i] : first[i + 1]]
+        there[mine] = True
+        lengths = size[near]
+        begins = np.cumsum(lengths) - lengths
+        cells = np.repeat(first[near] - begins, lengths) + np.arange(lengths.sum())
+        common = np.add.reduceat(there[own[cells]].astype(np.int64), begins)
+        there[mine] = False
+        for j in near[100 * common >= percent * (size[i] + lengths - common)].tolist():
+            if root[j] != root[i]:
+                out.append((j, i))
+                root[root == root[j]] = root[i]
     return out
 
 
