@@ -158,7 +158,16 @@ def test_only_items_whose_words_are_there_are_looked_for():
     latent[0] = 0
     search = decontaminate.Search(items, terms, latent, 0.0)
     texts = [" ".join(rng.choice(words, 60)) for _ in range(40)] + [" ".join(w.decode() for w in i.words) for i in items]
-    found = {(i, k) for i, k, *_ in search.matches(texts)}
+    def numbered(texts):
+        return [search.terms.numbers(t) for t in texts]
+
+    found = {(i, k) for i, k, *_ in search.matches(numbered(texts))}
+    # Looking for rare words first loses none, whichever terms are rare.
+    for share in (0.3, 0.7, 1.0):
+        weights = np.where(rng.random(len(terms) + 1) < share, 9, 0)
+        again = decontaminate.Search(items, terms, latent, 0.0, weights)
+        long = [f"{' '.join(rng.choice(words, 400))} {t} {' '.join(rng.choice(words, 400))}" for t in texts]
+        assert sorted(again.matches(numbered(texts + long))) == sorted(search.matches(numbered(texts + long)))
     for i, text in enumerate(texts):
         numbers = search.terms.numbers(text)
         there = set(numbers.tolist())
