@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Iterable, Iterator, Sequence
 
 import pyarrow as pa
@@ -52,10 +55,15 @@ def held_once(name, make):
     """What ``make`` gives, kept by the Python worker under ``name``.
 
     A worker lives through the stages of a job.  It keeps the tables of one stage alone: those
-    of the stage before go when another's are asked for.
+    of the stage before go when another's are asked for, and their memory back to the system.
     """
     if name not in _held:
-        _held.clear()
+        if _held:
+            _held.clear()
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL(None).malloc_trim(0)
         _held[name] = make()
     return _held[name]
 

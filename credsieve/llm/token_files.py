@@ -29,6 +29,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -38,13 +39,15 @@ from pyspark.sql import functions as F
 
 from credsieve.llm import tokens
 from credsieve.llm.common import batch, row_slices, texts_of
-from credsieve.session import settled
 
 BLOCK = 256
 PERCENTILE = 98.0
 #: A segment is closed at so many ids; one longer document is a segment alone.
 SEGMENT_IDS = 1 << 18
 END_ID = 2
+#: Bytes of texts whose ids a task writes, and keys of the sample that says where its part begins.
+PART_BYTES = 16 * 1024 * 1024
+PART_SAMPLE = 50
 
 _MAGIC = b"PFR2"
 _HEAD = struct.Struct("<4s4I")
@@ -55,8 +58,8 @@ _SEGMENT_SCHEMA = pa.schema(
 )
 
 
-_ENCODED = "doc_id long, text_key long, ids binary"
-_ENCODED_SCHEMA = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("ids", pa.binary())])
+_ENCODED = "at int, doc_id long, text_key long, ids binary"
+_ENCODED_SCHEMA = pa.schema([("at", pa.int32()), ("doc_id", pa.int64()), ("text_key", pa.int64()), ("ids", pa.binary())])
 
 
 def _bits(values: np.ndarray) -> np.ndarray:
@@ -218,11 +221,19 @@ def write(
     """Encode every text and write the segments, in ascending document order, to ``to``."""
     path = path or tokens.default_path("word_bpe_49k.json")
     end = np.array([end_id], "<u4").tobytes()
+    kind = "<u2" if max(end_id, tokens.lower_words(path).library.get_vocab_size()) < 1 << 16 else "<u4"
+    # Rows that are wholly alike are told apart by where they are read, so that they can be several parts.
+    rows = texts_of(docs).withColumn("text_key", F.xxhash64("text")).withColumn("salt", F.xxhash64(F.monotonically_increasing_id()))
+    parts, bounds = _bounds(rows)
 
     def encode(batches):
         encoder = tokens.lower_words(path)
-        for rows, texts in row_slices(batches):
-            yield batch(_ENCODED_SCHEMA, rows.column("doc_id"), rows.column("text_key"), [encoder.ids(t) + end for t in texts])
+        # On the way to their segments ids are two bytes where the vocabulary allows that.
+        for held, texts in row_slices(batches):
+            ids = [np.frombuffer(encoder.ids(t) + end, "<u4").astype(kind).tobytes() for t in texts]
+            keys = zip(*(held.column(c).to_pylist() for c in ("doc_id", "text_key", "salt")))
+            at = [bisect_right(bounds, (doc_id is not None, doc_id or 0, *rest)) for doc_id, *rest in keys]
+            yield batch(_ENCODED_SCHEMA, at, held.column("doc_id"), held.column("text_key"), ids)
 
     def work(batches):
         part, segment = TaskContext.get().partitionId(), 0
@@ -233,7 +244,7 @@ def write(
 
         for rows in batches:
             for doc_id, own in zip(rows.column("doc_id").to_pylist(), rows.column("ids")):
-                own = own.as_py()
+                own = np.frombuffer(own.as_py(), kind).astype("<u4").tobytes()
                 if held and held + len(own) // 4 > segment_ids:
                     yield closed()
                     segment += 1
@@ -244,13 +255,26 @@ def write(
         if ids:
             yield closed()
 
-    # Ids are fewer bytes than texts, and finding the ranges would encode texts twice.
-    encoded = settled(texts_of(docs).withColumn("text_key", F.xxhash64("text")).mapInArrow(encode, _ENCODED))
-    order = ["doc_id", "text_key", "ids"]
-    ordered = encoded.repartitionByRange(*order[:2]).sortWithinPartitions(*order)
+    # Texts are encoded where they lie, once, and their ids shuffled, which are fewer bytes.
+    encoded = rows.mapInArrow(encode, _ENCODED).repartitionById(parts, F.col("at"))
+    ordered = encoded.sortWithinPartitions("doc_id", "text_key", "ids").select("doc_id", "ids")
     ordered.mapInArrow(work, _SEGMENT).write.option("compression", "uncompressed").parquet(to)
 
 
+def _bounds(rows: DataFrame) -> tuple[int, list[tuple]]:
+    """(number of parts, least key of each part after the first) from a sample of the keys: (id given, id, text key, salt).
+
+    A part gets about ``PART_BYTES`` of text; an id, or a row, that is there very often is several parts.
+    """
+    n, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    parts = int(size // PART_BYTES) + 1
+    wanted = parts * PART_SAMPLE
+    keys = rows.select("doc_id", "text_key", "salt")
+    chosen = keys if n <= 2 * wanted else keys.sample(fraction=wanted / n, seed=1)
+    sample = sorted((r["doc_id"] is not None, r["doc_id"] or 0, r["text_key"], r["salt"]) for r in chosen.collect())
+    return parts, sorted({sample[len(sample) * i // parts] for i in range(1, parts)}) if sample else []
+
+
 def _segment_starts(segments: DataFrame) -> DataFrame:
     """(``part``, ``segment``, ``first``): the ids of the file before each segment."""
     sizes = segments.select("part", "segment", "n_ids")
