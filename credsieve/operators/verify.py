@@ -114,18 +114,14 @@ def batch_verdicts(findings: DataFrame, contexts: DataFrame) -> DataFrame:
     """Verdicts for findings and their contexts, paired by ``finding_key``; both sides
     must pair up completely, each key once.
 
-    The pairing is checked in the same pass that judges: a key that is missing or repeated on
-    either side ends the job.
+    The pairing is checked first, by keys alone and in one job; a key that is missing or
+    repeated on either side is an error.
     """
     key = "finding_key"
-    one = findings.groupBy(key).agg(F.struct(F.count("*").alias("n"), F.first(F.struct(*findings.columns)).alias("row")).alias("_finding"))
-    two = contexts.groupBy(key).agg(F.struct(F.count("*").alias("n"), F.first(F.struct(*contexts.columns)).alias("row")).alias("_context"))
-    uneven = "coalesce(_finding.n, 0) <> 1 or coalesce(_context.n, 0) <> 1"
-    message = "concat('findings and contexts must have same length: ', finding_key)"
-    paired = pin(one.join(two, key, "full"), _checked=f"if({uneven}, raise_error({message}), _finding.row)")
-    own = [F.col(f"_checked.{c}").alias(c) for c in findings.columns]
-    other = [F.col(f"_context.row.{c}").alias(c) for c in contexts.columns if c != key]
-    return heuristic_verdicts(paired.select(*own, *other))
+    sides = [df.groupBy(key).agg(F.count("*").alias(n)) for df, n in ((findings, "one"), (contexts, "two"))]
+    if not sides[0].join(sides[1], key, "full").where("coalesce(one, 0) <> 1 or coalesce(two, 0) <> 1").isEmpty():
+        raise ValueError("findings and contexts must have same length")
+    return heuristic_verdicts(findings.join(contexts, key))
 
 
 def disabled_verdicts(findings: DataFrame) -> DataFrame:
