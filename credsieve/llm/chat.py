@@ -11,8 +11,8 @@ control strings cannot occur there and reading back restores every character.
 
 Null text and null role are empty.  Turns are ordered by turn, ties by role and text;
 repeated rows are turns of their own; null turns come first.  Rows without a conversation
-id form one conversation.  Other columns are ignored.  A conversation is as large as its
-last example, which has to be one row; no other rows are held together.  An empty table
+id are conversations of one turn each.  Other columns are ignored.  A conversation is as large as
+its last example, which has to be one row (below two gigabytes); no other rows are held together.  An empty table
 gives an empty result.
 """
 
@@ -72,6 +72,11 @@ def _examples(turns: list[tuple[str, str]]):
             yield context, 0, 0
 
 
+def _alone():
+    """Tells rows without a conversation id apart; null for the others."""
+    return F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id())
+
+
 def format_conversations(conversations: DataFrame) -> DataFrame:
     """One row per example: ``conv_id``, ``example``, ``last``, ``text``, the mask's place and length in it."""
     turn = F.struct(
@@ -79,8 +84,8 @@ def format_conversations(conversations: DataFrame) -> DataFrame:
         F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     )
-    rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), turn.alias("t"))
-    held = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
+    rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), turn.alias("t")).withColumn("alone", _alone())
+    held = rows.groupBy("conv_id", "alone").agg(F.sort_array(F.collect_list("t")).alias("turns"))
 
     def work(batches):
         for rows in batches:
@@ -114,7 +119,7 @@ def read_back(examples: DataFrame) -> DataFrame:
 
     read = examples.mapInArrow(work, "conv_id long, example int, n_turns long, turns_sha256 string, loss string, chars long")
     whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("example", "loss"))), lambda x: x["loss"]), "")
-    digests = read.groupBy("conv_id").agg(
+    digests = read.withColumn("alone", _alone()).groupBy("conv_id", "alone").agg(
         F.max("n_turns").alias("n_turns"), F.max("turns_sha256").alias("turns_sha256"),
         whole.alias("loss"), F.sum("chars").alias("formatted_chars"),
     )

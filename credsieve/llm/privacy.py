@@ -21,6 +21,7 @@ are ignored, or passed through by ``sanitise``.  An empty table gives an empty r
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import pyarrow as pa
 import xxhash
@@ -118,6 +119,11 @@ _PLACE_SCHEMA = pa.schema([("text_key", pa.int64()), ("term", pa.string()), ("st
 _PLACES = "text_key long, term string, start int, end int"
 
 
+_HELD_SCHEMA = pa.schema([("term", pa.string()), ("n", pa.int64())])
+#: Terms a task counts before it passes them on.
+_MOST_COUNTED = 500_000
+
+
 def _scan(batches):
     for rows, texts in row_slices(batches):
         base = [base_spans(t) for t in texts]
@@ -136,6 +142,26 @@ def _places(batches):
                 yield batch(_PLACE_SCHEMA, [key] * len(held), *zip(*held))
 
 
+def _held(batches):
+    """(term, documents of the task that hold it outside the values): counted as candidates are found."""
+    counts: Counter = Counter()
+
+    def counted():
+        return batch(_HELD_SCHEMA, list(counts), list(counts.values()))
+
+    for _, texts in row_slices(batches):
+        for text in texts:
+            spans = base_spans(text)
+            if spans:
+                counts.update({term for term, _, _ in terms_of(text, spans)})
+            else:
+                counts.update({m.lower() for m in set(_TERM.findall(text)) if len(m) >= LEAST_TERM})
+        if len(counts) > _MOST_COUNTED:
+            yield counted()
+            counts.clear()
+    yield counted()
+
+
 def disclosing(rows: DataFrame, found: DataFrame) -> DataFrame | None:
     """(``text_key``, ``start``, ``end``) of the terms that give away a value of their text, if any can.
 
@@ -157,16 +183,16 @@ def disclosing(rows: DataFrame, found: DataFrame) -> DataFrame | None:
     places = settled(whole.mapInArrow(_places, _PLACES))
     inside = settled(places.select("text_key", "term").distinct())
     often = settled(inside.groupBy("term").agg(F.count("*").alias("texts")).where(F.col("texts") >= LEAST_TEXTS).select("term"))
-    words = rows.select(F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))).alias("term"))
-    # Counted before they meet the candidates, which a semi join would be moved in front of.
-    of_term = often.join(words.groupBy("term").agg(F.count("*").alias("of_term")), "term", "left")
+    # Counted before they meet the candidates, and by the same function, so that none is missing.
+    counted = settled(rows.select("text").mapInArrow(_held, "term string, n long").groupBy("term").agg(F.sum("n").alias("of_term")))
+    of_term = often.join(counted, "term")
     top = wanted.agg(F.max("most")).first()[0]
-    rare = settled(of_term.where(F.coalesce("of_term", F.lit(0)) <= top))
-    met = wanted.join(inside.join(rare, "term"), "text_key").where(F.coalesce("of_term", F.lit(0)) <= F.col("most"))
+    rare = settled(of_term.where(F.col("of_term") <= top))
+    met = wanted.join(inside.join(rare, "term"), "text_key").where(F.col("of_term") <= F.col("most"))
     both = met.groupBy("value", "term").agg(
         F.sum("n").alias("both"), F.count("*").alias("texts"), F.first("of_value").alias("of_value"), F.first("of_term").alias("of_term")
     ).where(F.col("texts") >= LEAST_TEXTS)
-    given = F.col("both") / F.greatest(F.coalesce("of_term", "both"), F.col("both"))
+    given = F.col("both") / F.col("of_term")
     pairs = both.where(1 - F.log(given) / F.log(share) >= DISCLOSURE).select("value", "term")
     named = wanted.select("text_key", "value").join(pairs, "value").select("text_key", "term").distinct()
     return places.join(named, ["text_key", "term"]).select("text_key", "start", "end")

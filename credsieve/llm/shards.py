@@ -12,7 +12,9 @@ than the limit is a shard alone, the only kind that exceeds it.
 
 Everything is DataFrame operations on (hash, bytes) pairs; texts are read once and never
 shuffled.  A null key is a key of its own; null text has no bytes; repeated rows are all
-kept; other columns are ignored.  An empty table gives an empty result.
+kept; other columns are ignored.  Of a text of any length only its size counts.  A check that sees
+few heavy cells of one round is right: there are at most 4,096 of them for each open bucket.  An
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -57,19 +59,22 @@ def _overflow(rows: DataFrame, limit: int) -> DataFrame:
     parts = parts.select("hash", "part", F.coalesce(F.sum("held").over(before), F.lit(0)).alias("first"))
     dealt = small.withColumn("at", F.coalesce(F.sum("n_bytes").over(within), F.lit(0))).join(parts, ["hash", "part"])
     run = F.floor((F.col("first") + F.col("at")) / F.lit(max(half, 1))).cast("string")
-    names = ["doc_id", "n_bytes", "hash"]
+    names = ["doc_id", "n_bytes", "hash", *(c for c in rows.columns if c == "carried")]
     return dealt.select(*names, F.concat(F.lit("r"), run).alias("overflow")).union(
         numbered.where(F.col("n_bytes") > half).select(*names, F.concat(F.lit("a"), F.col("row").cast("string")))
     )
 
 
-def shard(docs: DataFrame, *, key: str = "doc_id", text: str = "text", limit: int = SHARD_BYTES) -> DataFrame:
+def shard(
+    docs: DataFrame, *, key: str = "doc_id", text: str = "text", limit: int = SHARD_BYTES, carry: str | None = None
+) -> DataFrame:
     """One row per row of ``docs``: id, bytes, depth, prefix and name of its shard.
 
-    ``shard`` is the prefix's bits; an overflow shard's name goes on after a dash.
+    ``shard`` is the prefix's bits; an overflow shard's name goes on after a dash.  A column to
+    ``carry`` is passed on as ``carried``.
     """
     size = F.coalesce(F.octet_length(F.col(text).cast("string")), F.lit(0)).cast("long")
-    rows = docs.select(F.col(key).alias("doc_id"), size.alias("n_bytes"), key_hash(F.col(key)).alias("hash"))
+    rows = docs.select(F.col(key).alias("doc_id"), size.alias("n_bytes"), key_hash(F.col(key)).alias("hash"), *([F.col(carry).alias("carried")] if carry else []))
     rows = settled(rows)
     done, base = [], 0
     while True:
@@ -96,6 +101,7 @@ def shard(docs: DataFrame, *, key: str = "doc_id", text: str = "text", limit: in
     return named.select(
         "doc_id", "n_bytes", F.col("depth").cast("long").alias("depth"), F.col("prefix").cast("long").alias("prefix"),
         F.when(F.col("overflow").isNull(), F.col("bits")).otherwise(F.concat_ws("-", "bits", "overflow")).alias("shard"),
+        *(["carried"] if carry else []),
     )
 
 
@@ -105,7 +111,16 @@ def directory(shards: DataFrame) -> DataFrame:
 
 
 def write_shards(docs: DataFrame, to: str, *, key: str = "doc_id", **options) -> None:
-    """``docs`` as Parquet, one folder per shard.  Keys must be unique to be found again."""
-    assigned = shard(docs, key=key, **options).select(F.col("doc_id").alias("_key"), F.col("shard").alias("_shard"))
-    met = docs.join(assigned, F.col(key).eqNullSafe(F.col("_key"))).drop("_key")
-    met.repartition("_shard").write.partitionBy("_shard").parquet(to)
+    """Every row of ``docs`` as Parquet, one folder ``shard=...`` per shard, which columns may not be named like.
+
+    Rows are written once with a number, so that a repeated key's are told apart.
+    """
+    number = "row"
+    while any(number == c.lower() for c in docs.columns):
+        number += "_"
+    if any(c.lower() == "shard" for c in docs.columns):
+        raise ValueError("a column named shard cannot be told from the folders'")
+    numbered = settled(docs.withColumn(number, F.monotonically_increasing_id()))
+    assigned = shard(numbered, key=key, carry=number, **options).select(F.col("carried").alias(number), "shard")
+    met = numbered.join(assigned, number).drop(number)
+    met.repartition("shard").write.partitionBy("shard").parquet(to)

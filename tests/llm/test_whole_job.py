@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from credsieve.llm import decontaminate, language, near_duplicates, privacy, token_files
+from credsieve.llm import chat, decontaminate, language, near_duplicates, privacy, shards, token_files
 from credsieve.session import fresh_path
 
 DOCS = "doc_id long, text string, lang string"
@@ -174,3 +174,28 @@ def test_only_items_whose_words_are_there_are_looked_for():
         want = {k for k, own in enumerate(search.numbers) if sum(n in there for n in own) >= decontaminate.MOST * len(own)}
         assert set(search.coverage.covered(numbers).tolist()) == want and {k for j, k in found if j == i} <= want
     assert {(40 + k, k) for k in range(40)} <= found
+
+
+def test_a_word_that_folds_to_several_letters_is_counted_like_any_other(spark):
+    rows = [(i, f"İstanbul is where page {i} was written, as all of them are.") for i in range(200)]
+    rows += [(500 + i, f"İstanbul office {i}, write to desk@mail.example today.") for i in range(4)]
+    clean = {r["doc_id"]: r["text"] for r in privacy.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all("İstanbul" in clean[500 + i] and "[EMAIL]" in clean[500 + i] for i in range(4))
+
+
+def test_written_shards_hold_every_row_once(spark):
+    rows = [(1, "a"), (1, "a"), (1, "bb"), (None, "c"), (None, None), (2, "x" * 50), (2, "y" * 50), (2, "z" * 50)] + [(i, "text") for i in range(3, 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'k' as _key", "'s' as _shard", "1 as row")
+    path = fresh_path(spark, "shards")
+    shards.write_shards(docs, path, limit=60)
+    back = spark.read.parquet(path)
+    assert sorted(((r["doc_id"], r["text"]) for r in back.collect()), key=str) == sorted(rows, key=str)
+    sizes = back.groupBy("shard").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).alias("n")).collect()
+    assert len(sizes) > 3 and max(r["n"] for r in sizes) <= 60
+
+
+def test_rows_without_a_conversation_are_not_mixed(spark):
+    rows = [(None, 0, "user", "a"), (None, 0, "user", "b"), (None, 1, "assistant", "c"), (5, 0, "user", "u"), (5, 1, "assistant", "v")]
+    examples = chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    back = sorted((r["conv_id"] or 0, r["n_turns"], r["loss_chars"]) for r in chat.read_back(examples).collect())
+    assert back == [(0, 1, 0), (0, 1, 0), (0, 1, 1), (5, 2, 1)]
