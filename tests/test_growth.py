@@ -3,7 +3,7 @@
 import hashlib
 
 from credsieve.functions import detect as D
-from credsieve.operators import scan
+from credsieve.operators import allowlist_tables, scan
 from credsieve.plans import corpora
 
 
@@ -47,3 +47,22 @@ def test_templates_are_filled_by_stretches(spark):
     keys = [*range(len(patterns)), 10**9 + 7]
     rows = spark.createDataFrame([(k,) for k in [*keys, None]], "k bigint").selectExpr("k", f"{corpora.planted(corpora.SPARK, 'k')} as text")
     assert {r["k"]: r["text"] for r in rows.collect()} == {None: None} | {k: filled(k) for k in keys}
+
+
+def test_alike_rows_of_an_allowlist_do_not_share_a_key(spark):
+    n = 300
+    globs = spark.range(n).selectExpr("concat('src/app_', id, '.p[xy]') as glob").union(spark.range(n).selectExpr("concat('*_', id, '.go')"))
+    regexes = spark.range(n).selectExpr("concat('(?i)wo[r]d = .', substr(md5(cast(id as string)), 1, 8)) as regex")
+    for listed, kind in ((globs, "glob"), (regexes, "regex")):
+        keyed = allowlist_tables._keyed(listed, kind, kind)
+        assert keyed.count() == listed.count() and keyed.groupBy("key").count().agg({"count": "max"}).first()[0] <= 3
+    paths = spark.createDataFrame([(f"src/app_{i}.py",) for i in range(2 * n)] + [(f"a/b_{i}.go",) for i in range(2 * n)] + [(None,)], "file_path string")
+    left = {r[0] for r in allowlist_tables.without_globs(paths, globs).collect()}
+    assert left == {None} | {f"src/app_{i}.py" for i in range(n, 2 * n)} | {f"a/b_{i}.go" for i in range(n, 2 * n)}
+
+
+def test_rows_of_an_allowlist_without_a_key_are_not_shuffled_to_one_task(spark):
+    texts = spark.createDataFrame([(f"ab{i}",) for i in range(50)] + [("12",), (None,)], "match string")
+    left = allowlist_tables.without_regexes(texts, spark.createDataFrame([("[a-z]+1",), ("^[0-9]",)], "regex string"))
+    assert sorted(r[0] for r in left.where("match is not null").collect()) == sorted(f"ab{i}" for i in range(50) if str(i)[0] != "1")
+    assert left.where("match is null").count() == 1
