@@ -12,8 +12,7 @@ item is leaked if nearly all of it is there in order, or most of it and the answ
 
 All documents are read once for each block: for the document frequencies, and for which of them
 have enough of some item's words; only those are searched.  The decomposition is fitted to
-a sample of ``sample_rows`` documents in the mean, chosen by a hash of id and text, and to all
-benchmark passages.  Items are searched in blocks of ``block`` items, each against all
+all passages of all documents and of the benchmark.  Items are searched in blocks of ``block`` items, each against all
 rows, so nothing that reaches the driver grows with the documents or beyond a block.
 
 Null or empty texts, and items without a word, match nothing.  Long texts are searched whole, in
@@ -40,7 +39,6 @@ from credsieve.session import settled
 UNIT = 16
 RANK = 128
 SPARE = 8
-SAMPLE_ROWS = 5_000
 BLOCK_ITEMS = 10_000
 #: Least cosine of a passage and an item's passage in the latent space.
 COSINE = 0.55
@@ -53,7 +51,6 @@ RARE = 5.3
 _EDGES = b".,;:!?\"'()[]{}<>|*#-_/\\`~"
 _KEPT_WORDS = 400_000
 _ROWS = 1 << 15
-_SLOTS = 1 << 20
 
 
 def words_of(text: str) -> list[bytes]:
@@ -274,40 +271,41 @@ def _unit_length(rows: np.ndarray) -> np.ndarray:
     return rows / np.maximum(length, 1e-12)
 
 
-_READ = "term int, n long, doc_id long, text_key long, numbers binary"
-_READ_SCHEMA = pa.schema([("term", pa.int32()), ("n", pa.int64()), ("doc_id", pa.int64()), ("text_key", pa.int64()), ("numbers", pa.binary())])
+_READ = "term int, n long, doc_id long, text_key long, numbers binary, covers boolean"
+_READ_SCHEMA = pa.schema([("term", pa.int32()), ("n", pa.int64()), ("doc_id", pa.int64()), ("text_key", pa.int64()), ("numbers", pa.binary()), ("covers", pa.bool_())])
 
 
 def _read_once(rows: DataFrame, items: list[Item], terms: dict[bytes, int]) -> DataFrame:
     """What one reading of all documents gives: counts of the units that hold each term (term 0: of
-    all units), and the rows whose texts have enough of some item's words, as numbers of the terms.
-    Written once."""
+    all units), and the texts that hold any, as numbers of the terms, with whether they have enough
+    of some item's words.  Written once."""
     size = len(terms) + 1
 
     def work(batches):
         known, counts, units = Terms(terms), np.zeros(size, np.int64), 0
         coverage = Coverage([[terms[w] for w in i.words] for i in items], len(terms))
         for part, texts in row_slices(batches):
-            pairs, kept, held, n = [], [], [], 0
+            pairs, kept, held, covers, n = [], [], [], [], 0
             for i, text in enumerate(texts):
                 numbers = known.numbers(text)
                 unit, term = _units(numbers)
                 pairs.append((unit + n) * size + term)
                 n += _n_units(len(numbers))
-                if len(term) and len(coverage.covered(numbers)):
+                if len(term):
                     kept.append(i)
                     held.append(numbers.tobytes())
+                    covers.append(len(coverage.covered(numbers)) > 0)
             # All units of the slice at once; a unit counts a term once.
             counts += np.bincount(np.unique(np.concatenate(pairs)) % size, minlength=size)
             units += n
             if kept:
                 at = pa.array(kept)
                 none = [None] * len(kept)
-                yield batch(_READ_SCHEMA, none, none, part.column("doc_id").take(at), part.column("text_key").take(at), held)
+                yield batch(_READ_SCHEMA, none, none, part.column("doc_id").take(at), part.column("text_key").take(at), held, covers)
         counts[0] = units
         at = np.flatnonzero(counts)
         none = [None] * len(at)
-        yield batch(_READ_SCHEMA, at.astype(np.int32), counts[at], none, none, none)
+        yield batch(_READ_SCHEMA, at.astype(np.int32), counts[at], none, none, none, none)
 
     return settled(rows.mapInArrow(work, _READ))
 
@@ -322,7 +320,7 @@ def _weights(read: DataFrame, terms: dict[bytes, int]) -> np.ndarray:
     return weights.astype(np.float32)
 
 
-def _latent(sample: DataFrame, items: list[Item], terms: dict[bytes, int], weights: np.ndarray, rank: int) -> np.ndarray:
+def _latent(read: DataFrame, items: list[Item], terms: dict[bytes, int], weights: np.ndarray, rank: int) -> np.ndarray:
     """Term vectors (weight times right singular vectors) of the passages' matrix, rows of unit length.
 
     Two rounds of Y = A'(A Q), summed over partitions by Spark, and the small eigenproblem.
@@ -339,14 +337,7 @@ def _latent(sample: DataFrame, items: list[Item], terms: dict[bytes, int], weigh
 
     def partial(basis):
         def work(batches):
-            known = Terms(terms)
-
-            def passages():
-                for _, texts in row_slices(batches):
-                    for text in texts:
-                        yield known.numbers(text)
-
-            total = product(passages(), basis)
+            total = product((np.frombuffer(b.as_py(), np.int32) for rows in batches for b in rows.column(0)), basis)
             at = np.flatnonzero(np.abs(total).sum(axis=1))
             columns = [at.astype(np.int32), *(total[at, j] for j in range(width))]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["term", *(f"c{j}" for j in range(width))])
@@ -355,23 +346,24 @@ def _latent(sample: DataFrame, items: list[Item], terms: dict[bytes, int], weigh
 
     schema = "term int, " + ", ".join(f"c{j} double" for j in range(width))
     own = [np.array([terms[w] for w in i.words], np.int32) for i in items]
+    texts = read.where("term is null").select("numbers")
 
     def of_items(basis: np.ndarray) -> np.ndarray:
         return product(iter(own), basis)
 
-    def of_sample(basis: np.ndarray) -> np.ndarray:
+    def of_documents(basis: np.ndarray) -> np.ndarray:
         total = np.zeros((size, width))
-        sums = sample.mapInArrow(partial(basis), schema).groupBy("term").agg(*(F.sum(f"c{j}").alias(f"c{j}") for j in range(width)))
+        sums = texts.mapInArrow(partial(basis), schema).groupBy("term").agg(*(F.sum(f"c{j}").alias(f"c{j}") for j in range(width)))
         found = sums.toPandas()
         total[found["term"].to_numpy()] += found[[f"c{j}" for j in range(width)]].to_numpy()
         return total
 
     basis = np.linalg.qr(np.random.default_rng(0).standard_normal((size, width)))[0]
-    ours, theirs = of_items(basis), of_sample(basis)
-    # The items' passages count as much as the sample's, however many those are.
+    ours, theirs = of_items(basis), of_documents(basis)
+    # The items' passages count as much as the documents', however many those are.
     share = np.linalg.norm(theirs) / max(np.linalg.norm(ours), 1e-12) or 1.0
     basis = np.linalg.qr(share * ours + theirs)[0]
-    image = share * of_items(basis) + of_sample(basis)
+    image = share * of_items(basis) + of_documents(basis)
     values, vectors = np.linalg.eigh((basis.T @ image + image.T @ basis) / 2)
     right = basis @ vectors[:, np.argsort(-values)[:rank]]
     return (right * weights[:, None]).astype(np.float32)
@@ -391,16 +383,12 @@ def _add_gram(total: np.ndarray, numbers: np.ndarray, weights: np.ndarray, basis
 
 
 def searches(
-    docs: DataFrame, benchmark: DataFrame, *, rank: int = RANK, sample_rows: int = SAMPLE_ROWS,
-    block: int = BLOCK_ITEMS, cosine: float = COSINE,
+    docs: DataFrame, benchmark: DataFrame, *, rank: int = RANK, block: int = BLOCK_ITEMS, cosine: float = COSINE,
 ) -> Iterator[tuple[Search, DataFrame]]:
     """One search per block of items, and the rows it has to look at."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     numbered = settled(items.withColumn("at", F.monotonically_increasing_id()))
     rows = texts_of(docs).where("text is not null").withColumn("text_key", F.xxhash64("text"))
-    total = rows.count()
-    slots = min(_SLOTS, int(np.ceil(_SLOTS * sample_rows / max(1, total))))
-    sample = settled(rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(_SLOTS)) < slots))
     last = -1
     while True:
         own = numbered.where(F.col("at") > last).orderBy("at").limit(block).collect()
@@ -412,8 +400,8 @@ def searches(
             terms = {w: i + 1 for i, w in enumerate(sorted({w for i in held for w in i.words}))}
             read = _read_once(rows, held, terms)
             weights = _weights(read, terms)
-            search = Search(held, terms, _latent(sample, held, terms, weights, rank), cosine, weights)
-            yield search, read.where("term is null").select("doc_id", "text_key", "numbers")
+            search = Search(held, terms, _latent(read, held, terms, weights, rank), cosine, weights)
+            yield search, read.where("covers").select("doc_id", "text_key", "numbers")
 
 
 _LEAKS = "doc_id long, text_key long, item_id long, cosine double, n_common int, n_item int, n_answer int, first_word int"
