@@ -6,9 +6,10 @@ its own log frequency per language; one that is not falls back to its longest n-
 that are known, five letters, then four, down to one.  The language whose mean over all
 words is highest wins; equal means go to the first in alphabetical order.
 
-Fitting uses a bounded sample of each label's rows: ``sample_rows`` shared evenly, but at
-least ``label_rows`` a label in the mean, all of a label that has fewer and never none,
-chosen by a hash of id and text.  It keeps the ``words`` and ``grams`` most frequent
+Fitting counts the words of every labelled row, in one distributed reading.  Where
+``sample_rows`` is given it uses so many instead, shared evenly by the labels, but at least
+``label_rows`` a label in the mean, all of a label that has fewer and never none, chosen by
+a hash of id and text.  It keeps the ``words`` and ``grams`` most frequent
 entries, fewer if there are more labels than the table has room for (``CELLS``); these
 bound the model, which is all that reaches the driver.  An entry that a label lacks has
 the same small share in every label, however few rows the label has; labels of which no
@@ -41,7 +42,6 @@ from pyspark.sql import functions as F
 from credsieve.llm.common import batch, held_once, row_slices, slices, texts_of
 from credsieve.session import settled
 
-SAMPLE_ROWS = 20_000
 LABEL_ROWS = 400
 WORDS = 50_000
 GRAMS = 100_000
@@ -220,7 +220,7 @@ def _wide(rows: pd.DataFrame, languages: list[str]) -> tuple[list[str], np.ndarr
 
 def fit(
     docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang",
-    sample_rows: int = SAMPLE_ROWS, label_rows: int = LABEL_ROWS, words: int = WORDS, grams: int = GRAMS,
+    sample_rows: int | None = None, label_rows: int = LABEL_ROWS, words: int = WORDS, grams: int = GRAMS,
 ) -> Model:
     """Learn from rows that are not held out and have a label and a letter in their text."""
     rows = docs.select(
@@ -232,11 +232,13 @@ def fit(
         raise ValueError(f"more than {MOST_LABELS} labels in {lang}")
     if not found:
         return Model([])
-    each = max(label_rows, sample_rows / len(found))
-    # At least the row of the least hash, so that no label is without one.
-    slots = [(r["lang"], max(r["least"] + 1, int(np.ceil(_SLOTS * min(1.0, each / r["n"]))))) for r in found]
-    share = docs.sparkSession.createDataFrame(slots, "lang string, slots long")
-    chosen = rows.join(F.broadcast(share), "lang").where(slot < F.col("slots")).select("lang", "text")
+    chosen = rows.select("lang", "text")
+    if sample_rows is not None:
+        each = max(label_rows, sample_rows / len(found))
+        # At least the row of the least hash, so that no label is without one.
+        slots = [(r["lang"], max(r["least"] + 1, int(np.ceil(_SLOTS * min(1.0, each / r["n"]))))) for r in found]
+        share = docs.sparkSession.createDataFrame(slots, "lang string, slots long")
+        chosen = rows.join(F.broadcast(share), "lang").where(slot < F.col("slots")).select("lang", "text")
     counts = settled(_counts(chosen))
     room = min(1.0, CELLS / len(found) / (words + grams))
     word_rows = _top(counts, int(words * room))
