@@ -5,6 +5,7 @@ import hashlib
 from credsieve.functions import detect as D
 from credsieve.operators import allowlist_tables, scan
 from credsieve.plans import corpora
+from credsieve.sources import store
 
 
 def test_rules_are_tested_by_compiled_conditions(spark, rules):
@@ -66,3 +67,23 @@ def test_rows_of_an_allowlist_without_a_key_are_not_shuffled_to_one_task(spark):
     left = allowlist_tables.without_regexes(texts, spark.createDataFrame([("[a-z]+1",), ("^[0-9]",)], "regex string"))
     assert sorted(r[0] for r in left.where("match is not null").collect()) == sorted(f"ab{i}" for i in range(50) if str(i)[0] != "1")
     assert left.where("match is null").count() == 1
+
+
+def test_a_split_counts_no_more_parts_than_it_makes(spark, monkeypatch):
+    rows = spark.range(4000).selectExpr(
+        "cast(conv(substring(sha2(cast(id as string), 256), 1, 15), 16, 10) as bigint) as id", "'a.py' as file_path", "'' as code_snippet",
+        "array(cast(1 as float)) as embedding", "'p' as pattern_type", "'high' as confidence", "'' as _bits",
+    )
+    size = rows.agg(store.F.sum(store._row_bytes())).first()[0]
+    seen = []
+    frame = type(rows)
+    collect = frame.collect
+    monkeypatch.setattr(frame, "collect", lambda self: seen.append(collect(self)) or seen[-1])
+    parts = store._split(rows, {"": size}, size // 3)
+    assert sum(2.0 ** -len(p) for p in parts) == 1 and sum(map(len, seen)) <= 8
+    seen.clear()
+    # Many buckets, each a little over the limit, are split in one round that sees a few parts of each.
+    held = rows.withColumn("_bits", store.F.expr(f"substring({store._bits()}, 1, 5)"))
+    sizes = {r["_bits"]: r["n"] for r in collect(held.groupBy("_bits").agg(store.F.sum(store._row_bytes()).alias("n")))}
+    parts = store._split(held, sizes, int(0.8 * min(sizes.values())))
+    assert sum(2.0 ** -len(p) for p in parts) == 1 and sum(map(len, seen)) <= 4 * len(sizes) < len(parts) * 4
