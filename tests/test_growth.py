@@ -5,7 +5,7 @@ import hashlib
 from credsieve.functions import detect as D
 from credsieve.operators import allowlist_tables, scan
 from credsieve.plans import corpora
-from credsieve.sources import store
+from credsieve.sources import files, store, tree
 
 
 def test_rules_are_tested_by_compiled_conditions(spark, rules):
@@ -87,3 +87,15 @@ def test_a_split_counts_no_more_parts_than_it_makes(spark, monkeypatch):
     sizes = {r["_bits"]: r["n"] for r in collect(held.groupBy("_bits").agg(store.F.sum(store._row_bytes()).alias("n")))}
     parts = store._split(held, sizes, int(0.8 * min(sizes.values())))
     assert sum(2.0 ** -len(p) for p in parts) == 1 and sum(map(len, seen)) <= 4 * len(sizes) < len(parts) * 4
+
+
+def test_files_of_one_split_are_written_by_many_tasks(spark, fresh_dir, monkeypatch):
+    rows = spark.range(0, 90, 1, 1).selectExpr("concat('d', id % 4, '/', id) as path", "cast(id as string) as content")
+    seen, frame = [], type(rows)
+    mapped = frame.mapInArrow
+    monkeypatch.setattr(frame, "mapInArrow", lambda self, *a: seen.append(self.rdd.getNumPartitions()) or mapped(self, *a))
+    files.write_files(rows, f"{fresh_dir}/tree")
+    assert seen == [4 * spark.sparkContext.defaultParallelism]
+    monkeypatch.setattr(tree, "BUNDLE_FILES", 7)
+    read = {(r["path"], r["content"]) for r in files.read_files(spark, f"{fresh_dir}/tree").collect()}
+    assert read == {(f"d{i % 4}/{i}", str(i)) for i in range(90)}
