@@ -1,6 +1,7 @@
 """Steps whose time has to grow no faster than their input."""
 
 import hashlib
+import re
 
 from credsieve.functions import detect as D
 from credsieve.operators import allowlist_tables, scan
@@ -99,3 +100,14 @@ def test_files_of_one_split_are_written_by_many_tasks(spark, fresh_dir, monkeypa
     monkeypatch.setattr(tree, "BUNDLE_FILES", 7)
     read = {(r["path"], r["content"]) for r in files.read_files(spark, f"{fresh_dir}/tree").collect()}
     assert read == {(f"d{i % 4}/{i}", str(i)) for i in range(90)}
+
+
+def test_arms_of_the_gate_are_tested_by_compiled_conditions(spark, rules):
+    rows = spark.createDataFrame([("a.py", 1, "token ghp_" + "a1" * 20)], "path string, line_no int, line string")
+    plan = scan.owned(rows, rules)._jdf.queryExecution().optimizedPlan().toString()
+    bodies = [re.split(r", lambda \w+#\d+, false", x)[0] for x in plan.split("lambdafunction(")[1:]]
+    assert "Contains(" in plan and not any("Contains(" in x or "RLIKE" in x for x in bodies)
+    odd = [None, "", "nothing here", "x" * 9000 + ' password = "a1b2c3d4e5f6"', "token ghp_" + "a1" * 20, "x" * 9000]
+    found = scan.owned(spark.createDataFrame([("a.py", i, x) for i, x in enumerate(odd)], "path string, line_no int, line string"), rules)
+    wanted = {r["line_no"] for r in scan.owners(spark.createDataFrame([("a.py", i, x) for i, x in enumerate(odd)], "path string, line_no int, line string"), rules).where("rule_idx is not null").collect()}
+    assert {r["line_no"] for r in found.collect()} == wanted == {3, 4}
