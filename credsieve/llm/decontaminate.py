@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from credsieve.llm.common import batch, row_join, row_slices, texts_of
+from credsieve.llm.common import batch, let_go, row_join, row_slices, texts_of
 from credsieve.session import settled
 
 UNIT = 16
@@ -282,6 +282,7 @@ def _read_once(rows: DataFrame, items: list[Item], terms: dict[bytes, int]) -> D
     size = len(terms) + 1
 
     def work(batches):
+        let_go()
         known, counts, units = Terms(terms), np.zeros(size, np.int64), 0
         coverage = Coverage([[terms[w] for w in i.words] for i in items], len(terms))
         for part, texts in row_slices(batches):

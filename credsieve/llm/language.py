@@ -39,7 +39,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from credsieve.llm.common import batch, held_once, row_slices, slices, texts_of
+from credsieve.llm.common import batch, held_once, let_go, row_slices, slices, texts_of
 from credsieve.session import settled
 
 LABEL_ROWS = 400
@@ -168,6 +168,7 @@ def _counts(rows: DataFrame) -> DataFrame:
     schema = pa.schema([("lang", pa.string()), ("word", pa.string()), ("n", pa.int64())])
 
     def work(batches):
+        let_go()
         held: Counter = Counter()
         for part, texts in row_slices(batches):
             for lang, text in zip(part.column("lang").to_pylist(), texts):
@@ -186,6 +187,7 @@ def _gram_counts(counts: DataFrame) -> DataFrame:
     schema = pa.schema([("lang", pa.string()), ("word", pa.string()), ("n", pa.int64())])
 
     def work(batches):
+        let_go()
         held: Counter = Counter()
         for rows in batches:
             for lang, word, n in zip(*(rows.column(c).to_pylist() for c in ("lang", "word", "n"))):

@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from credsieve.llm.common import batch, row_join, row_slices, sized, texts_of
+from credsieve.llm.common import batch, let_go, row_join, row_slices, sized, texts_of
 from credsieve.llm.components import components
 from credsieve.session import settled
 
@@ -160,6 +160,7 @@ def _class(own: np.ndarray) -> bytes:
 
 
 def _sketch(batches):
+    let_go()
     for rows, texts in row_slices(batches):
         sets = [shingles(t) for t in texts]
         yield batch(

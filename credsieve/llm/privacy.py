@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from credsieve.llm.common import batch, row_join, row_slices, sized, texts_of
+from credsieve.llm.common import batch, let_go, row_join, row_slices, sized, texts_of
 from credsieve.session import settled
 
 # ---------------------------------------------------------------------------
@@ -125,6 +125,7 @@ _MOST_COUNTED = 500_000
 
 
 def _scan(batches):
+    let_go()
     for rows, texts in row_slices(batches):
         base = [base_spans(t) for t in texts]
         yield batch(
@@ -135,6 +136,7 @@ def _scan(batches):
 
 
 def _places(batches):
+    let_go()
     for rows, texts in row_slices(batches):
         for key, text in zip(rows.column("text_key").to_pylist(), texts):
             held = list(terms_of(text, base_spans(text)))
