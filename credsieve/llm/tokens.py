@@ -23,6 +23,8 @@ KEPT_WORDS = 400_000
 # Letters that normalisation leaves alone or maps one to one when it lowers them.
 PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 _MARKS = frozenset(",.;:!?")
+#: Plain letters and then ASCII marks other than apostrophes, which go with letters after them.
+_PLAIN_THEN_MARKS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]+)")
 #: Space that runs on over a cut: three in a row, or two at the end of the text.
 _RUN = re.compile(r"\s\s(?:\s|\Z)")
 
@@ -104,6 +106,9 @@ class LowerWordEncoder(_Encoder):
             if lower != word:
                 return self.words[lower]
             return _packed([t.id for t in self.pieces(byte_level(word))])
+        # Letters are one piece of the tokenizer's splitting, a run of marks another.
+        if parts := _PLAIN_THEN_MARKS.fullmatch(word):
+            return self.words[parts[1]] + self.words[parts[2]]
         if letter_then_mark(word):
             return self.words[word[:-1]] + self.words[word[-1]]
         return self.whole(word)
