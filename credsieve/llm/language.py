@@ -28,8 +28,11 @@ predicted one by one; other columns are ignored.  An empty table gives an empty
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from dataclasses import dataclass, field
+from functools import cache
+from itertools import groupby
 from uuid import uuid4
 
 import numpy as np
@@ -59,10 +62,30 @@ _FLUSH = 200_000
 _KEPT_WORDS = 400_000
 _KEPT_CELLS = 16_000_000
 _WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
+_ASCII_WORD = re.compile("[a-z]+")
+
+
+def _ranges(kind: str) -> str:
+    """The characters of a kind below U+10000 as ranges of a character class."""
+    held = regex.compile(kind).findall("".join(map(chr, (*range(0xD800), *range(0xE000, 0x10000)))))
+    runs = [list(g) for _, g in groupby(enumerate(map(ord, held)), lambda x: x[1] - x[0])]
+    return "".join(f"\\u{r[0][1]:04x}-\\u{r[-1][1]:04x}" for r in runs)
+
+
+@cache
+def _plane_word() -> re.Pattern:
+    """``_WORD`` for texts without characters beyond U+FFFF, which ``re`` looks up in a table."""
+    letters = _ranges(r"\p{L}")
+    return re.compile(f"[{letters}][{letters}{_ranges(r'\p{M}')}]*")
 
 
 def words_of(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    lowered = text.lower()
+    if lowered.isascii():
+        return _ASCII_WORD.findall(lowered)
+    if len(lowered.encode("utf-16-le", "surrogatepass")) == 2 * len(lowered):
+        return _plane_word().findall(lowered)
+    return _WORD.findall(lowered)
 
 
 def grams_of(word: str, order: int) -> list[str]:

@@ -20,3 +20,12 @@ def test_marks_of_every_kind_after_letters():
     for mark in marks:
         for word in (f"Caña{mark}", f"a{mark}", f"{mark}b", f"a{mark}b", f"a{mark}s."):
             assert encoder.ids(word) == encoder.whole(word), word
+
+
+def test_words_of_a_plane_are_those_of_all_letters():
+    from credsieve.llm import language
+
+    every = "".join(f"{chr(i)} a{chr(i)}b " for i in range(0x10000))
+    assert language._plane_word().findall(every) == language._WORD.findall(every)
+    for text in ("Plain ASCII_words 4x", "É née Ⅷ²x", "a𝐀b ¿qué?", "\ud800a b", "İstanbul", ""):
+        assert language.words_of(text) == language._WORD.findall(text.lower())
