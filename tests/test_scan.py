@@ -224,3 +224,23 @@ def test_unselected_diffs_are_dropped_before_they_are_decoded(spark, rules):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     # Plans read upwards: the semi join is below every explode.
     assert plan.rindex("LeftSemi") > plan.rindex("posexplode(split")
+
+
+def test_conditions_of_hits_stand_on_columns(spark):
+    """Spark interprets what stands in a generator or a lambda; gates and contexts have to be outside."""
+    from credsieve.functions.text import pin
+    from credsieve.operators.verify import scan_with_code
+
+    rows = spark.createDataFrame([("a/b.md/", "x")], "path string, line string")
+    plan = pin(rows, low="lower(path)")._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("Generate" in x and "lower" in x for x in plan.splitlines())
+
+    files = spark.createDataFrame([("src/a.py", "import os\ndef f():\n  password = \"kf83hs02mv7q\"\r\nend\n")], "path string, content string")
+    found = scan_with_code(files, rule_set())
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    # The line array is cut by places alone; no rule's text is looked for inside it.
+    assert not any("lambda s" in x and "Contains(lambda s" in x for x in plan.splitlines())
+    assert not any("rlike" in x.lower() and "inline(transform" in x.lower() for x in plan.splitlines())
+    assert [(r["line_no"], r["function"], r["code"]) for r in found.collect()] == [
+        (3, "def f():", "import os\ndef f():\n  password = \"kf83hs02mv7q\"\r\nend\n")
+    ]
