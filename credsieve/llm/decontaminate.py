@@ -24,12 +24,13 @@ An empty table gives an empty result.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,8 +50,9 @@ ANSWER_WORDS = 8
 RARE = 5.3
 
 _EDGES = b".,;:!?\"'()[]{}<>|*#-_/\\`~"
-_KEPT_WORDS = 400_000
 _ROWS = 1 << 15
+_GRAM_UNITS = 24
+_COVER_CELLS = 1 << 20
 
 
 def words_of(text: str) -> list[bytes]:
@@ -58,22 +60,34 @@ def words_of(text: str) -> list[bytes]:
     return [w.strip(_EDGES) for w in text.lower().encode().split()]
 
 
-class Terms(dict):
-    """Number of each term by any way it is written; 0 for other words."""
+class Terms:
+    """Number of each term; 0 for other words."""
 
     def __init__(self, terms: dict[bytes, int]):
-        super().__init__(terms)
-        self.terms = terms
-
-    def __missing__(self, word: bytes) -> int:
-        found = self.terms.get(word.strip(_EDGES), 0)
-        if len(self) < _KEPT_WORDS:
-            self[word] = found
-        return found
+        self.terms = pa.array([w.decode() for w in terms], pa.large_string())
+        self.number = np.array([0, *terms.values()], np.int32)
+
+    def numbers_of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of all words, and at which of them each text begins, and the last ends."""
+        split = pc.ascii_split_whitespace(pa.array([t.lower() for t in texts], pa.large_string()))
+        words = split.values
+        # White space at an end of a text gives an empty word there.
+        there = pc.greater(pc.binary_length(words), 0)
+        first = np.concatenate([[0], np.cumsum(there.to_numpy(zero_copy_only=False))])[split.offsets.to_numpy()]
+        bare = pc.ascii_trim(words.filter(there), characters=_EDGES.decode())
+        found = pc.index_in(bare, self.terms).fill_null(-1).to_numpy()
+        return self.number[found + 1], first
 
     def numbers(self, text: str) -> np.ndarray:
-        words = text.lower().encode().split()
-        return np.fromiter(map(self.__getitem__, words), np.int32, len(words))
+        return self.numbers_of([text])[0]
+
+
+def _distinct(values: np.ndarray) -> np.ndarray:
+    """Sorted, each once."""
+    held = np.sort(values)
+    first = np.ones(len(held), bool)
+    np.not_equal(held[1:], held[:-1], out=first[1:])
+    return held[first]
 
 
 @dataclass
@@ -101,11 +115,17 @@ def _units(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at // UNIT, numbers[at]
 
 
-def _unit_sums(unit: np.ndarray, rows: np.ndarray, n_units: int) -> np.ndarray:
-    sums = np.zeros((n_units, rows.shape[1]), rows.dtype)
+def _unit_sums(unit: np.ndarray, term: np.ndarray, latent: np.ndarray, n_units: int) -> np.ndarray:
+    """The sum of the vectors of each unit's terms: of all units the first is added, then the second, and so on."""
+    sums = np.zeros((n_units, latent.shape[1]), latent.dtype)
     if len(unit):
-        starts = np.flatnonzero(np.diff(unit, prepend=-1))
-        sums[unit[starts]] = np.add.reduceat(rows, starts, axis=0)
+        times = np.bincount(unit, minlength=n_units)
+        order = np.argsort(-times, kind="stable")
+        first, left = (np.cumsum(times) - times)[order], np.cumsum(np.bincount(times)[::-1])[::-1]
+        added = np.zeros_like(sums)
+        for k, n in enumerate(left[1:].tolist()):
+            added[:n] += latent.take(term[first[:n] + k], axis=0)
+        sums[order] = added
     return sums
 
 
@@ -160,13 +180,32 @@ class Coverage:
 
     def covered(self, numbers: np.ndarray) -> np.ndarray:
         """The items; no other can have as many words in common with the text as a leak has."""
-        own = np.unique(numbers)
+        own = _distinct(numbers)
         first = self.first_entry[own]
         n = self.first_entry[own + 1] - first
         at = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
         there = np.bincount(self.of_item[at], weights=self.times[at], minlength=len(self.needed))
         return np.flatnonzero(there >= self.needed)
 
+    def covered_of(self, text: np.ndarray, term: np.ndarray, n_texts: int) -> tuple[np.ndarray, np.ndarray]:
+        """(text, item) in order, what ``covered`` gives for each of some texts; of each place of a term its text is given, in order."""
+        size, n_items = len(self.first_entry), len(self.needed)
+        text, term = np.divmod(_distinct(text * size + term), size)
+        first = self.first_entry[term]
+        n = self.first_entry[term + 1] - first
+        # As many texts at once as their counts for all items, and the entries, leave room for.
+        cost = np.cumsum(n_items + np.bincount(text, weights=n, minlength=n_texts).astype(np.int64))
+        found = []
+        for texts in np.split(np.arange(n_texts), np.flatnonzero(np.diff(cost // _COVER_CELLS)) + 1):
+            own = slice(*np.searchsorted(text, [texts[0], texts[-1] + 1]))
+            times = n[own]
+            at = np.repeat(first[own] - np.cumsum(times) + times, times) + np.arange(times.sum())
+            cell = np.repeat(text[own] - texts[0], times) * n_items + self.of_item[at]
+            there = np.bincount(cell, weights=self.times[at], minlength=len(texts) * n_items)
+            i, k = np.nonzero(there.reshape(len(texts), n_items) >= self.needed)
+            found.append((i + texts[0], k))
+        return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+
 
 class Search:
     """All that a task needs: terms, their latent vectors, the items'."""
@@ -194,10 +233,9 @@ class Search:
         self.rare = np.zeros(len(terms) + 1, bool) if weights is None else weights >= RARE
         self.rare_needed = np.array([MOST * len(n) - np.count_nonzero(~self.rare[n]) for n in map(np.array, self.numbers)])
 
-    def likely(self, numbers: np.ndarray) -> list[int]:
-        """Items that a place of the text can hold: enough of their words are in it, and near each
+    def likely(self, numbers: np.ndarray, items: np.ndarray) -> list[int]:
+        """Items that a place of the text can hold: enough of their words are in it, as ``items`` says, and near each
         other enough of their rare ones."""
-        items = self.coverage.covered(numbers)
         if not len(items):
             return []
         wanted = np.zeros(len(self.items), bool)
@@ -212,20 +250,36 @@ class Search:
         order = np.argsort(item, kind="stable")
         item, place = item[order], place[order]
         out = []
-        for k in items.tolist():
+        for k, left, right in zip(items.tolist(), np.searchsorted(item, items).tolist(), np.searchsorted(item, items, "right").tolist()):
             needed = math.ceil(self.rare_needed[k])
             if needed > 1:
-                own = place[np.searchsorted(item, k) : np.searchsorted(item, k, "right")]
+                own = place[left:right]
                 reach = 4 * UNIT + 2 * len(self.numbers[k])
                 if len(own) < needed or (own[needed - 1 :] - own[: len(own) - needed + 1]).min() >= reach:
                     continue
             out.append(k)
         return out
 
+    def _covered(self, texts: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(text, its words' numbers, the items that it covers), looked up for some texts at a time."""
+        at = 0
+        while at < len(texts):
+            to, words = at + 1, len(texts[at])
+            while to < len(texts) and words + len(texts[to]) <= _COVER_CELLS:
+                words += len(texts[to])
+                to += 1
+            numbers = np.concatenate(texts[at:to])
+            there = np.flatnonzero(numbers)
+            text = np.repeat(np.arange(to - at), [len(t) for t in texts[at:to]])[there]
+            own, item = self.coverage.covered_of(text, numbers[there], to - at)
+            for i, first, last in zip(range(at, to), *(np.searchsorted(own, np.arange(to - at), side).tolist() for side in ("left", "right"))):
+                yield i, texts[i], item[first:last]
+            at = to
+
     def candidates(self, texts: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray, int, int, float]]:
         """(text, its words' numbers, item, first word of the passage, cosine)."""
-        for i, numbers in enumerate(texts):
-            items = self.likely(numbers) if len(numbers) else ()
+        for i, numbers, covered in self._covered(texts):
+            items = self.likely(numbers, covered)
             if not len(items):
                 continue
             rows = np.concatenate([np.arange(self.first_vector[k], self.first_vector[k + 1]) for k in items])
@@ -261,9 +315,8 @@ class Search:
             yield i, k, cosine, common, answer, -first
 
 
-def _vectors(numbers: np.ndarray, latent: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-    unit, term = _units(numbers)
-    return unit, latent[term], _n_units(len(numbers))
+def _vectors(numbers: np.ndarray, latent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    return *_units(numbers), latent, _n_units(len(numbers))
 
 
 def _unit_length(rows: np.ndarray) -> np.ndarray:
@@ -286,23 +339,22 @@ def _read_once(rows: DataFrame, items: list[Item], terms: dict[bytes, int]) -> D
         known, counts, units = Terms(terms), np.zeros(size, np.int64), 0
         coverage = Coverage([[terms[w] for w in i.words] for i in items], len(terms))
         for part, texts in row_slices(batches):
-            pairs, kept, held, covers, n = [], [], [], [], 0
-            for i, text in enumerate(texts):
-                numbers = known.numbers(text)
-                unit, term = _units(numbers)
-                pairs.append((unit + n) * size + term)
-                n += _n_units(len(numbers))
-                if len(term):
-                    kept.append(i)
-                    held.append(numbers.tobytes())
-                    covers.append(len(coverage.covered(numbers)) > 0)
+            numbers, first = known.numbers_of(texts)
+            lengths = np.diff(first)
+            n = np.maximum(1, -(-lengths // UNIT))
+            at = np.flatnonzero(numbers)
+            text, term = np.repeat(np.arange(len(texts)), lengths)[at], numbers[at]
+            unit = (np.cumsum(n) - n)[text] + (at - first[text]) // UNIT
             # All units of the slice at once; a unit counts a term once.
-            counts += np.bincount(np.unique(np.concatenate(pairs)) % size, minlength=size)
-            units += n
-            if kept:
-                at = pa.array(kept)
+            counts += np.bincount(_distinct(unit * size + term) % size, minlength=size)
+            units += int(n.sum())
+            kept = np.flatnonzero(np.bincount(text, minlength=len(texts)))
+            if len(kept):
+                covers = np.bincount(coverage.covered_of(text, term, len(texts))[0], minlength=len(texts))[kept] > 0
+                held = [numbers[first[i] : first[i + 1]].tobytes() for i in kept]
                 none = [None] * len(kept)
-                yield batch(_READ_SCHEMA, none, none, part.column("doc_id").take(at), part.column("text_key").take(at), held, covers)
+                ids, keys = (part.column(c).take(pa.array(kept)) for c in ("doc_id", "text_key"))
+                yield batch(_READ_SCHEMA, none, none, ids, keys, held, covers)
         counts[0] = units
         at = np.flatnonzero(counts)
         none = [None] * len(at)
@@ -331,9 +383,8 @@ def _latent(read: DataFrame, items: list[Item], terms: dict[bytes, int], weights
 
     def product(texts: Iterator[np.ndarray], basis: np.ndarray) -> np.ndarray:
         total = np.zeros((size, width))
-        for numbers in texts:
-            for at in range(0, len(numbers), _ROWS // 4):
-                _add_gram(total, numbers[at : at + _ROWS // 4], weights, basis)
+        for runs in _runs(texts):
+            _add_grams(total, runs, weights, basis)
         return total
 
     def partial(basis):
@@ -355,8 +406,8 @@ def _latent(read: DataFrame, items: list[Item], terms: dict[bytes, int], weights
     def of_documents(basis: np.ndarray) -> np.ndarray:
         total = np.zeros((size, width))
         sums = texts.mapInArrow(partial(basis), schema).groupBy("term").agg(*(F.sum(f"c{j}").alias(f"c{j}") for j in range(width)))
-        found = sums.toPandas()
-        total[found["term"].to_numpy()] += found[[f"c{j}" for j in range(width)]].to_numpy()
+        found = sums.toArrow()
+        total[found["term"].to_numpy()] += np.column_stack([found[f"c{j}"].to_numpy() for j in range(width)])
         return total
 
     basis = np.linalg.qr(np.random.default_rng(0).standard_normal((size, width)))[0]
@@ -370,17 +421,47 @@ def _latent(read: DataFrame, items: list[Item], terms: dict[bytes, int], weights
     return (right * weights[:, None]).astype(np.float32)
 
 
-def _add_gram(total: np.ndarray, numbers: np.ndarray, weights: np.ndarray, basis: np.ndarray) -> None:
-    """Add A'(A Q) for the passages, two units each and of unit length, of one run of words."""
-    unit, term = _units(numbers)
-    if not len(term):
-        return
-    own, column = np.unique(term, return_inverse=True)
-    n = _n_units(len(numbers))
-    counts = np.bincount(unit * len(own) + column, minlength=n * len(own)).reshape(n, len(own))
-    rows = (counts[:-1] + counts[1:] if n > 1 else counts) * weights[own].astype(np.float64)
-    rows = _unit_length(rows)
-    total[own] += rows.T @ (rows @ basis[own])
+def _runs(texts: Iterable[np.ndarray]) -> Iterator[list[np.ndarray]]:
+    """Texts cut into runs of few units, as the work for each grows with the terms of all; the last unit
+    of a run is the first of the next, for the passage across.  Some runs at a time."""
+    out, held = [], 0
+    for numbers in texts:
+        for start in range(0, len(numbers), _ROWS // 4):
+            part = numbers[start : start + _ROWS // 4]
+            for at in range(0, max(1, len(part) - UNIT), _GRAM_UNITS * UNIT):
+                out.append(part[at : at + (_GRAM_UNITS + 1) * UNIT])
+                held += len(out[-1])
+                if held >= _ROWS:
+                    yield out
+                    out, held = [], 0
+    if out:
+        yield out
+
+
+def _add_grams(total: np.ndarray, runs: list[np.ndarray], weights: np.ndarray, basis: np.ndarray) -> None:
+    """Add A'(A Q) for the passages, two units each and of unit length, of some runs of words."""
+    size = len(weights)
+    numbers, lengths = np.concatenate(runs), np.array([len(r) for r in runs])
+    at = np.flatnonzero(numbers)
+    run, term = np.repeat(np.arange(len(runs)), lengths)[at], numbers[at]
+    unit = (at - (np.cumsum(lengths) - lengths)[run]) // UNIT
+    # A block of cells for each run, its passages times its terms; a unit is in the passage it begins and in the one before.
+    cells = _distinct(run * size + term)
+    first = np.searchsorted(cells, np.arange(len(runs) + 1) * size)
+    width, n = np.diff(first), np.maximum(1, -(-lengths // UNIT) - 1)
+    block = np.cumsum(width * n) - width * n
+    cell = block[run] + unit * width[run] + np.searchsorted(cells, run * size + term) - first[run]
+    begun, ended = unit < n[run], unit > 0
+    places = np.concatenate([cell[begun], (cell - width[run])[ended]])
+    values = weights[term].astype(np.float64)
+    blocks = np.bincount(places, weights=np.concatenate([values[begun], values[ended]]), minlength=int((width * n).sum()))
+    own_terms = cells % size
+    for i in np.flatnonzero(width).tolist():
+        own = own_terms[first[i] : first[i + 1]]
+        rows = blocks[block[i] : block[i] + width[i] * n[i]].reshape(n[i], width[i])
+        image = rows @ basis.take(own, axis=0)
+        image /= np.maximum(np.einsum("ij,ij->i", rows, rows), 1e-24)[:, None]
+        total[own] += rows.T @ image
 
 
 def searches(
