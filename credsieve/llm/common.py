@@ -58,7 +58,7 @@ def held_once(name, make):
     of the stage before go when another's are asked for, and their memory back to the system.
     """
     if name not in _held:
-        let_go()
+        _release()
         _held[name] = make()
     return _held[name]
 
@@ -66,11 +66,15 @@ def held_once(name, make):
 def let_go() -> None:
     """Give back what the worker holds of another stage; stages that need no table begin with it."""
     if _held:
-        _held.clear()
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(OSError, AttributeError):
-            ctypes.CDLL(None).malloc_trim(0)
+        _release()
+
+
+def _release() -> None:
+    _held.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 #: Rows, and bytes in all, up to which a table of keys is sent to every executor instead of joined by shuffle.

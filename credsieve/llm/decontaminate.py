@@ -115,17 +115,13 @@ def _units(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at // UNIT, numbers[at]
 
 
-def _unit_sums(unit: np.ndarray, term: np.ndarray, latent: np.ndarray, n_units: int) -> np.ndarray:
-    """The sum of the vectors of each unit's terms: of all units the first is added, then the second, and so on."""
-    sums = np.zeros((n_units, latent.shape[1]), latent.dtype)
+def _unit_sums(unit: np.ndarray, rows: np.ndarray, n_units: int) -> np.ndarray:
+    sums = np.zeros((n_units, rows.shape[1]), rows.dtype)
     if len(unit):
-        times = np.bincount(unit, minlength=n_units)
-        order = np.argsort(-times, kind="stable")
-        first, left = (np.cumsum(times) - times)[order], np.cumsum(np.bincount(times)[::-1])[::-1]
-        added = np.zeros_like(sums)
-        for k, n in enumerate(left[1:].tolist()):
-            added[:n] += latent.take(term[first[:n] + k], axis=0)
-        sums[order] = added
+        begins = np.ones(len(unit), bool)
+        np.not_equal(unit[1:], unit[:-1], out=begins[1:])
+        starts = np.flatnonzero(begins)
+        sums[unit[starts]] = np.add.reduceat(rows, starts, axis=0)
     return sums
 
 
@@ -315,8 +311,9 @@ class Search:
             yield i, k, cosine, common, answer, -first
 
 
-def _vectors(numbers: np.ndarray, latent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    return *_units(numbers), latent, _n_units(len(numbers))
+def _vectors(numbers: np.ndarray, latent: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    unit, term = _units(numbers)
+    return unit, latent.take(term, axis=0), _n_units(len(numbers))
 
 
 def _unit_length(rows: np.ndarray) -> np.ndarray:

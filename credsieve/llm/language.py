@@ -29,15 +29,16 @@ predicted one by one; other columns are ignored.  An empty table gives an empty
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import Counter, defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import cache
-from itertools import groupby
+from itertools import chain, groupby
 from uuid import uuid4
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -61,6 +62,12 @@ _SLOTS = 1 << 20
 _FLUSH = 200_000
 _KEPT_WORDS = 400_000
 _KEPT_CELLS = 16_000_000
+#: Words times labels that are looked up at once.
+_PIECE_CELLS = 200_000
+#: Words whose n-grams are cut at once.
+_GRAM_ROWS = 2_500
+#: Letters of a word beyond which its n-grams are cut one by one.
+_LONG_WORD = 64
 _WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 _ASCII_WORD = re.compile("[a-z]+")
 
@@ -108,15 +115,34 @@ class Model:
     table: np.ndarray = field(default_factory=lambda: np.zeros((0, 0), np.float32))
     name: str = ""
 
-    def of_word(self, word: str) -> np.ndarray:
+    def _rows(self, word: str) -> list[int]:
+        """The rows that stand for a word: its own, or those of its longest n-grams that are known."""
         row = self.words.get(word)
         if row is not None:
-            return self.table[row]
+            return [row]
+        get = self.grams.get
         for order in ORDERS:
-            rows = [r for g in grams_of(word, order) if (r := self.grams.get(g)) is not None]
+            rows = [r for r in map(get, grams_of(word, order)) if r is not None]
             if rows:
-                return self.table[rows].mean(axis=0)
-        return np.zeros(len(self.languages), np.float32)
+                return rows
+        return []
+
+    def of_words(self, words: list[str]) -> np.ndarray:
+        """A row for each word, the mean of those that stand for it; zeros if none does."""
+        out = np.zeros((len(words), len(self.languages)), np.float32)
+        rows = [self._rows(w) for w in words]
+        n = np.array([len(r) for r in rows], np.int64)
+        held = np.flatnonzero(n)
+        if len(held):
+            flat = np.fromiter(chain.from_iterable(rows), np.int64, n.sum())
+            # Looked up a piece at a time, so that a table of many labels isn't copied many times over.
+            ends = np.cumsum(n)
+            piece = (ends - 1) * len(self.languages) // _PIECE_CELLS
+            for own in np.split(held, np.flatnonzero(np.diff(piece[held])) + 1):
+                first = ends[own] - n[own]
+                sums = np.add.reduceat(self.table[flat[first[0] : ends[own[-1]]]], first - first[0], axis=0)
+                out[own] = sums / n[own, None].astype(np.float32)
+        return out
 
 
 class Scorer:
@@ -129,56 +155,71 @@ class Scorer:
         self.table = np.zeros((1024, len(model.languages)), np.float32)
         self.whole = np.zeros(1024, bool)
 
-    def _row(self, word: str) -> int:
+    def _add(self, words: list[str]) -> range:
+        """Rows of new words, after those of the words that are kept."""
         n = len(self.rows)
-        if n == len(self.table):
+        while n + len(words) > len(self.table):
             self.table = np.concatenate([self.table, np.zeros_like(self.table)])
             self.whole = np.concatenate([self.whole, np.zeros_like(self.whole)])
-        self.table[n] = self.model.of_word(word)
-        self.whole[n] = word in self.model.words
-        self.rows[word] = n
-        return n
-
-    def _mean(self, words: list[str]) -> tuple[np.ndarray, list[int], list[str]]:
-        """The mean over all words, rows of those in the table, and those that it has no room for."""
-        get = self.rows.get
-        found = [get(w) for w in words]
-        total, rest = np.zeros(len(self.model.languages)), []
+        self.table[n : n + len(words)] = self.model.of_words(words)
+        self.whole[n : n + len(words)] = [w in self.model.words for w in words]
+        return range(n, n + len(words))
+
+    def _looked_up(self, words: list[str]) -> np.ndarray:
+        """The rows of words, which stay until others are looked up."""
+        found = list(map(self.rows.get, words))
         if None in found:
-            for i, word in enumerate(words):
-                if found[i] is None:
-                    row = get(word)
-                    if row is None and len(self.rows) < self.most:
-                        row = self._row(word)
-                    if row is None:
-                        total += self.model.of_word(word)
-                        rest.append(word)
-                    found[i] = row
-            found = [r for r in found if r is not None]
-        total += self.table[found].sum(axis=0, dtype=np.float64)
-        return total / len(words), found, rest
+            new = list(dict.fromkeys(w for w, row in zip(words, found) if row is None))
+            own = dict(zip(new, self._add(new)))
+            # Those that there is no room for go with these words alone.
+            self.rows.update(zip(new[: max(0, self.most - len(self.rows))], own.values()))
+            found = [own[w] if row is None else row for w, row in zip(words, found)]
+        return np.array(found, np.int64)
+
+    def _means(self, texts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(text, mean over its words, their rows) of texts with a word."""
+        if not self.model.languages:
+            return
+        words: list[list[str]] = []
+        held, first = 0, 0
+        for i, text in enumerate(texts):
+            words.append(words_of(text))
+            held += len(words[-1])
+            if i + 1 == len(texts) or held * len(self.model.languages) > _PIECE_CELLS:
+                rows = self._looked_up(list(chain.from_iterable(words)))
+                at = 0
+                for k, own in enumerate(words):
+                    if own:
+                        found = rows[at : at + len(own)]
+                        yield first + k, self.table[found].sum(axis=0, dtype=np.float64) / len(own), found
+                        at += len(own)
+                words, held, first = [], 0, i + 1
+
+    def predictions(self, texts: list[str]) -> list[tuple[str, float]]:
+        out = [(UNKNOWN, 0.0)] * len(texts)
+        for i, mean, _ in self._means(texts):
+            best = int(np.argmax(np.round(mean, 9)))
+            odds = np.exp(mean - mean.max())
+            out[i] = self.model.languages[best], float(odds[best] / odds.sum())
+        return out
 
     def predict(self, text: str) -> tuple[str, float]:
-        words = words_of(text)
-        if not words or not self.model.languages:
-            return UNKNOWN, 0.0
-        mean = self._mean(words)[0]
-        best = int(np.argmax(np.round(mean, 9)))
-        odds = np.exp(mean - mean.max())
-        return self.model.languages[best], float(odds[best] / odds.sum())
+        return self.predictions([text])[0]
+
+    def which_recognised(self, texts: list[str], least_lead: float = LEAST_LEAD, least_known: float = LEAST_KNOWN) -> list[bool]:
+        out = [False] * len(texts)
+        for i, mean, found in self._means(texts):
+            best = int(np.argmax(np.round(mean, 9)))
+            if len(mean) == 1 or mean[best] - np.delete(mean, best).max() >= least_lead:
+                out[i] = True
+                continue
+            even = -np.log(len(mean)) - 1e-4
+            known = np.count_nonzero(self.whole[found] & (self.table[found, best] >= even))
+            out[i] = bool(known >= least_known * len(found))
+        return out
 
     def recognised(self, text: str, least_lead: float = LEAST_LEAD, least_known: float = LEAST_KNOWN) -> bool:
-        words = words_of(text)
-        if not words or not self.model.languages:
-            return False
-        mean, found, rest = self._mean(words)
-        best = int(np.argmax(np.round(mean, 9)))
-        if len(mean) == 1 or mean[best] - np.delete(mean, best).max() >= least_lead:
-            return True
-        even = -np.log(len(mean)) - 1e-4
-        known = np.count_nonzero(self.whole[found] & (self.table[found, best] >= even))
-        known += sum(w in self.model.words and self.model.of_word(w)[best] >= even for w in rest)
-        return known >= least_known * len(words)
+        return self.which_recognised([text], least_lead, least_known)[0]
 
 
 def _scorer(model: Model) -> Scorer:
@@ -186,61 +227,94 @@ def _scorer(model: Model) -> Scorer:
     return held_once(("language", model.name), lambda: Scorer(model))
 
 
+_COUNTS = pa.schema([("lang", pa.string()), ("word", pa.string()), ("n", pa.int64())])
+
+
 def _counts(rows: DataFrame) -> DataFrame:
     """(``lang``, ``word``, ``n``) of labelled texts."""
-    schema = pa.schema([("lang", pa.string()), ("word", pa.string()), ("n", pa.int64())])
 
     def work(batches):
         let_go()
-        held: Counter = Counter()
+        held: dict[str, Counter] = defaultdict(Counter)
         for part, texts in row_slices(batches):
             for lang, text in zip(part.column("lang").to_pylist(), texts):
-                for word, n in Counter(words_of(text)).items():
-                    held[lang, word] += n
-                if len(held) > _FLUSH:
-                    yield batch(schema, [k[0] for k in held], [k[1] for k in held], list(held.values()))
-                    held.clear()
-        if held:
-            yield batch(schema, [k[0] for k in held], [k[1] for k in held], list(held.values()))
+                held[lang].update(words_of(text))
+            if sum(map(len, held.values())) > _FLUSH:
+                yield from (batch(_COUNTS, [lang] * len(own), list(own), list(own.values())) for lang, own in held.items())
+                held.clear()
+        yield from (batch(_COUNTS, [lang] * len(own), list(own), list(own.values())) for lang, own in held.items())
 
     return rows.mapInArrow(work, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
+def _summed(tables: list[pa.Table]) -> pa.Table:
+    sums = pa.concat_tables(tables).group_by(["lang", "word"], use_threads=False).aggregate([("n", "sum")])
+    return pa.table([sums["lang"], sums["word"], sums["n_sum"]], schema=_COUNTS)
+
+
+def _grams_of_rows(rows: pa.RecordBatch) -> list[pa.Table]:
+    """The n-grams of all words with the words' counts, a table for each order and place in the word."""
+    out = []
+    lengths = pc.utf8_length(rows.column("word"))
+    long = rows.filter(pc.greater(lengths, _LONG_WORD))
+    held: Counter = Counter()
+    for lang, word, n in zip(*(long.column(c).to_pylist() for c in ("lang", "word", "n"))):
+        for order in ORDERS:
+            for gram in grams_of(word, order):
+                held[lang, gram] += n
+    if held:
+        out.append(pa.table([[k[0] for k in held], [k[1] for k in held], list(held.values())], schema=_COUNTS))
+    own = rows.filter(pc.less_equal(lengths, _LONG_WORD))
+    for order in ORDERS:
+        words = own.column("word")
+        if order > 1:
+            words = pc.binary_join_element_wise("\x02", words, "\x03", "")
+        left, length = pa.table([own.column("lang"), words, own.column("n")], schema=_COUNTS), pc.utf8_length(words)
+        for at in range(_LONG_WORD + 3 - order):
+            there = pc.greater_equal(length, at + order)
+            left, length = left.filter(there), length.filter(there)
+            if not left.num_rows:
+                break
+            out.append(left.set_column(1, "word", pc.utf8_slice_codeunits(left["word"], at, at + order)))
+    return out
+
+
 def _gram_counts(counts: DataFrame) -> DataFrame:
-    schema = pa.schema([("lang", pa.string()), ("word", pa.string()), ("n", pa.int64())])
 
     def work(batches):
         let_go()
-        held: Counter = Counter()
+        held: list[pa.Table] = []
         for rows in batches:
-            for lang, word, n in zip(*(rows.column(c).to_pylist() for c in ("lang", "word", "n"))):
-                for order in ORDERS:
-                    for gram in grams_of(word, order):
-                        held[lang, gram] += n
-                if len(held) > _FLUSH:
-                    yield batch(schema, [k[0] for k in held], [k[1] for k in held], list(held.values()))
-                    held.clear()
+            for start in range(0, rows.num_rows, _GRAM_ROWS):
+                held.append(_summed(_grams_of_rows(rows.slice(start, _GRAM_ROWS))))
+                if sum(t.num_rows for t in held) > 2 * _FLUSH:
+                    held = [_summed(held)]
+                    if held[0].num_rows > _FLUSH:
+                        yield from held.pop().to_batches()
         if held:
-            yield batch(schema, [k[0] for k in held], [k[1] for k in held], list(held.values()))
+            yield from _summed(held).to_batches()
 
     return counts.mapInArrow(work, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
-def _top(counts: DataFrame, most: int) -> pd.DataFrame:
+def _top(counts: DataFrame, most: int) -> pa.Table:
     """(``lang``, ``word``, ``n``, ``total``) of the most frequent entries that occur twice, these in order."""
     totals = counts.groupBy("word").agg(F.sum("n").alias("total")).where("total > 1")
     best = totals.orderBy(F.desc("total"), "word").limit(most)
-    rows = counts.join(F.broadcast(best), "word").select("lang", "word", "n", "total").toPandas()
-    return rows.sort_values(["total", "word", "lang"], ascending=[False, True, True])
+    # As Arrow: as rows, each value would be a Python object in the driver.
+    rows = counts.join(F.broadcast(best), "word").select("lang", "word", "n", "total").toArrow()
+    return rows.sort_by([("total", "descending"), ("word", "ascending"), ("lang", "ascending")])
 
 
-def _wide(rows: pd.DataFrame, languages: list[str]) -> tuple[list[str], np.ndarray]:
+def _wide(rows: pa.Table, languages: list[str]) -> tuple[list[str], np.ndarray]:
     """The entries and their count per language."""
-    places, entries = pd.factorize(rows["word"])
-    where = {name: i for i, name in enumerate(languages)}
-    out = np.zeros((len(entries), len(languages)))
-    out[places, [where[name] for name in rows["lang"]]] = rows["n"]
-    return list(entries), out
+    if not rows.num_rows:
+        return [], np.zeros((0, len(languages)))
+    entries = rows["word"].combine_chunks().dictionary_encode()
+    column = pc.index_in(rows["lang"].combine_chunks(), pa.array(languages))
+    out = np.zeros((len(entries.dictionary), len(languages)))
+    out[entries.indices.to_numpy(), column.to_numpy()] = rows["n"].to_numpy()
+    return entries.dictionary.to_pylist(), out
 
 
 def fit(
@@ -268,11 +342,12 @@ def fit(
     room = min(1.0, CELLS / len(found) / (words + grams))
     word_rows = _top(counts, int(words * room))
     gram_rows = _top(settled(_gram_counts(counts)), int(grams * room))
-    languages = sorted({*word_rows["lang"], *gram_rows["lang"]})
+    languages = sorted({*word_rows["lang"].unique().to_pylist(), *gram_rows["lang"].unique().to_pylist()})
     if not languages:
         return Model([])
     known, word_counts = _wide(word_rows, languages)
     pieces, gram_counts = _wide(gram_rows, languages)
+    del word_rows, gram_rows
 
     def posterior(n: np.ndarray, kind: np.ndarray) -> np.ndarray:
         out = np.zeros_like(n)
@@ -298,7 +373,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     def work(batches):
         scorer = _scorer(model)
         for ids, texts in slices(batches):
-            found = [scorer.predict(t) for t in texts]
+            found = scorer.predictions(texts)
             yield batch(schema, ids, [f[0] for f in found], [f[1] for f in found])
 
     found = texts_of(docs).mapInArrow(work, "doc_id long, lang_pred string, score double")
@@ -312,7 +387,9 @@ def accepted(docs: DataFrame, model: Model, *, text: str = "text", least_lead: f
     def work(batches):
         scorer = _scorer(model)
         for rows in batches:
-            kept = [scorer.recognised(value.as_py() or "", least_lead, least_known) for value in rows.column(at)]
+            kept = []
+            for _, texts in row_slices([pa.record_batch([rows.column(at)], ["text"])]):
+                kept += scorer.which_recognised(texts, least_lead, least_known)
             yield rows.filter(pa.array(kept, pa.bool_()))
 
     return docs.mapInArrow(work, docs.schema)
