@@ -88,7 +88,7 @@ def scan_and_store(
     kept: list[DataFrame] = []
 
     def keep(judged: DataFrame) -> DataFrame:
-        kept.append(settled(judged))
+        kept.append(settled(verify.without_vectors(judged, ephemeral=ephemeral), small=True))
         return kept[0]
 
     found = complete_scan(files, store=store, verifier=verifier, judged_to=keep, **options)
