@@ -147,6 +147,36 @@ def test_neighbours_in_a_whole_store(spark):
     assert N.nearest(spark.createDataFrame([], schema).withColumnRenamed("id", "of"), spark.createDataFrame([], schema), "of").collect() == []
 
 
+def test_whole_store_is_compared_in_blocks_and_exactly(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    centres = rng.standard_normal((6, 16))
+    store = [(i, (centres[i % 6] + 0.4 * rng.standard_normal(16)).astype(np.float32).tolist()) for i in range(1500)]
+    # One direction in many lengths: more equal similarities than are asked for.
+    store += [(5000 + i, [float(x) for x in (i + 1) * np.array(store[7][1][:4] + [0.0] * 12)]) for i in range(40)] + [(9000, [float("nan")] * 16)] * 20
+    rows = store[::3]
+    schema = "id long, embedding array<float>"
+    frames = [spark.createDataFrame(x, schema) for x in (rows, store)]
+    monkeypatch.setattr(N, "BLOCK_NUMBERS", 4000)
+    assert N.blocks(500 * 16, 1500 * 16, 4) == (2, 6) and N.blocks(0, 0, 8) == (1, 1)
+    got = sorted((r["of"], r["id"], r["rank"]) for r in N.nearest(frames[0].withColumnRenamed("id", "of"), frames[1], "of", threshold=0.7).collect())
+    whole = [(i, v) for i, v in store if v[0] == v[0]]
+    want = exact([(i, v) for i, v in rows if v[0] == v[0]], whole, 10, 0.7)
+    assert len(want) > 4000
+    # Sums in another order can exchange neighbours whose similarities differ in the last digit alone.
+    assert len(set(got) & set(want)) >= 0.995 * len(want) and len(got) == len(want)
+    indexed = {(r["of"], r["id"]) for r in N.nearest_by_index(frames[0].withColumnRenamed("id", "of"), frames[1].where("id < 9000"), "of", threshold=0.9).collect()}
+    assert len(indexed & {(a, b) for a, b, _ in exact(rows, whole, 10, 0.9)}) >= 0.99 * len(indexed)
+
+
+def test_no_pairs_of_vectors_are_shuffled(spark):
+    rows = spark.range(1, 3001).selectExpr("id as of", "transform(sequence(1, 16), i -> cast(sin(id * i) as float)) as embedding")
+    joined = N.nearest(rows, rows.withColumnRenamed("of", "id"), "of")
+    assert joined.where("rank = 1").count() == 3000
+    # Cells are blocks of both sides: each vector is in as many as the other side has blocks.
+    sides = N.blocks(3000 * 16, 3000 * 16, 2 * spark.sparkContext.defaultParallelism)
+    assert sides == (1, 1) and N.blocks(120_000 * 64, 240_000 * 64, 16)[0] * N.blocks(120_000 * 64, 240_000 * 64, 16)[1] <= 20
+
+
 def test_layout_follows_size_and_threshold():
     assert N.layout(10, 0.8) == (1, 1)
     small, large = N.layout(10_000, 0.8), N.layout(100_000_000, 0.8)
