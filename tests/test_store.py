@@ -88,3 +88,29 @@ def test_removed_versions_leave_the_rest_readable(spark, fresh_dir):
         ST.read_store(spark, path, version=1)
     used = {b.folder for v in (3, 4) for b in ST.read_manifest(spark, path, v).buckets if b.folder}
     assert {f"data/{w}/{n}" for w in os.listdir(f"{path}/data") for n in os.listdir(f"{path}/data/{w}") if n.startswith("bits=")} == used
+
+
+def test_small_buckets_share_folders_and_old_rows_in_them_are_not_read(spark, fresh_dir, monkeypatch):
+    path = f"{fresh_dir}/store"
+    monkeypatch.setattr(ST, "FOLDER_BYTES", 20_000)
+    first = ST.upsert_stored(rows(spark, range(1000)), path, bucket_bytes=1000)
+    folders = {b.folder for b in first.buckets if b.folder}
+    assert len(first.buckets) > 100 and 5 <= len(folders) <= 12
+    # Every other bucket is written again, in parts too: the rest of its folder stays where it is, until it is most of nothing.
+    second = ST.upsert_stored(rows(spark, range(0, 60), "low", 2), path, bucket_bytes=400)
+    assert {b.folder for b in second.buckets if b.folder} & folders
+    assert held(spark, path) == {i: ("low" if i < 60 else "high", False) for i in range(1000)} and held(spark, path, 1)[7] == ("high", False)
+    assert ST.read_store(spark, path).count() == 1000 == sum(b.rows for b in second.buckets)
+    ids = {r["line_number"]: r["id"] for r in ST.read_store(spark, path).collect()}
+    ST.mark_stored(spark.createDataFrame([(ids[500], True)], "id bigint, verified boolean"), path)
+    third = ST.upsert_stored(rows(spark, range(0, 1000, 2), "mid", 3), path, bucket_bytes=1000)
+    got = held(spark, path)
+    assert got == {i: ("mid" if i % 2 == 0 else "low" if i < 60 else "high", False) for i in range(1000)}
+    live = {}
+    for b in third.buckets:
+        if b.folder:
+            live.setdefault(b.folder, [b.held, 0])[1] += b.rows
+    # No folder of which most is old is left.
+    assert all(2 * n >= whole for whole, n in live.values())
+    ST.remove_versions(spark, path, keep=1)
+    assert held(spark, path) == got
